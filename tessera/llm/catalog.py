@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, fingerprints, packing, quality_rules, secrets, sentence_pieces, warc
+from . import chunk_dedup, conversations, fingerprints, packing, quality_rules, secrets, sentence_pieces, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_i_match": fingerprints.op5_i_match,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_chunk_dedup": chunk_dedup.op9_chunk_dedup,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
     "quality_base": quality_rules.quality_base,
 }
