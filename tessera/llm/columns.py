@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import ship, table
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 30_000
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -37,14 +37,14 @@ def blobs(col: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each slice has about ``most`` bytes of ``text`` (one row at least)."""
+    """The batches cut so that each slice has about ``most`` bytes of ``text`` (one row at least, ``SLICE_ROWS`` at most)."""
     for b in batches:
         if b.num_rows == 0:
             continue
         _, at = utf8(b.column(b.schema.get_field_index(text)))
         lo = 0
         while lo < b.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1)
+            hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + most, side="right")) - 1), lo + SLICE_ROWS)
             yield b.slice(lo, hi - lo)
             lo = hi
 
@@ -55,7 +55,7 @@ def appended(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable
     An input column of the same name as a new one is replaced.
     """
     ship(df.sparkSession)
-    base = df.drop(*[f.name for f in fields if f.name != text])
+    base = df.drop(*[f.name for f in fields if f.name != text])  # the text itself may be rewritten
     keep = base.columns
     replaces = [f.name for f in fields if f.name in keep]
     schema = T.StructType([f for f in base.schema.fields if f.name not in replaces] + fields)
