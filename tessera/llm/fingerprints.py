@@ -17,14 +17,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import input_bytes, ship
 from .columns import blobs, documents, slices
 
-LOW_IDF, HIGH_IDF, SUBSETS, SHARE = 1.0, 6.5, 32, 0.15
-_NONE = "0" * 16
+LOW_IDF, HIGH_IDF, SUBSETS, LARGEST, SMALLEST = 1.0, 6.5, 48, 0.2, 0.001
+_NONE = "0" * 8
 
 
 def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
@@ -55,35 +56,34 @@ def lexicon(docs: DataFrame, text: str, low: float, high: float) -> set[bytes]:
     return {bytes(r["term"]) for r in band.select("term").toLocalIterator()}
 
 
+def shares(subsets: int, largest: float, smallest: float) -> list[float]:
+    """The share of the lexicon in each subset: the whole, then geometric steps, so that short and long texts have telling ones."""
+    return [1.0] + [largest * (smallest / largest) ** (k / max(subsets - 2, 1)) for k in range(subsets - 1)]
+
+
 class Fingerprinter:
-    """The hashes of a text's lexicon terms, one for each randomised subset."""
+    """The hashes of a text's lexicon terms, one for each randomised subset (64 at most)."""
 
-    def __init__(self, terms: set[bytes], subsets: int, share: float):
-        self.terms, self.subsets, self.share = terms, subsets, share
-        self.known: dict[bytes, tuple[int, int]] = {}
+    def __init__(self, terms: set[bytes], limits: list[float]):
+        self.limits = np.array([int(x * 65536) for x in limits], np.int64)
+        self.index = {t: i for i, t in enumerate(sorted(terms))}
+        self.hashes, self.bits = self._terms(list(self.index))
 
-    def _term(self, t: bytes) -> tuple[int, int]:
-        bits = int.from_bytes(hashlib.shake_128(b"subset:" + t).digest(2 * self.subsets), "little")
-        limit = int(self.share * 65536)
-        mask = sum(1 << k for k in range(self.subsets) if (bits >> (16 * k) & 0xFFFF) < limit)
-        found = xxhash.xxh3_64_intdigest(t), mask
-        if t in self.terms:
-            self.known[t] = found
-        return found
+    def _terms(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's hash, and whether it is in each subset."""
+        n = len(self.limits)
+        draws = np.frombuffer(b"".join(hashlib.shake_128(b"subset:" + t).digest(2 * n) for t in terms), "<u2").reshape(-1, n)
+        return np.array([xxhash.xxh3_64_intdigest(t) for t in terms], np.uint64), draws < self.limits
 
     def __call__(self, text: bytes) -> tuple[str, ...]:
         """Without lexicon terms, all distinct terms are used: unrelated short texts don't look alike."""
         words = set(text.lower().split())
-        own = sorted(words & self.terms) or sorted(words)
-        known = self.known
-        pairs = [known.get(w) or self._term(w) for w in own]
-        hashes = np.array([p[0] for p in pairs], np.uint64)
-        masks = np.array([p[1] for p in pairs], np.uint64)
-        out = []
-        for k in range(self.subsets):
-            chosen = hashes[(masks >> np.uint64(k) & np.uint64(1)).astype(bool)]
-            out.append(f"{xxhash.xxh3_64_intdigest(chosen.tobytes()):016x}" if len(chosen) else _NONE)
-        return tuple(out)
+        own = sorted(filter(None.__ne__, map(self.index.get, words)))
+        hashes, bits = (self.hashes[own], self.bits[own]) if own else self._terms(sorted(words))
+        subset, term = np.nonzero(bits.T)
+        ends = np.searchsorted(subset, np.arange(len(self.limits) + 1)) * 8
+        raw, ends = hashes[term].tobytes(), ends.tolist()
+        return tuple([f"{xxhash.xxh3_64_intdigest(raw[x:y]) >> 32:08x}" if y > x else _NONE for x, y in zip(ends, ends[1:], strict=False)])
 
 
 def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -92,13 +92,13 @@ def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return sum(x == y for x, y in used) / len(used) if used else 1.0
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *, low: float = LOW_IDF, high: float = HIGH_IDF, subsets: int = SUBSETS, share: float = SHARE) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *, low: float = LOW_IDF, high: float = HIGH_IDF, subsets: int = SUBSETS, largest: float = LARGEST, smallest: float = SMALLEST) -> DataFrame:
     """Every row's key and fingerprint. Null texts are empty; texts without words share one fingerprint; repeated rows get equal ones."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text, low, high))
+    shared = docs.sparkSession.sparkContext.broadcast(Fingerprinter(lexicon(docs, text, low, high), shares(subsets, largest, smallest)))
 
     def run(batches):
-        fp = Fingerprinter(shared.value, subsets, share)
+        fp = shared.value
         for b in slices(batches, text):
             made = ["-".join(fp(t)) for t in blobs(b.column(b.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array(made)], names=[key, "fingerprint"])
@@ -110,12 +110,13 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows dealt into ranges of ``key``; the first row of each range is also given to the range before it (``look``).
 
     The limits of the ranges are keys that occur, so the first row of a range is known without a look at the others. The first
-    row of all follows the last one. Rows with a null key come first; ties are in order of the text.
+    row of all follows the last one. Rows with a null key come first; ties are in order of the text's hash. Texts travel
+    compressed, each on its own.
     """
     spark = docs.sparkSession
     n = max(1, min(20_000, input_bytes(docs) // (4 << 20)))
     k = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    rows = docs.select(k.alias("k"), F.col(key).alias("own"), F.col(text).alias("text"))
+    rows = docs.select(k.alias("k"), F.col(key).alias("own"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
     limits = rows.select("k").stat.approxQuantile("k", [i / n for i in range(n)], 0.2 / n) if n > 1 else []
     low = rows.agg(F.min("k").alias("m")).first()["m"]
     if low is None:
@@ -134,32 +135,35 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
             r = np.searchsorted(at, ks, side="right") - 1
             first = np.flatnonzero(at[r] == ks)
             to = np.where(r[first] > 0, r[first] - 1, last)
-            cols = [pa.concat_arrays([c, c.take(pa.array(first))]) for c in b.columns]
+            packer = zstandard.ZstdCompressor(level=1)
+            texts = pa.array([packer.compress(t) for t in blobs(b.column(2))], pa.binary())
+            cols = [pa.concat_arrays([c, c.take(pa.array(first))]) for c in (*b.columns[:2], texts, b.column(3))]
             look = np.r_[np.zeros(len(ks), bool), np.ones(len(first), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[r, to].astype(np.int32)), pa.array(look), *cols], names=["range", "look", "k", "own", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[r, to].astype(np.int32)), pa.array(look), *cols], names=["range", "look", "k", "own", "text", "h"])
 
-    dealt = rows.mapInArrow(deal, f"range int, look boolean, k long, own {dict(docs.dtypes)[key]}, text string")
-    return dealt.repartitionByRange(len(limits) or 1, "range").sortWithinPartitions("range", "look", "k", "text")
+    dealt = rows.mapInArrow(deal, f"range int, look boolean, k long, own {dict(docs.dtypes)[key]}, text binary, h long")
+    return dealt.repartitionByRange(len(limits) or 1, "range").sortWithinPartitions("range", "look", "k", "h")
 
 
-def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *, low: float = LOW_IDF, high: float = HIGH_IDF, subsets: int = SUBSETS, share: float = SHARE) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *, low: float = LOW_IDF, high: float = HIGH_IDF, subsets: int = SUBSETS, largest: float = LARGEST, smallest: float = SMALLEST) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half gives way to the start of the next document.
 
     A single document is its own next. Null texts are empty, repeated rows follow one another, other columns are not carried.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(lexicon(docs, text, low, high))
+    shared = spark.sparkContext.broadcast(Fingerprinter(lexicon(docs, text, low, high), shares(subsets, largest, smallest)))
     kind = dict(docs.dtypes)[key]
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
-        fp = Fingerprinter(shared.value, subsets, share)
-        held = None  # range, key, text, fingerprint
-        for b in slices(batches, "text", 2 << 20):
+        fp = shared.value
+        held = None  # range, key, text, fingerprint, whether it is the next range's
+        unpacker = zstandard.ZstdDecompressor()
+        for b in batches:
             rows = []
             for r, look, own, t in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("range", "look", "own", "text")), strict=True):
-                t = t or ""
+                t = unpacker.decompress(t).decode()
                 if held and held[0] == r and not (look and held[4]):
                     me = held[2]
                     half = len(me) // 2
