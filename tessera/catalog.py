@@ -1,11 +1,12 @@
-"""Registry of the library's queries and their SQL equivalents, filled by the binding modules."""
+"""All queries of the library: importing this module fills the registry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLES, QUERIES
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
+
+for _name in ("claims", "candidates", "vectors", "texts", "names", "truths", "models", "flagship"):
+    import_module(f"tessera.plans.{_name}")
