@@ -128,7 +128,7 @@ def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, min
     """
     ship(docs.sparkSession)
     d = identified(docs, key, text)
-    return removal(joined(d, chunk_spans(d, text, min_span), text), text, digest)
+    return removal(joined(d, chunk_spans(d, text, min_span), text), text, docs.schema.fields, digest)
 
 
 def op9_chunk_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import slices, utf8
+from .columns import blobs, slices
 from .exchange import NULL_KEY, dealt, mix, opened, ranges
 
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
@@ -45,14 +46,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def by_document(entries: DataFrame, n_cols: int, make: Callable[..., list[np.ndarray]], names: list[str], kind: str = "array<long>") -> DataFrame:
-    """Rows (k, h, *names) from entries whose documents are (k, h): ``make`` gets a document's columns and returns lists."""
+    """Rows (k, h, *names) from entries whose documents are (k, h): ``make`` gets a document's columns and returns lists, or none."""
 
     def run(batches):
         for _, blobs in ranges(batches):
             rows = documents_of(blobs, n_cols)
             held = []
             for k, h, cols in rows:
-                held.append((k, h, *make(*cols)))
+                made = make(*cols)
+                if made is not None:
+                    held.append((k, h, *made))
                 if len(held) >= 2000:
                     yield out(held)
                     held = []
@@ -77,9 +80,24 @@ def documents_of(blobs: list[bytes], n_cols: int) -> Iterator[tuple[int, int, li
         yield int(k[lo]), int(h[lo]), [c[lo:hi] for c in cols]
 
 
+def squeezed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with each text compressed on its own, null an empty one: less to shuffle."""
+    keep = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*keep, T.StructField(text, T.BinaryType())])
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for b in slices(batches, text):
+            texts = pa.array([packer.compress(t) for t in blobs(b.column(b.schema.get_field_index(text)))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), texts], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def joined(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    """``docs`` (identified) with their spans; the key ``k`` of a document without any finds nothing."""
+    """``docs`` (identified) with their spans, texts compressed."""
     s = spans.select(F.col("k").alias("span_k"), F.col("h").alias("span_h"), "span_starts", "span_ends")
+    docs = squeezed(docs.withColumn("span_null", F.col(text).isNull()), text)
     return docs.join(s, (docs["k"] == s["span_k"]) & (docs["h"] == s["span_h"]), "left").drop("span_k", "span_h")
 
 
@@ -96,33 +114,29 @@ def snapped(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def removal(docs: DataFrame, text: str, digest: bool) -> DataFrame:
-    """``docs`` with spans gathered on them: counts and the digest of what is left, or the text replaced by it."""
-    drop = ["span_starts", "span_ends", "k", "h"]
+def removal(docs: DataFrame, text: str, columns: list[T.StructField], digest: bool) -> DataFrame:
+    """What ``joined`` gives, with counts and the digest of what is left of each text, or the text replaced by it."""
     names = [f.name for f in FIELDS] if digest else []
-    base = [f for f in docs.schema.fields if f.name not in drop and f.name not in names]
+    base = [f for f in columns if f.name not in names]
     schema = T.StructType(base + (FIELDS if digest else []))
 
+    def rows_of(b):
+        at = {n: i for i, n in enumerate(b.schema.names)}
+        return zip(*(b.column(at[c]).to_pylist() for c in (text, "span_starts", "span_ends", "span_null")), strict=True)
+
     def run(batches):
-        for b in slices(batches, text):
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            data, off = utf8(b.column(at[text]))
-            raw = data.tobytes()
-            rows, left = [], []
-            for i, (s, e) in enumerate(zip(b.column(at["span_starts"]).to_pylist(), b.column(at["span_ends"]).to_pylist(), strict=True)):
-                t = raw[off[i] : off[i + 1]]
-                s, e = s or [], e or []
-                if digest:
-                    kept = b"".join(t[x:y] for x, y in zip([0, *e], [*s, len(t)], strict=True))
-                    rows.append((len(t), len(t) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
-                else:
-                    left.append(snapped(t, s, e).decode())
-            cols = [b.column(at[f.name]) for f in base]
-            if digest:
-                cols += [pa.array(c) for c in zip(*rows, strict=True)]
-            else:
-                own = b.column(at[text])
-                cols[[f.name for f in base].index(text)] = pa.array([x if ok else None for ok, x in zip(own.is_valid().to_pylist(), left, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        unpacker = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                rows, left = [], []
+                for z, s, e, null in rows_of(b):
+                    t, s, e = unpacker.decompress(z), s or [], e or []
+                    left.append(None if null else snapped(t, s, e).decode() if not digest else t.decode())
+                    if digest:
+                        kept = b"".join(t[x:y] for x, y in zip([0, *e], [*s, len(t)], strict=True))
+                        rows.append((len(t), len(t) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
+                cols = [pa.array(left, pa.string()) if f.name == text else b.column(b.schema.get_field_index(f.name)) for f in base]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(c) for c in zip(*rows, strict=True)] if digest else []), names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -6,29 +6,32 @@ start). Sorting all suffixes of a corpus isn't needed for that, only those whose
 1. Every start has an anchor: of the ``length - GRAM + 1`` strings of GRAM bytes in its window, the rightmost of those whose
    hash is least. Equal windows have their anchors at equal places, so starts whose anchor's string occurs once in the
    corpus have no equal and drop out. Anchors, one for about 26 starts, are counted by ranges of their hash.
-2. Starts with one anchor are neighbours; the text they need (a context) goes to the range of the anchor's hash. Equal windows
-   meet in one range, whatever documents they come from. A context that many documents share travels once from each task, with
-   the list of its places.
-3. In each range the distinct contexts form one text, and the difference-cover algorithm sorts its suffixes: triples at
-   two thirds of the positions are sorted and named, the string of names is sorted by recursion, the remaining suffixes are
-   sorted by their first symbol and the rank after it, and both lists are merged. Adjacent suffixes whose
+2. Starts with one anchor are neighbours and need one stretch of text, their context. Contexts that are equal as a whole (by a
+   96-bit key) are collapsed: their earliest place stands for them, and all starts at the others are duplicates. So a
+   text with many copies is sorted once, and a hot passage never meets in one task.
+3. Where an anchor has several different contexts, these go to the range of the anchor's hash. Equal windows meet there, whatever
+   documents they come from. The contexts of a few anchors form one text, and the difference-cover algorithm sorts its
+   suffixes: triples at two thirds of the positions are sorted and named, the string of names is sorted by recursion, the
+   remaining suffixes are sorted by their first symbol and the rank after it, and both lists are merged. Adjacent suffixes whose
    first ``length`` bytes agree form a class; all its places but the earliest are duplicates.
 
-Matches are exact: hashes choose what is compared, and bytes decide.
+No match is lost: equal windows have equal anchors. Different contexts are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import input_bytes, ship
+from ..session import input_bytes, ship, written
 from .columns import documents, slices, utf8
 from .exchange import SCHEMA, Outbox, bits_for, dealt, mix, opened, pack, prefix_sums, ranges, sent, unpack
-from .spans import by_document, identified, ids, joined, merged, removal, to_documents
+from .spans import by_document, identified, ids, joined, merged, removal, squeezed, to_documents
 
-LENGTH, GRAM = 100, 50
-BLOCK = 1 << 22
+LENGTH, GRAM = 100, 32
+BLOCK, SORT_BYTES = 1 << 22, 1 << 20
 
 
 def dense(x: np.ndarray) -> np.ndarray:
@@ -87,8 +90,11 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: hash of the anchor's string (48 bits), text, first start in the data, number of starts."""
-    none = (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+    """Runs of starts with one anchor.
+
+    Hash of the anchor's string (48 bits), text, first start in the data, number of starts, hash of the context (48 bits).
+    """
+    none = (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3, np.empty(0, np.uint64))
     if len(data) < length:
         return none
     sums, inverse = prefix_sums(data)
@@ -116,11 +122,16 @@ def anchored(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     a, d = anchor[start], doc[start]
     new = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (start[1:] != start[:-1] + 1)]
     first = np.flatnonzero(new)
-    return h[a[first]], d[first], start[first], np.diff(np.r_[first, len(start)])
+    lo, n = start[first], np.diff(np.r_[first, len(start)])
+    context = mix((sums[lo + n + (length - 1)] - sums[lo]) * inverse[lo] + n.astype(np.uint64)) >> np.uint64(16)
+    return h[a[first]], d[first], lo, n, context
 
 
 def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: int) -> DataFrame:
-    """Entries (start, starts, anchor's hash) by document, of runs whose anchor's string occurs again."""
+    """Entries (start, starts, anchor's hash, duplicate) by document, of runs whose anchor's string occurs again.
+
+    Of equal contexts the earliest isn't a duplicate; it is left out if its anchor has no other context.
+    """
 
     def send(batches):
         box = Outbox(bits, 48)
@@ -128,8 +139,8 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
         def rows():
             for b in slices(batches, text):
                 data, at = utf8(b.column(b.schema.get_field_index(text)))
-                key, d, start, n = anchored(data, at, length, gram)
-                yield from box.add(ids(b), key, d, (start - at[d]).astype(np.uint32), n.astype(np.uint8))
+                key, d, start, n, context = anchored(data, at, length, gram)
+                yield from box.add(ids(b), key, d, (start - at[d]).astype(np.uint32), n.astype(np.uint8), context)
             yield from box.flush()
 
         yield from sent(rows())
@@ -139,13 +150,24 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
 
         def rows():
             for _, blobs in ranges(batches):
-                key, start, n, k, h = (np.concatenate(c) for c in zip(*(opened(x, 2) for x in blobs), strict=True))
+                key, start, n, context, k, h = (np.concatenate(c) for c in zip(*(opened(x, 3) for x in blobs), strict=True))
                 order = np.argsort(key, kind="stable")
                 s = key[order]
                 same = s[1:] == s[:-1]
                 again = order[np.r_[False, same] | np.r_[same, False]]
-                key, start, n, k, h = (c[again] for c in (key, start, n, k, h))
-                yield from box.add([k, h], to_documents(k), np.arange(len(k)), start, n, key)
+                if not len(again):
+                    continue
+                key, start, n, context, k, h = (c[again] for c in (key, start, n, context, k, h))
+                order = np.lexsort((start, h, k, context, key))
+                key, start, n, context, k, h = (c[order] for c in (key, start, n, context, k, h))
+                anchor = np.r_[True, key[1:] != key[:-1]]
+                top = anchor | np.r_[True, context[1:] != context[:-1]]
+                head = np.maximum.accumulate(np.where(top, np.arange(len(key)), 0))
+                gone = (k != k[head]) | (h != h[head]) | (start != start[head])  # a repeated row is the same place
+                kinds = np.add.reduceat(top.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
+                use = gone | top & (kinds > 1)
+                key, start, n, k, h, gone = (c[use] for c in (key, start, n, k, h, gone))
+                yield from box.add([k, h], to_documents(k), np.arange(len(k)), start, n, key, gone.astype(np.uint8))
             yield from box.flush()
 
         yield from sent(rows())
@@ -154,40 +176,29 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
 
 
 class Contexts:
-    """Contexts of a task by range of their anchor: each distinct text once, with its places."""
+    """Contexts of a task by range of their anchor."""
 
     def __init__(self, bits: int, flush: int = 24 << 20):
         self.shift, self.at, self.flush_at = 48 - bits, {}, flush
         self.size = 0
 
-    def add(self, key: int, text: bytes, place: tuple[int, int, int]):
-        at = self.at.setdefault(key >> self.shift, {})
-        places = at.get(text)
-        if places is None:
-            at[text] = [place]
-            self.size += len(text) + 150
-        else:
-            places.append(place)
-            self.size += 60
+    def add(self, key: int, text: bytes, k: int, h: int, start: int):
+        self.at.setdefault(key >> self.shift, []).append((text, key, k, h, start))
+        self.size += len(text) + 200
         if self.size >= self.flush_at:
             yield from self.flush()
 
     def flush(self):
         at, self.at, self.size = self.at, {}, 0
-        for r, texts in at.items():
-            yield r, packed(texts)
-
-
-def packed(texts: dict[bytes, list[tuple[int, int, int]]]) -> bytes:
-    places = np.array([p for v in texts.values() for p in v], np.int64).reshape(-1, 3)
-    return pack([np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.uint16), np.array([len(v) for v in texts.values()], np.uint32), places[:, 0].copy(), places[:, 1].copy(), places[:, 2].astype(np.uint32)])
+        for r, rows in at.items():
+            text, *cols = zip(*rows, strict=True)
+            yield r, pack([np.frombuffer(b"".join(text), np.uint8), np.array([len(t) for t in text], np.uint16), np.array(cols[0], np.uint64), *(np.array(c, np.int64) for c in cols[1:])])
 
 
-def duplicates(texts: list[bytes], owner: np.ndarray, k: np.ndarray, h: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Spans (place, first start, starts) of duplicate starts of ``texts``, distinct contexts.
+def duplicates(texts: list[bytes], k: np.ndarray, h: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, offset, starts): runs of duplicate starts in ``texts``, which stand at the places (k, h, start).
 
-    ``owner``: the text of each place (k, h, start). The suffixes of the texts are sorted together; where adjacent ones agree in
-    ``length`` bytes, the earliest place of the class is kept.
+    The suffixes of all texts are sorted together; where adjacent ones agree in ``length`` bytes, the earliest place is kept.
     """
     size = np.array([len(t) for t in texts], np.int64)
     n_texts = len(texts)
@@ -197,16 +208,14 @@ def duplicates(texts: list[bytes], owner: np.ndarray, k: np.ndarray, h: np.ndarr
     s = np.empty(int(ends[-1]), np.int64)
     inside = np.ones(len(s), bool)
     inside[ends - 1] = False
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    s[inside] = data.astype(np.int64) + n_texts
+    s[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + n_texts
     s[~inside] = np.arange(n_texts)
     sa = suffix_array(s)
     text_of = np.repeat(np.arange(n_texts), size + 1)
     sa = sa[sa + length < ends[text_of[sa]]]  # suffixes with enough bytes; those between two of a class are in it
     if not len(sa):
         return (np.empty(0, np.int64),) * 3
-    flat = (s - n_texts).astype(np.uint8)
-    flat = np.r_[flat, np.zeros(8, np.uint8)]
+    flat = np.r_[(s - n_texts).astype(np.uint8), np.zeros(8, np.uint8)]
     words = np.lib.stride_tricks.as_strided(flat, (len(flat) - 7, 8), (1, 1))
     same = np.ones(len(sa) - 1, bool)
     for off in [*range(0, length - 7, 8), length - 8]:
@@ -214,51 +223,33 @@ def duplicates(texts: list[bytes], owner: np.ndarray, k: np.ndarray, h: np.ndarr
         w = np.ascontiguousarray(words[np.concatenate([sa[i] + off, sa[i + 1] + off])]).view(np.uint64).reshape(2, -1)
         same[i] = w[0] == w[1]
     cls = np.cumsum(np.r_[False, ~same])
-    # the earliest place of each text, then of each class
-    order = np.lexsort((start, h, k))
-    nth = np.empty(len(order), np.int64)
-    nth[order] = np.arange(len(order))
-    by = np.lexsort((nth, owner))
-    head = by[np.r_[True, owner[by][1:] != owner[by][:-1]]]  # in order of text
     t = text_of[sa]
     off = sa - begin[t]
-    p = head[t]
-    best = np.lexsort((start[p] + off, h[p], k[p], cls))
-    top = best[np.r_[True, cls[best][1:] != cls[best][:-1]]]  # in order of class
-    win = top[cls]
-    first = (k[p] == k[p[win]]) & (h[p] == h[p[win]]) & (start[p] + off == start[p[win]] + off[win])
-    # of the earliest place of a text the starts that aren't first in their class go, of its other places all
-    gone = np.flatnonzero(~first)
+    best = np.lexsort((start[t] + off, h[t], k[t], cls))
+    top = best[np.r_[True, cls[best][1:] != cls[best][:-1]]][cls]  # the earliest of each suffix's class
+    gone = np.flatnonzero((k[t] != k[t[top]]) | (h[t] != h[t[top]]) | (start[t] + off != start[t[top]] + off[top]))
     gone = gone[np.lexsort((off[gone], t[gone]))]
     gt, go = t[gone], off[gone]
-    new = np.r_[True, (gt[1:] != gt[:-1]) | (go[1:] != go[:-1] + 1)] if len(gone) else np.empty(0, bool)
-    f = np.flatnonzero(new)
-    spans = [(head[gt[f]], start[head[gt[f]]] + go[f], np.diff(np.r_[f, len(gone)]))]
-    other = np.ones(len(owner), bool)
-    other[head] = False
-    other &= ~((k == k[head[owner]]) & (h == h[head[owner]]) & (start == start[head[owner]]))  # a repeated row is the same place
-    o = np.flatnonzero(other)
-    spans.append((o, start[o], size[owner[o]] - length + 1))
-    return tuple(np.concatenate(c) for c in zip(*spans, strict=True))
-
-
-def duplicate_starts(docs: DataFrame, runs: DataFrame, text: str, bits: int, length: int) -> DataFrame:
-    """Entries (start, starts) by document of all duplicate starts. ``runs``: see ``repeated_anchors``, gathered by document."""
-    r = runs.select("k", "h", "starts", "counts", "anchors").withColumnsRenamed({"k": "rk", "h": "rh"})
-    own = docs.select("k", "h", text)
+    f = np.flatnonzero(np.r_[True, (gt[1:] != gt[:-1]) | (go[1:] != go[:-1] + 1)]) if len(gone) else gone
+    return gt[f], go[f], np.diff(np.r_[f, len(gone)])
+
+
+def different_contexts(docs: DataFrame, runs: DataFrame, text: str, bits: int, length: int) -> DataFrame:
+    """Entries (start, starts) by document, of duplicate starts found by sorting contexts. ``runs``: by document."""
+    r = runs.select(F.col("k").alias("rk"), F.col("h").alias("rh"), "starts", "counts", "anchors")
+    own = squeezed(docs.select("k", "h", text), text)
     both = own.join(r, (own["k"] == r["rk"]) & (own["h"] == r["rh"])).drop("rk", "rh")
 
     def send(batches):
-        box = Contexts(bits)
+        box, unpacker = Contexts(bits), zstandard.ZstdDecompressor()
 
         def rows():
-            for b in slices(batches, text):
-                data, at = utf8(b.column(b.schema.get_field_index(text)))
-                raw = data.tobytes()
-                cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("k", "h", "starts", "counts", "anchors")]
-                for lo, k, h, starts, counts, keys in zip(at.tolist(), *cols, strict=False):
+            for b in batches:
+                cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, "k", "h", "starts", "counts", "anchors")]
+                for z, k, h, starts, counts, keys in zip(*cols, strict=True):
+                    raw = unpacker.decompress(z)
                     for s, n, key in zip(starts, counts, keys, strict=True):
-                        yield from box.add(key, raw[lo + s : lo + s + n + length - 1], (k, h, s))
+                        yield from box.add(key, raw[s : s + n + length - 1], k, h, s)
             yield from box.flush()
 
         yield from sent(rows())
@@ -268,16 +259,29 @@ def duplicate_starts(docs: DataFrame, runs: DataFrame, text: str, bits: int, len
 
         def rows():
             for _, blobs in ranges(batches):
-                texts, owner, places = {}, [], []
+                texts, cols = [], []
                 for blob in blobs:
-                    data, size, n, k, h, start = unpack(blob)
+                    data, size, *rest = unpack(blob)
                     raw, end = data.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
-                    own = [texts.setdefault(raw[e - z : e], len(texts)) for e, z in zip(end, size.tolist(), strict=True)]
-                    owner.append(np.repeat(own, n))
-                    places.append((k, h, start.astype(np.int64)))
-                k, h, start = (np.concatenate(c) for c in zip(*places, strict=True))
-                place, lo, n = duplicates(list(texts), np.concatenate(owner), k, h, start, length)
-                yield from box.add([k[place], h[place]], to_documents(k[place]), np.arange(len(place)), lo.astype(np.uint32), n.astype(np.uint32))
+                    texts += [raw[e - z : e] for e, z in zip(end, size.tolist(), strict=True)]
+                    cols.append(rest)
+                key, k, h, start = (np.concatenate(c) for c in zip(*cols, strict=True))
+                order = np.argsort(key, kind="stable")
+                key, k, h, start = key[order], k[order], h[order], start[order]
+                texts = [texts[i] for i in order.tolist()]
+                total = np.cumsum([len(t) for t in texts])
+                # anchors share no windows: each sort takes those that fill it, one at least
+                edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+                lo = 0
+                while lo < len(key):
+                    base = int(total[lo - 1]) if lo else 0
+                    fit = int(np.searchsorted(total, base + SORT_BYTES, side="right"))
+                    e = int(np.searchsorted(edges, fit, side="right")) - 1
+                    hi = int(edges[e]) if edges[e] > lo else int(edges[np.searchsorted(edges, lo, side="right")])
+                    t, off, n = duplicates(texts[lo:hi], k[lo:hi], h[lo:hi], start[lo:hi], length)
+                    t += lo
+                    yield from box.add([k[t], h[t]], to_documents(k[t]), np.arange(len(t)), (start[t] + off).astype(np.uint32), n.astype(np.uint32))
+                    lo = hi
             yield from box.flush()
 
         yield from sent(rows())
@@ -285,11 +289,36 @@ def duplicate_starts(docs: DataFrame, runs: DataFrame, text: str, bits: int, len
     return dealt(both.mapInArrow(send, SCHEMA)).mapInArrow(sort, SCHEMA)
 
 
+def equal_contexts(entries: DataFrame, bits: int) -> DataFrame:
+    """Entries (start, starts) by document of the runs that ``repeated_anchors`` found to be duplicates as a whole."""
+
+    def run(batches):
+        box = Outbox(bits, 64)
+
+        def rows():
+            for b in batches:
+                for blob in b.column(1).to_pylist():
+                    _, start, n, _, gone, k, h = opened(blob, 4)
+                    g = gone == 1
+                    yield from box.add([k[g], h[g]], to_documents(k[g]), np.arange(int(g.sum())), start[g], n[g].astype(np.uint32))
+            yield from box.flush()
+
+        yield from sent(rows())
+
+    return entries.mapInArrow(run, SCHEMA)
+
+
 def duplicate_spans(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
     """(k, h, span_starts, span_ends) of the bytes to remove; ``docs`` are identified."""
     bits = bits_for(input_bytes(docs))
-    runs = by_document(repeated_anchors(docs, text, bits, length, gram), 3, lambda s, n, key: [s, n, key], ["starts", "counts", "anchors"])
-    found = duplicate_starts(docs, runs, text, bits, length)
+    entries = written(repeated_anchors(docs, text, bits, length, gram), "anchors")
+
+    def fetch(start, n, key, gone):
+        use = gone == 0
+        return [start[use], n[use], key[use]] if use.any() else None
+
+    runs = by_document(entries, 4, fetch, ["starts", "counts", "anchors"])
+    found = different_contexts(docs, runs, text, bits, length).union(equal_contexts(entries, bits))
 
     def make(start, n):
         start = start.astype(np.int64)
@@ -307,7 +336,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, le
     """
     ship(docs.sparkSession)
     d = identified(docs, key, text)
-    return removal(joined(d, duplicate_spans(d, text, length, gram), text), text, digest)
+    return removal(joined(d, duplicate_spans(d, text, length, gram), text), text, docs.schema.fields, digest)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
