@@ -132,8 +132,8 @@ def ranges(batches) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def bits_for(size: int) -> int:
-    """Key bits for ranges of about 1 MB of an input of ``size`` bytes, between 2**8 and 2**20 ranges."""
-    return min(20, max(8, (size >> 20).bit_length()))
+    """Key bits for ranges of about 4 MB of an input of ``size`` bytes, 2**6 at least and 2**20 at most."""
+    return min(20, max(6, (size >> 22).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
