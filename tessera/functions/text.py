@@ -145,7 +145,8 @@ def address_tokens(c: Column) -> Column:
 
 def without_repeats(a: Column) -> Column:
     """An array without elements equal to the one before."""
-    return F.filter(a, lambda t, i: (i == 0) | (t != F.try_element_at(a, i)))
+    before = F.concat(F.array(F.lit(None).cast("string")), a)
+    return F.array_compact(F.zip_with(a, before, lambda t, p: F.when(p.isNull() | (t != p), t)))
 
 
 def core_tokens(a: Column, legal: list[str] = LEGAL_WORDS) -> Column:
@@ -261,7 +262,7 @@ def domain_body(c: Column) -> Column:
 
 def is_subsequence(short: Column, long: Column) -> Column:
     """Whether the letters of ``short`` occur in ``long`` in their order."""
-    return long.rlike(F.array_join(F.filter(F.split(short, ""), lambda x: x != ""), ".*"))
+    return F.rlike(long, F.array_join(F.filter(F.split(short, ""), lambda x: x != ""), ".*"))
 
 
 def related(u: Column, t: Column) -> Column:

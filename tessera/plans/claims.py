@@ -51,12 +51,12 @@ def entity_context(spark, d):
 @query("number_peers", f"""WITH {CLAIMS}, k AS (SELECT *, CASE WHEN kr % 5 = 0 THEN -1 ELSE kr % 7 END AS k2 FROM c),
 x AS (SELECT *, row_number() OVER (PARTITION BY sid, k2 ORDER BY p DESC, rid) AS rn, nth_value(p, 2) OVER (PARTITION BY sid, k2 ORDER BY p DESC, rid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS p2 FROM k),
 n AS (SELECT sid, count(DISTINCT k2) FILTER (k2 >= 0) AS keys FROM k GROUP BY sid)
-SELECT rid, CASE WHEN k2 >= 0 THEN count(*) OVER w - 1 END AS e_np_n, CASE WHEN k2 >= 0 THEN round(CASE WHEN rn = 1 THEN p2 ELSE max(p) OVER w END, 6) END AS e_np_max,
+SELECT rid, CASE WHEN k2 >= 0 THEN (count(*) OVER w - 1)::DOUBLE END AS e_np_n, CASE WHEN k2 >= 0 THEN round(CASE WHEN rn = 1 THEN p2 ELSE max(p) OVER w END, 6) END AS e_np_max,
  CASE WHEN k2 >= 0 THEN round(sum(p) OVER w - p, 6) END AS e_np_sum, keys AS e_np_keys FROM x JOIN n USING (sid) WINDOW w AS (PARTITION BY sid, k2)""")
 def number_peers(spark, d):
     c = claims(spark, d).withColumn("kr", F.when(F.col("kr") % 5 == 0, -1).otherwise(F.col("kr") % 7))
     x = windows.number_peers(c)
-    return x.select("rid", "e_np_n", F.round("e_np_max", 6).alias("e_np_max"), F.round("e_np_sum", 6).alias("e_np_sum"), "e_np_keys")
+    return x.select("rid", F.col("e_np_n").cast("double").alias("e_np_n"), F.round("e_np_max", 6).alias("e_np_max"), F.round("e_np_sum", 6).alias("e_np_sum"), "e_np_keys")
 
 
 @query("macro_f", f"""WITH {CLAIMS}, g AS (SELECT sid, sum((p >= .6 AND tru)::INT)::DOUBLE AS tp, sum((p >= .6)::INT)::DOUBLE AS np, sum(tru::INT)::DOUBLE AS nt FROM c GROUP BY sid),
