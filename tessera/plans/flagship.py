@@ -1 +1,62 @@
-"""To be filled."""
+"""The flagship query: documents of all sources resolved against those of the reference list."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import blocking, decide, windows
+from ..registry import query
+from .texts import WORDS, named
+
+
+@query("flagship_resolve", f"""WITH {WORDS}, u AS (SELECT doc_id, block, src, list_distinct(w) AS w FROM t), e AS (SELECT doc_id, block, src, len(w) AS n, unnest(w) AS k FROM u),
+c AS (SELECT a.doc_id AS sid, b.doc_id AS rid, a.block, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS p FROM e a JOIN e b ON a.block = b.block AND a.k = b.k AND a.src = 'S1' AND b.src <> 'S1' GROUP BY a.doc_id, b.doc_id, a.block),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, sid) AS rn, count(*) OVER (PARTITION BY rid) AS cands FROM c)
+SELECT rid, sid, round(p, 6) AS p, cands FROM r WHERE rn = 1 AND p >= .5""")
+def flagship_resolve(spark, d):
+    """Every record's best entity by shared name words, where at least half of the words agree."""
+    n = named(spark, d)
+    x = _scores(n).withColumn("cands", F.count("*").over(windows.Window.partitionBy("rid")))
+    return decide.assign_by_rank(x, 0.5).select("rid", "sid", F.round("p", 6).alias("p"), "cands")
+
+
+def _scores(n):
+    s1 = n.filter("src = 'S1'").withColumnRenamed("doc_id", "sid")
+    rec = n.filter("src != 'S1'").withColumnRenamed("doc_id", "rid")
+    return blocking.shared_words(s1, rec, "w", "block").withColumnRenamed("jaccard", "p")
+
+
+@query("flagship_f05", f"""WITH {WORDS}, u AS (SELECT doc_id, block, src, list_distinct(w) AS w FROM t), e AS (SELECT doc_id, block, src, len(w) AS n, unnest(w) AS k FROM u),
+c AS (SELECT a.doc_id AS sid, b.doc_id AS rid, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS p FROM e a JOIN e b ON a.block = b.block AND a.k = b.k AND a.src = 'S1' AND b.src <> 'S1' GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT rid, sid FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, sid) AS rn FROM c) WHERE rn = 1 AND p >= .5),
+tr AS (SELECT b.doc_id AS rid, min(a.doc_id) AS sid FROM d a JOIN d b ON a.text = b.text AND a.src = 'S1' AND b.src <> 'S1' GROUP BY b.doc_id),
+x AS (SELECT coalesce(l.sid, tr.sid) AS sid, (l.rid IS NOT NULL)::INT AS acc, (tr.rid IS NOT NULL)::INT AS tru FROM l FULL JOIN tr ON l.rid = tr.rid AND l.sid = tr.sid),
+g AS (SELECT sid, sum(acc * tru)::DOUBLE AS tp, sum(acc)::DOUBLE AS np, sum(tru)::DOUBLE AS nt FROM x GROUP BY sid), f AS (SELECT coalesce(tp, 0) AS tp, coalesce(np, 0) AS np, coalesce(nt, 0) AS nt FROM d LEFT JOIN g ON sid = doc_id WHERE src = 'S1')
+SELECT round(avg(CASE WHEN nt = 0 THEN CASE WHEN np = 0 THEN 1 ELSE 0 END WHEN tp = 0 THEN 0 ELSE 1.25 * (tp/np) * (tp/nt) / (.25 * tp/np + tp/nt) END), 6) AS macro_f, count(*) AS n FROM f""")
+def flagship_f05(spark, d):
+    """Macro F0.5 of the flagship's links, exact copies of a reference document being the truth."""
+    from ..operators import evaluation
+    from .texts import records
+
+    n, r = named(spark, d), records(spark, d).withColumn("h", F.md5("text"))
+    links = decide.assign_by_rank(_scores(n), 0.5).select("rid", "sid", F.lit(True).alias("acc"))
+    s1 = r.filter("src = 'S1'").groupBy("h").agg(F.min("doc_id").alias("sid"))
+    truth = r.filter("src != 'S1'").select(F.col("doc_id").alias("rid"), "h").join(s1, "h").select("rid", "sid", F.lit(True).alias("tru"))
+    x = links.join(truth, ["rid", "sid"], "full").na.fill(False)
+    e = r.filter("src = 'S1'").select(F.col("doc_id").alias("sid"))
+    return evaluation.macro_f(evaluation.entity_counts(e, x)).select(F.round("macro_f", 6).alias("macro_f"), "n")
+
+
+@query("resolve_pipeline")
+def resolve_pipeline(spark, d):
+    """The whole linkage pipeline on parts: string metrics, weighted overlaps and namesakes over stored stages.
+
+    Small parts are the reference list, the others the records; the brand is the block, type and size make the address.
+    """
+    from ..session import table
+    from .resolve import Config, resolve
+
+    src = F.when(F.col("p_size") <= 25, "S1").otherwise("S3")
+    r = table(spark, d, "part").select(F.concat(src, F.lit("-"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("business_name"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("business_address"), F.col("p_brand").alias("country"), src.alias("src"))
+    links, _ = resolve(r.filter("src = 'S1'").drop("src"), r.filter("src = 'S3'").drop("src"), Config(top=5, threshold=0.7))
+    return links.select("rid", "sid", F.round("p", 6).alias("p"))

@@ -1 +1,97 @@
-"""To be filled."""
+"""Queries on names and numbers: ``part`` by brand, customers and suppliers by nation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
+from ..functions import text as X
+from ..operators import aggregates, rules
+from ..registry import query
+from ..session import table
+
+
+@query("namesakes", """WITH c AS (SELECT p_name, p_brand, count(*) AS namesakes FROM part GROUP BY ALL) SELECT p_partkey, namesakes FROM part JOIN c USING (p_name, p_brand)""")
+def namesakes(spark, d):
+    return aggregates.namesakes(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), ["p_name", "p_brand"]).select("p_partkey", "namesakes")
+
+
+@query("same_name_groups", """WITH g AS (SELECT p_name, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY p_name HAVING count(*) > 1) SELECT count(*) AS groups, sum(n)::BIGINT AS rows, max(n) AS largest, round(sum(n) / (SELECT count(*) FROM part), 6) AS share, round(avg((brands = 1)::INT), 6) AS one_brand FROM g""")
+def same_name_groups(spark, d):
+    p = table(spark, d, "part").select("p_name", "p_brand")
+    g = p.groupBy("p_name").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("brands"))
+    return g.agg(F.count_if(F.col("n") > 1).alias("groups"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("rows"), F.max("n").alias("largest"), F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share"), F.round(F.avg(F.when(F.col("n") > 1, (F.col("brands") == 1).cast("double"))), 6).alias("one_brand"))
+
+
+@query("duplicates", """SELECT 'p_name' AS "column", count(p_name) - count(DISTINCT p_name) AS duplicates FROM part UNION ALL SELECT 'p_partkey', count(p_partkey) - count(DISTINCT p_partkey) FROM part UNION ALL SELECT 'row', (SELECT count(*) FROM part) - (SELECT count(*) FROM (SELECT DISTINCT * FROM part))""")
+def duplicates(spark, d):
+    return aggregates.duplicates(table(spark, d, "part"), ["p_name", "p_partkey"])
+
+
+@query("number_neighbours", """WITH c AS (SELECT c_custkey AS id, c_nationkey AS b, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS k FROM customer) SELECT id FROM c a WHERE EXISTS (SELECT 1 FROM c x WHERE x.b = a.b AND a.k - x.k BETWEEN 1 AND 13)""")
+def number_neighbours(spark, d):
+    """Customers with another of their nation 1 to 13 numbers below: a range join on buckets of the reach."""
+    from ..operators.joins import range_semi
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("b"), X.as_int(F.regexp_extract("c_name", r"(\d+)$", 1)).alias("k"))
+    return range_semi(c, c, "b", "k", 1, 13).select("id")
+
+
+@query("number_pairs", """WITH x AS (SELECT s_suppkey AS id, [s_suppkey % 7, s_suppkey % 11, s_nationkey]::BIGINT[] AS a, [s_nationkey, s_suppkey % 5]::BIGINT[] AS b FROM supplier)
+SELECT id, (a[1] = b[1])::INT::DOUBLE AS first_eq, list_contains(b, a[1])::INT::DOUBLE AS a0_in_b, round(ln(1 + list_min(list_transform(b, lambda v: abs(v - a[1])))), 6) AS mindiff, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jacc FROM x""")
+def number_pairs(spark, d):
+    n, k = F.col("s_nationkey").cast("bigint"), F.col("s_suppkey")
+    f = N.number_features(F.array(k % 7, k % 11, n), F.array(n, k % 5))
+    return table(spark, d, "supplier").select(k.alias("id"), f["int_first_eq"].alias("first_eq"), f["int_a0_in_b"].alias("a0_in_b"), F.round(f["int_a0_mindiff"], 6).alias("mindiff"), F.round(f["int_jacc"], 6).alias("jacc"))
+
+
+@query("unseen_values", "SELECT DISTINCT s_nationkey AS nation FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950)")
+def unseen_values(spark, d):
+    from ..sources.tables import unseen_values as unseen
+
+    return unseen(table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")), table(spark, d, "customer").filter("c_acctbal > 9950").select(F.col("c_nationkey").alias("nation")), "nation")
+
+
+@query("set_equality", "SELECT (SELECT count(*) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer)) AS missing, (SELECT count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation)) AS unknown")
+def set_equality(spark, d):
+    from ..operators.joins import set_difference_counts
+
+    return set_difference_counts(table(spark, d, "nation").select("n_nationkey"), table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey")))
+
+
+@query("shares", "SELECT c_mktsegment AS seg, count(*) AS n, round(count(*) / (SELECT count(*) FROM customer), 6) AS share FROM customer GROUP BY 1")
+def shares(spark, d):
+    return aggregates.shares(table(spark, d, "customer").select(F.col("c_mktsegment").alias("seg")), "seg").select("seg", "n", F.round("share", 6).alias("share"))
+
+
+@query("abbreviation_lookup", """WITH t AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), m AS (SELECT lower(p_name) AS n, count(*) AS c FROM part GROUP BY 1), f AS (SELECT unnest(string_split(lower(p_name), ' ')) AS tok FROM part), c AS (SELECT tok, count(*) AS n FROM f GROUP BY tok)
+SELECT p_partkey, sum(n)::BIGINT AS weight, count(*) AS words FROM (SELECT p_partkey, unnest(w) AS tok FROM t) JOIN c USING (tok) GROUP BY p_partkey""")
+def abbreviation_lookup(spark, d):
+    """Token lookup in a small dimension: explode, join, gather again."""
+    p = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("w"))
+    c = p.select(F.explode("w").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    return p.select("p_partkey", F.explode(F.array_distinct("w")).alias("tok")).join(c, "tok").groupBy("p_partkey").agg(F.sum("n").alias("weight"), F.count("*").alias("words"))
+
+
+@query("skew_safe_join", "SELECT c_mktsegment AS seg, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def skew_safe_join(spark, d):
+    from ..operators.joins import salted_join
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_totalprice")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    return salted_join(o, c, "k", salts=8).groupBy(F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("structural_rule", """WITH s AS (SELECT s_suppkey AS sid, s_nationkey AS n, s_suppkey % 20 AS h FROM supplier), c AS (SELECT c_custkey AS rid, c_nationkey AS n, c_custkey % 20 AS h, c_custkey % 3 AS w FROM customer) SELECT rid, sid FROM c JOIN s USING (n, h) WHERE w <> 2""")
+def structural_rule(spark, d):
+    """Customers and suppliers of one nation as claims with made-up houses; words with a score below 0.1 reject."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sid"), F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 20).alias("h1"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_nationkey").alias("n"), (F.col("c_custkey") % 20).alias("h2"), (F.col("c_custkey") % 3).alias("w"))
+    name = F.array(F.lit("trader"), F.concat(F.lit("nation"), F.col("n").cast("string")))
+    x = c.join(s, "n").select(
+        "rid", "sid", F.col("h1").cast("string").alias("house1"), F.col("h2").cast("string").alias("house2"), F.lit(-1).alias("second1"), F.lit(-1).alias("second2"),
+        F.array().cast("array<string>").alias("street1"), F.array().cast("array<string>").alias("words2"), name.alias("name1"), name.alias("name2"), F.element_at(name, 2).alias("rare1"),
+        name.alias("full1"), F.concat(name, F.element_at(F.array(F.array().cast("array<string>"), F.array(F.lit("fine")), F.array(F.lit("odd"))), F.col("w").cast("int") + 1)).alias("full2"),
+        F.create_map(F.lit("fine"), F.lit(0.5), F.lit("odd"), F.lit(0.01)).alias("z"),
+    )
+    return rules.structural(x).select("rid", "sid")
