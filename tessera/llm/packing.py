@@ -11,9 +11,11 @@ their length, which needs only counts per partition and length.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections import deque
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from ..session import ship, written
 from .columns import documents, slices, utf8
 
 SEQ_LEN, END_ID = 4096, 1
-CACHE_WORDS = 800_000
+CACHE_WORDS = 900_000
 
 
 class SegmentTree:
@@ -98,57 +100,99 @@ def plan_runs(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, int,
     return runs
 
 
-class WordEncoder:
-    """The bytes of texts to ids, as little-endian unsigned 32-bit numbers.
+_TAIL, _GAP, _PLAIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_TAIL[list(b",.")] = True
+_GAP[list(b" \n")] = True
+_PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def separable(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether, in each text, each closing punctuation mark before a space or line end follows a letter or a number.
 
-    The tokenizer drops white space and never merges across it, nor between letters and the punctuation after them, and it
-    lower-cases; so words separated by ASCII white space, and their stems of letters, are encoded once each and looked up
-    afterwards. Both caches are bounded.
+    Then a space may be put before the mark without joining or parting any of the tokenizer's own words. Other texts, and those
+    that may hold the name of a special token, are left as they are.
     """
+    ok = np.ones(len(at) - 1, bool)
+    i = np.flatnonzero(_TAIL[data[:-1]] & _GAP[data[1:]])
+    i = i[i > 0] if len(i) else i
+    before = data[i - 1]
+    bad = i[~_PLAIN[before] & (before < 0x80)]
+    wide = i[before >= 0x80]
+    two = wide[(wide > 1) & (data[wide - 2] >= 0xC2) & (data[wide - 2] < 0xE0)]
+    code = data[two - 2].astype(np.int64) << 8 | data[two - 1]
+    strange = [c for c in np.unique(code).tolist() if c == 0xC4B0 or not c.to_bytes(2, "big").decode().isalnum()]  # U+0130 is lowered to two
+    bad = np.concatenate([bad, two[np.isin(code, strange)], np.setdiff1d(wide, two)])
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    ok[np.searchsorted(at, np.concatenate([bad, special]), side="right") - 1] = False
+    return ok
 
-    TAIL = b",.;:!?"
+
+class WordEncoder:
+    """UTF-8 texts to ids, as little-endian unsigned 32-bit numbers.
+
+    The tokenizer drops white space, never merges across it, and lower-cases; so the words between ASCII white space are encoded
+    once each and looked up afterwards. Where ``separable`` allows, ASCII letters are lowered and closing marks parted from
+    words first, which leaves fewer words. Words of letters are encoded many to a call, and told apart again by the mark that
+    the last token of a word bears. The cache is bounded.
+    """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.words, self.stems = Tokenizer.from_file(tokenizer), {}, {}
+        self.tok, self.words = Tokenizer.from_file(tokenizer), {}
+        vocab = self.tok.get_vocab()
+        suffix = self.tok.model.end_of_word_suffix
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        parts, missing = [], set()
-        for w in new:
-            stem = w.rstrip(self.TAIL)
-            if stem.isalpha():
-                tail, stem = w[len(stem) :], stem.lower()
-            elif stem and stem.decode().isalpha():
-                tail = w[len(stem) :]
-            else:
-                stem, tail = w, b""
-            parts.append((stem, tail))
-            if stem not in self.stems:
-                missing.add(stem)
-            if tail and tail not in self.stems:
-                missing.add(tail)
-        missing = list(missing)
-        for k in range(0, len(missing), 10_000):
-            part = missing[k : k + 10_000]
+    def _one(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 5000):
+            part = words[k : k + 5000]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.stems[w] = np.array(e.ids, "<u4").tobytes()
-        stems = self.stems
-        for w, (stem, tail) in zip(new, parts, strict=True):
-            self.words[w] = stems[stem] + stems[tail] if tail else stems[stem]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        every = set().union(*words)
-        new = list(every.difference(self.words))
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _many(self, words: list[bytes]) -> None:
+        """Words of letters alone: one word of the tokenizer's each, unless lower-casing makes something else of one."""
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) != len(part):
+                self._one(part)
+                continue
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(part, ends.tolist(), strict=True):
+                self.words[w] = raw[lo:hi]
+                lo = hi
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        gc.disable()  # millions of short-lived words, and no cycles
+        try:
+            return self._encode(data, at)
+        finally:
+            gc.enable()
+
+    def _encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        raw, texts = data.tobytes(), []
+        for lo, hi, plain in zip(at[:-1].tolist(), at[1:].tolist(), separable(data, at).tolist(), strict=True):
+            t = raw[lo:hi]
+            if plain:
+                t = t.lower()
+                for c in (b",", b"."):
+                    if c in t:
+                        t = t.replace(c + b" ", b" " + c + b" ").replace(c + b"\n", b" " + c + b" ")
+            texts.append(t.split())
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(texts)))
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
-            new = list(every)
-        self._learn(new)
-        return [b"".join(map(self.words.__getitem__, w)) for w in words]
+            new = set().union(*texts)
+        letters, other = [], []
+        for w in new:
+            (letters if w.isalpha() or w.decode().isalpha() else other).append(w)
+        self._many(letters)
+        self._one(other)
+        return [b"".join(map(self.words.__getitem__, t)) for t in texts]
 
 
 _KEPT: dict[str, WordEncoder] = {}
@@ -170,9 +214,8 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, key: str,
         ids, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for b in slices(batches, text):
             data, at = utf8(b.column(b.schema.get_field_index(text)))
-            raw = data.tobytes()
             rows = [[] for _ in range(7)]
-            for k, e in enumerate(ids([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])):
+            for k, e in enumerate(ids(data, at)):
                 e += end
                 for p, lo in enumerate(range(0, len(e) // 4, seq_len)):
                     cut = e[4 * lo : 4 * (lo + seq_len)]
