@@ -78,7 +78,7 @@ class Fingerprinter:
     def __call__(self, text: bytes) -> tuple[str, ...]:
         """Without lexicon terms, all distinct terms are used: unrelated short texts don't look alike."""
         words = set(text.lower().split())
-        own = sorted(filter(None.__ne__, map(self.index.get, words)))
+        own = sorted([i for i in map(self.index.get, words) if i is not None])
         hashes, bits = (self.hashes[own], self.bits[own]) if own else self._terms(sorted(words))
         subset, term = np.nonzero(bits.T)
         ends = np.searchsorted(subset, np.arange(len(self.limits) + 1)) * 8

@@ -67,8 +67,9 @@ def parse(raw: bytes) -> dict:
 class Writer:
     """One archive: records held until the dictionary is trained, then compressed one by one."""
 
-    def __init__(self, out):
+    def __init__(self, out, train_bytes: int = TRAIN_BYTES):
         self.out, self.held, self.bytes, self.packer, self.written = out, [], 0, None, 0
+        self.train_bytes = train_bytes
 
     def add(self, raw: bytes) -> None:
         if self.packer:
@@ -76,7 +77,7 @@ class Writer:
         else:
             self.held.append(raw)
             self.bytes += len(raw)
-            if self.bytes >= TRAIN_BYTES:
+            if self.bytes >= self.train_bytes:
                 self._train()
 
     def _train(self) -> None:
@@ -147,7 +148,7 @@ def plan_records(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return p.join(same, "sha", "left").select("page_id", "url", "html", F.when(F.col("top") != F.col("page_id"), F.col("top")).when(F.col("page_id").isNull(), F.col("top")).alias("refers"))
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     """Write the archives and return (path, records) of each. The table is stored, so no archive is written twice."""
     ship(pages.sparkSession)
 
@@ -161,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
                     if writer:
                         writer.close()
                     made.append([f"{root}/part-{ctx.partitionId():06d}-{ctx.taskAttemptId()}-{len(made):04d}.warc.zst", 0])
-                    writer = Writer(fs.open_output_stream(made[-1][0], compression=None))
+                    writer = Writer(fs.open_output_stream(made[-1][0], compression=None), train_bytes)
                 payload = h.encode()
                 writer.add(record(page, u.replace("\r", "%0D").replace("\n", "%0A"), payload, digest(payload), (ref,) if ref is not None else None))
                 made[-1][1] += 1
