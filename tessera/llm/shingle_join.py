@@ -2,16 +2,18 @@
 
 1. Every document becomes its set of distinct shingles, known by 48-bit hashes. Documents with one set are one class, of which the
    smallest doc_id goes on.
-2. Document frequencies are counted by ranges of the hash. A shingle of one document can't be shared: it is only
-   counted. Sorted by frequency, then hash, such shingles come first.
+2. A shingle of one document can't be shared. Shingles are counted by ranges of a shorter hash, and each document's
+   shingles that occur elsewhere are counted: only documents with enough of them to link go on, few as a rule. Document
+   frequencies are then taken among these. Sorted by frequency, then hash, shingles of one document come first.
 3. Two sets of Jaccard similarity t share at least a = ceil(t * n) of n shingles, so they share one shingle in the first
    n - a + 1 of each, and two in the first n - a + 2. A shingle of a rare class (at most ``frequent`` documents) in the shorter
    prefix is a key by itself. If the first shared shingle is of the frequent class, all shared ones are, so combinations of two
    frequent shingles of the extended prefix are keys. Sets of more than ``long`` shingles would have too many combinations: they,
    and those that could match them, use single frequent shingles.
-4. Documents with a key in common are candidates. Each is verified against the first document of the key (a star); connected
-   components of the links follow. Only candidates of one key that are still in different components are then paired, so
-   a group of many near copies costs a star and not its square, and yet no link between components is lost.
+4. Documents with a key in common are candidates. Each is verified against one document of the key (a star); connected
+   components of the links follow. Keys whose documents are still in several components are taken up again by the differences
+   of the documents from the star's middle (see ``apart``), so a group of many near copies costs stars and not its square, and
+   yet no link between components is lost.
 5. Verification intersects the shared shingles (step 2 dropped those of one document, which meet nothing) and uses the
    sizes of the whole sets.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -29,7 +31,7 @@ from .columns import documents, slices, utf8
 from .exchange import NULL_KEY, SCHEMA, Outbox, bits_for, dealt, mix, opened, prefix_sums, ranges, sent
 from .spans import to_documents
 
-WORDS, PERCENT, FREQUENT, LONG = 5, 80, 1000, 300
+WORDS, PERCENT, FREQUENT, LONG, HASH_BITS = 5, 80, 1000, 300, 40
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WEIGHTS = mix(np.arange(101, 201, dtype=np.uint64)) | np.uint64(1)
@@ -95,6 +97,65 @@ def shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     return docs.select("k", text).mapInArrow(run, "k long, n long, d1 long, d2 long")
 
 
+def repeat_counts(docs: DataFrame, text: str, words: int, bits: int, hash_bits: int = HASH_BITS) -> DataFrame:
+    """(k, m): at least as many shingles as the documents of key k share with others.
+
+    Hashes of ``hash_bits`` are enough here: a collision can only raise a count.
+    """
+    cut = np.uint64(48 - hash_bits)
+
+    def send(batches):
+        box = Outbox(bits, hash_bits)
+
+        def rows():
+            for b in slices(batches, text):
+                owner, h = shingles(*utf8(b.column(b.schema.get_field_index(text))), words)
+                yield from box.add([b.column(b.schema.get_field_index("k")).to_numpy()], h >> cut, owner)
+            yield from box.flush()
+
+        yield from sent(rows())
+
+    def count(batches):
+        held, size = [], 0
+
+        def rows(parts):
+            k, m = (np.concatenate(c) for c in zip(*parts, strict=True))
+            keys, place = np.unique(k, return_inverse=True)
+            return keys, np.bincount(place, weights=m).astype(np.uint32)
+
+        box = Outbox(bits, 64)
+
+        def out():
+            nonlocal held, size
+            for _, blobs in ranges(batches):
+                h, k = (np.concatenate(c) for c in zip(*(opened(x, 0) for x in blobs), strict=True))
+                order = np.argsort(h, kind="stable")
+                s, k = h[order], k[order]
+                same = s[1:] == s[:-1]
+                k = k[np.r_[False, same] | np.r_[same, False]]
+                keys, m = np.unique(k, return_counts=True)
+                held.append((keys, m))
+                size += len(keys)
+                if size > 4_000_000:
+                    keys, m = rows(held)
+                    held, size = [], 0
+                    yield from box.add([keys], to_documents(keys), np.arange(len(keys)), m)
+            if held:
+                keys, m = rows(held)
+                yield from box.add([keys], to_documents(keys), np.arange(len(keys)), m)
+            yield from box.flush()
+
+        yield from sent(out())
+
+    def total(batches):
+        for _, blobs in ranges(batches):
+            m, k = (np.concatenate(c) for c in zip(*(opened(x, 1)[1:] for x in blobs), strict=True))
+            keys, place = np.unique(k, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(place, weights=m).astype(np.int64))], names=["k", "m"])
+
+    return dealt(dealt(docs.select("k", text).mapInArrow(send, SCHEMA)).mapInArrow(count, SCHEMA)).mapInArrow(total, "k long, m long")
+
+
 def shared_shingles(docs: DataFrame, text: str, words: int, bits: int) -> DataFrame:
     """Entries (shingle, document frequency) by document, of shingles of more than one document."""
 
@@ -155,7 +216,7 @@ def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, percent: int, frequent: i
 
 
 def prefixed(entries: DataFrame, percent: int, frequent: int, long: int) -> DataFrame:
-    """(k, d1, n, shingles, keys) of the documents that share enough shingles to link with any."""
+    """(k, d1, n, m, shingles, keys) of the documents that share enough shingles to link with any."""
 
     def run(batches):
         for _, blobs in ranges(batches):
@@ -169,19 +230,19 @@ def prefixed(entries: DataFrame, percent: int, frequent: int, long: int) -> Data
             held = []
             for lo, hi in zip(cut[enough].tolist(), cut[enough + 1].tolist(), strict=True):
                 keys = prefix_keys(h[lo:hi], df[lo:hi], int(n[lo]), percent, frequent, long)
-                held.append((int(k[lo]), int(one[lo]), int(n[lo]), h[lo:hi].tobytes(), keys.view(np.int64).tolist()))
+                held.append((int(k[lo]), int(one[lo]), int(n[lo]), hi - lo, h[lo:hi].tobytes(), keys.view(np.int64).tolist()))
                 if len(held) >= 500:
                     yield out(held)
                     held = []
             if held:
                 yield out(held)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "d1", "n", "shingles", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "d1", "n", "m", "shingles", "keys"])
 
-    return dealt(entries).mapInArrow(run, "k long, d1 long, n long, shingles binary, keys array<long>")
+    return dealt(entries).mapInArrow(run, "k long, d1 long, n long, m long, shingles binary, keys array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,30 +263,97 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar_size(a, b, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def fits(na, ma, nb, mb, percent: int):
+    """Whether sets of ``na`` and ``nb`` shingles, of which ``ma`` and ``mb`` occur elsewhere, can link: the shared part is at most
+    the lesser of these."""
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(ma, mb) >= percent * (na + nb))
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the documents that link with any, smallest k first; ``sets``: see ``prefixed``."""
-    key = sets.select("k", "n", F.explode("keys").alias("key"))
-    least = key.groupBy("key").agg(F.min(F.struct("k", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
-    star = key.join(least, "key").filter((F.col("k") != F.col("p.k")) & similar_size(F.col("n"), F.col("p.n"), percent))
-    star = star.select(F.col("k").alias("a"), F.col("p.k").alias("b")).distinct()
+    """(node, component) of the documents that link with any, smallest k first; ``sets``: see ``prefixed``.
+
+    The star's middle is the document of the key with the least share of shingles of its own: of many edited copies that is
+    one that was hardly edited, which most others are near to.
+    """
+    key = sets.select("k", "n", "m", F.explode("keys").alias("key"))
+    middle = F.min(F.struct((-F.col("m") / F.col("n")).alias("own"), "k", "n", "m"))
+    star = key.join(key.groupBy("key").agg(middle.alias("p"), F.count("*").alias("size")).filter("size > 1"), "key")
+    star = star.filter((F.col("k") != F.col("p.k")) & fits(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"), percent))
+    star = star.select(F.least("k", "p.k").alias("a"), F.greatest("k", "p.k").alias("b")).distinct()
     edges = written(linked(star, sets, percent), "star-links")
     found = components(edges)
-    own = key.join(found.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    split = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = written(own.join(split, "key").select("key", "k", "n", "c"), "split-keys")
+    split = labelled(key, found).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    rest = written(key.join(split, "key"), "split-keys")
     if rest.isEmpty():
         return found
-    groups = rest.select("key", "c").distinct()
-    apart = groups.join(groups.select("key", F.col("c").alias("c2")), "key").filter("c < c2")
-    left = apart.join(rest.select("key", "c", F.col("k").alias("a"), F.col("n").alias("na")), ["key", "c"])
-    both = left.join(rest.select("key", F.col("c").alias("c2"), F.col("k").alias("b"), F.col("n").alias("nb")), ["key", "c2"])
-    cross = both.filter(similar_size(F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = linked(cross, sets, percent)
-    return components(written(edges.union(more), "links"))
+    return apart(rest, middle, sets, edges, percent)
+
+
+def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the component ``c`` of their document ``k``."""
+    return rows.join(found.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, k, n, size, tokens): by how many shingles, and which that occur elsewhere, a document differs from the shared ones of p."""
+    x = sets.select("k", "n", F.col("shingles").alias("sx"))
+    y = sets.select(F.col("k").alias("p"), F.col("shingles").alias("sp"))
+
+    def run(batches):
+        for t in batches:
+            rows = []
+            for p, k, n, a, b in zip(*(t.column(i).to_pylist() for i in range(5)), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                d = np.setxor1d(a, b, assume_unique=True)
+                rows.append((p, k, n, len(d) + n - len(a), d.astype(np.int64).tolist()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, q) for c, q in zip(cols, kinds, strict=True)], names=["p", "k", "n", "size", "tokens"])
+
+    return members.join(x, "k").join(y, "p").select("p", "k", "n", "sx", "sp").mapInArrow(run, "p long, k long, n long, size long, tokens array<long>")
+
+
+def apart(rest: DataFrame, middle, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """(node, component), with the links that the stars ``edges`` left out, of keys (``rest``) whose documents are still apart.
+
+    With D(x) the difference of x from the middle of its key, two documents differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and link
+    if that is at most (100 - percent) / (100 + percent) of n(x) + n(y). Either the sizes alone are small enough: then
+    both also link, by that rule, with the document whose size is least, one star. Or D(x) and D(y) share a shingle: an index of
+    differences finds them, first as stars on its shingles and then, between components, as pairs. Differences of near copies
+    are small, and most of their shingles are a document's own, so few pairs are left however large the group.
+    """
+    more, less = 100 + percent, 100 - percent
+    mid = rest.groupBy("key").agg(middle.alias("m")).select("key", F.col("m.k").alias("p"))
+    members = rest.join(mid, "key").filter("k != p").select("p", "k").distinct()
+    d = written(differences(members, sets), "differences")
+    over = more * F.col("size") - less * F.col("n")
+    least = d.groupBy("p").agg(F.min(F.struct(over.alias("f"), "k")).alias("z"))
+    near = d.join(least, "p").filter((F.col("k") != F.col("z.k")) & (over + F.col("z.f") <= 0)).select(F.least("k", "z.k").alias("a"), F.greatest("k", "z.k").alias("b"))
+    edges = written(edges.union(near).distinct(), "links")
+    found = components(edges)
+    t = d.select("p", "k", "n", "size", F.explode("tokens").alias("t"))
+    often = t.groupBy("p", "t").agg(F.count("*").alias("df")).filter("df > 1")
+    w = Window.partitionBy("p", "k")
+    t = t.join(often, ["p", "t"]).withColumns({"able": F.count("*").over(w), "at": F.row_number().over(w.orderBy("df", "t"))})
+    need = F.greatest(F.lit(1), F.col("size") - F.floor(less * F.col("n") / percent))  # at least so many are shared with any partner
+    index = written(t.filter((F.col("able") >= need) & (F.col("at") <= F.col("able") - need + 1)).select("p", "t", "k", "n", "size", "able"), "difference-index")
+
+    def may(n1, d1, a1, n2, d2, a2):
+        size = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+        return size & (2 * more * F.least(a1, a2) >= more * (d1 + d2) - less * (n1 + n2))
+
+    low = index.groupBy("p", "t").agg(F.min(F.struct("size", "k", "n", "able")).alias("z"))
+    z = index.join(low, ["p", "t"]).filter((F.col("k") != F.col("z.k")) & may(F.col("n"), F.col("size"), F.col("able"), F.col("z.n"), F.col("z.size"), F.col("z.able")))
+    z = labelled(z.select("k", F.col("z.k").alias("o")).distinct(), found).withColumnsRenamed({"k": "a", "c": "ca"})
+    z = labelled(z.withColumnRenamed("o", "k"), found).filter("ca != c").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+    edges = written(edges.union(linked(z, sets, percent)), "links")
+    found = components(edges)
+    x = written(labelled(index, found), "labelled-index")
+    y = x.withColumnsRenamed({c: f"{c}2" for c in x.columns})
+    hit = (F.col("p") == F.col("p2")) & (F.col("t") == F.col("t2")) & (F.col("c") < F.col("c2"))
+    pairs = x.join(y, hit & may(F.col("n"), F.col("size"), F.col("able"), F.col("n2"), F.col("size2"), F.col("able2")))
+    pairs = pairs.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+    return components(written(edges.union(linked(pairs, sets, percent)), "links"))
 
 
 def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
@@ -241,9 +369,11 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     bits = bits_for(input_bytes(docs))
     sets = written(shingle_sets(d, "text", words), "shingle-sets")
     classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"))
-    shared = prefixed(shared_shingles(d, "text", words, bits), percent, frequent, long)
-    reps = classes.select(F.col("rep").alias("k"), "d1")
-    found = links(written(shared.join(reps, ["k", "d1"], "left_semi"), "prefixes"), percent)
+    reps = classes.select(F.col("rep").alias("k"), "d1", "n")
+    able = repeat_counts(d, "text", words, bits).join(reps, "k").filter(F.col("m") >= F.floor((percent * F.col("n") + 99) / 100)).select("k").distinct()
+    some = d.join(written(able, "able"), "k", "left_semi")
+    shared = prefixed(shared_shingles(some, "text", words, bits), percent, frequent, long)
+    found = links(written(shared.join(reps.select("k", "d1"), ["k", "d1"], "left_semi"), "prefixes"), percent)
     own = classes.join(found.withColumnsRenamed({"node": "rep", "component": "to"}), "rep", "left").select("d1", "d2", "n", F.coalesce("to", "rep").alias("component"))
     own = written(own, "classes")
     out = sets.join(own, ["d1", "d2", "n"], "left")
