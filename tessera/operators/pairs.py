@@ -46,3 +46,30 @@ def stratified(d: DataFrame, flag: Column, n: int, share: float, key: str) -> Da
 
     inside = int(round(n * share))
     return sample_rows(d.filter(flag), inside, key).union(sample_rows(d.filter(~flag), n - inside, key))
+
+
+def rarest_word_negatives(p: DataFrame, words: str, k: int, id_: str = "id", block: str = "block") -> DataFrame:
+    """(id, other): up to ``k`` rows of the block that share a row's rarest word, chosen by a hash of both ids.
+
+    The word's rows are joined by key, so the work is that of the rarest words, which are in few rows.
+    """
+    w = p.select(block, id_, F.explode(F.array_distinct(words)).alias("w"))
+    df = w.groupBy(block, "w").agg(F.count("*").alias("df")).filter("df > 1")
+    rare = w.join(df, [block, "w"]).withColumn("rn", F.row_number().over(Window.partitionBy(id_).orderBy("df", "w"))).filter("rn = 1")
+    x = rare.select(block, "w", id_).join(w.select(block, "w", F.col(id_).alias("other")), [block, "w"]).filter(F.col(id_) != F.col("other"))
+    order = Window.partitionBy(id_).orderBy(F.xxhash64(id_, "other"), "other")
+    return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
+
+
+def random_negatives(p: DataFrame, k: int, id_: str = "id", block: str = "block", buckets: int = 64) -> DataFrame:
+    """(id, other): ``k`` rows of the block by chance: each row is joined with one hashed bucket of its block."""
+    a = p.select(block, id_, F.pmod(F.xxhash64(id_, F.lit(1)), F.lit(buckets)).alias("g"))
+    b = p.select(block, F.col(id_).alias("other"), F.pmod(F.xxhash64(id_, F.lit(2)), F.lit(buckets)).alias("g"))
+    x = a.join(b, [block, "g"]).filter(F.col(id_) != F.col("other"))
+    order = Window.partitionBy(id_).orderBy(F.xxhash64(id_, "other", F.lit(3)), "other")
+    return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
+
+
+def owned_excluded(neg: DataFrame, truth: DataFrame, keys: tuple[str, str] = ("id", "other")) -> DataFrame:
+    """Negatives without pairs that are true."""
+    return neg.join(truth.select(*keys), list(keys), "left_anti")

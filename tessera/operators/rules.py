@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.metrics import partial_udf, unmatched_udf
+from ..functions.metrics import partial_udf, unlike_udf, unmatched_udf
 from .windows import best_first
 
 
@@ -149,3 +149,89 @@ def change_report(d: DataFrame, before: Column, after: Column, true: Column, by:
     """What a rule changes, by group: rows, share of true ones, accepted before and after."""
     x = d.filter(before != after)
     return x.groupBy(by).agg(F.count("*").alias("changed"), F.round(F.avg(true.cast("double")), 6).alias("precision"), F.count_if(before).alias("before"), F.count_if(after).alias("after"))
+
+
+def restore_core_name(d: DataFrame, core1: str = "cn1", core2: str = "cn2", entity_count: str = "n_core", judge: str = "llm") -> DataFrame:
+    """Claims without an address whose core name equals the entity's, which no other entity has, where the judge says yes."""
+    return d.filter((F.col("address2") == "") & (F.col(core1) == F.col(core2)) & (F.col(core1) != "") & (F.col(entity_count) == 1) & F.coalesce(F.col(judge) > 0, F.lit(False)))
+
+
+def restore_vetoed(d: DataFrame, main: str = "mq", threshold: float = 0.7) -> DataFrame:
+    """Vetoed claims without an address that the main model accepts and whose every name word is on the entity's name, or
+    whose core name only that entity has."""
+    words = on_street(F.col("name2"), F.col("name1"))
+    return d.filter((F.col("address2") == "") & (F.col(main) >= threshold) & (words | (F.col("n_core") == 1)))
+
+
+def restore_alias(d: DataFrame, known: DataFrame, sure: float = 0.80, likely: float = 0.10, most: int = 2, generic: int = 200) -> DataFrame:
+    """Claims at the exact address of its only entity under a made-up name, where the main model's score ``mq`` is high, or is
+    not hopeless and the entity has few such names.
+
+    ``known``: (w, n), how many entities' names have a word. A made-up name has a new word of four letters or more, else only
+    generic or short words, and nothing like the entity's name. Columns: rid, sid, name1/2 (arrays), raw2, here, n1/n2, street1/2.
+    """
+    place = (F.col("n2") >= 0) & (F.col("n1") == F.col("n2")) & (F.col("here") == 1) & on_street(F.col("street1"), F.col("street2")) & on_street(F.col("street2"), F.col("street1"))
+    x = d.filter(place & ~F.col("raw2").rlike(r"\.(com|fr|in|net|org)\b|^[@#]"))
+    w = x.select("rid", "sid", F.explode("name2").alias("w")).join(known, "w", "left")
+    new = (F.length("w") >= 4) & F.col("w").rlike("^[a-z]+$") & F.col("n").isNull()
+    fine = new | (F.coalesce("n", F.lit(0)) >= generic) | (F.length("w") <= 2)
+    names = w.groupBy("rid", "sid").agg(F.bool_or(new).alias("has_new"), F.bool_and(fine).alias("all_fine")).filter("has_new AND all_fine").select("rid", "sid")
+    own = F.filter("name1", lambda t: F.length(t) >= 2)
+    joined = F.array_join("name2", "")
+    x = x.join(names, ["rid", "sid"], "left_semi").filter(F.size(own) > 0)
+    apart = (F.size(unlike_udf(F.col("name2"), own)) == F.size("name2")) & ~F.exists(own, lambda t: (F.length(t) >= 4) & F.contains(joined, t))
+    x = x.filter(apart).withColumn("n_alias", F.count("*").over(Window.partitionBy("sid")))
+    return x.filter((F.col("mq") >= sure) | ((F.col("mq") >= likely) & (F.col("n_alias") <= most)))
+
+
+def reject_decoy_words(d: DataFrame, decoys: list[str], unlabelled: Column, added: str = "added") -> DataFrame:
+    """Claims of blocks without labels that add a decoy-like word (see ``word_classes``)."""
+    return d.filter(unlabelled & F.arrays_overlap(added, F.array(*[F.lit(w) for w in decoys])))
+
+
+def unjudged(d: DataFrame, scores: DataFrame, keys: tuple[str, str] = ("rid", "sid")) -> DataFrame:
+    """Claims that rules would like a judgement of and that have none yet."""
+    return d.join(scores.filter(F.col("llm").isNotNull()).select(*keys), list(keys), "left_anti")
+
+
+def distinctive_street(street: Column, common: Column) -> Column:
+    """Street words without those that many addresses of the block have."""
+    return F.array_except(street, common)
+
+
+def baseline(d: DataFrame, rule: str, a: float, b: float = 0.0) -> Column:
+    """Simple acceptance rules: cosine, name and address, the same with mutual best, or a weighted sum."""
+    if rule == "cosine":
+        return F.col("score") >= a
+    if rule == "both":
+        return (F.col("name") >= a) & (F.col("address") >= b)
+    if rule == "mutual":
+        return (F.col("name") >= a) & (F.col("address") >= b) & F.col("mutual")
+    return 0.4 * F.col("name") + 0.6 * F.col("address") >= a
+
+
+def baseline_grid(d: DataFrame, grid: list[tuple[str, float, float]], true: str = "tru") -> DataFrame:
+    """(rule, a, b, accepted, precision, recall) of every rule of the grid, in one pass over the pairs."""
+    t = F.col(true)
+    aggs = [F.count_if(t).alias("t")]
+    for i, (rule, a, b) in enumerate(grid):
+        ok = baseline(d, rule, a, b)
+        aggs += [F.count_if(ok).alias(f"n{i}"), F.count_if(ok & t).alias(f"h{i}")]
+    row = d.agg(*aggs)
+    cells = [F.struct(F.lit(r).alias("rule"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.col(f"n{i}").alias("accepted"), F.try_divide(F.col(f"h{i}"), F.col(f"n{i}")).alias("precision"), F.try_divide(F.col(f"h{i}"), F.col("t")).alias("recall")) for i, (r, a, b) in enumerate(grid)]
+    return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
+def weak_names(d: DataFrame, by: list[str], name: str = "name", address: str = "address", low: float = 50.0) -> DataFrame:
+    """Of pairs with unlike names: their share, how like their addresses are, and the share where both are unlike."""
+    weak = F.col(name) < low
+    return d.groupBy(*by).agg(
+        F.avg(weak.cast("double")).alias("weak_share"),
+        F.percentile(F.when(weak, F.col(address)), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("address_q"),
+        F.avg((weak & (F.col(address) < low)).cast("double")).alias("both_weak"),
+    )
+
+
+def blend_report(d: DataFrame, before: str, after: str, extra: str, threshold: float, by: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """By group: unsure rows, those with an extra score, accepted before and after."""
+    return d.groupBy(by).agg(F.count_if((F.col(before) > low) & (F.col(before) < high)).alias("unsure"), F.count(extra).alias("scored"), F.count_if(F.col(before) >= threshold).alias("before"), F.count_if(F.col(after) >= threshold).alias("after"))

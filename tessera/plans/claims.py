@@ -274,3 +274,37 @@ def fix_same_address(spark, d):
     true = [str(i) for i in range(10)]
     decoy = [str(i) for i in range(30, 40)]
     return rules.word_fixes(c, "added", true, decoy).select("rid", "fix")
+
+
+@query("baseline_grid", f"""WITH {CLAIMS}, x AS (SELECT p AS score, p AS name, 1 - disc * 8 AS address, kr % 2 = 0 AS mutual, tru FROM c), t AS (SELECT count(*) FILTER (tru) AS t FROM x),
+g AS (SELECT * FROM (VALUES ('cosine', .75, 0), ('both', .5, .6), ('mutual', .5, .6), ('sum', .7, 0)) v(rule, a, b)),
+y AS (SELECT rule, a::DOUBLE AS a, b::DOUBLE AS b, count(*) AS accepted, count(*) FILTER (tru) AS h FROM x, g WHERE CASE rule WHEN 'cosine' THEN score >= a WHEN 'both' THEN name >= a AND address >= b WHEN 'mutual' THEN name >= a AND address >= b AND mutual ELSE .4 * name + .6 * address >= a END GROUP BY rule, a, b)
+SELECT rule, a, b, accepted, round(h / accepted, 6) AS precision, round(h / t, 6) AS recall FROM y, t""")
+def baseline_grid(spark, d):
+    x = claims(spark, d).select(F.col("p").alias("score"), F.col("p").alias("name"), (1 - F.col("disc") * 8).alias("address"), (F.col("kr") % 2 == 0).alias("mutual"), "tru")
+    out = rules.baseline_grid(x, [("cosine", 0.75, 0), ("both", 0.5, 0.6), ("mutual", 0.5, 0.6), ("sum", 0.7, 0)])
+    return out.select("rule", "a", "b", "accepted", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("weak_names", f"""WITH {CLAIMS}, x AS (SELECT src, p * 100 AS name, (1 - disc * 8) * 100 AS address FROM c) SELECT src, round(avg((name < 50)::INT), 6) AS weak_share, round(quantile_cont(address, .5) FILTER (name < 50), 4) AS address_median, round(avg((name < 50 AND address < 50)::INT), 6) AS both_weak FROM x GROUP BY src""")
+def weak_names(spark, d):
+    x = claims(spark, d).select("src", (F.col("p") * 100).alias("name"), ((1 - F.col("disc") * 8) * 100).alias("address"))
+    return rules.weak_names(x, ["src"]).select("src", F.round("weak_share", 6).alias("weak_share"), F.round(F.element_at("address_q", 2), 4).alias("address_median"), F.round("both_weak", 6).alias("both_weak"))
+
+
+@query("blend_report", f"""WITH {CLAIMS} SELECT src, count(*) FILTER (p > .05 AND p < .95) AS unsure, count(CASE WHEN disc > .05 THEN disc END) AS scored, count(*) FILTER (p >= .7) AS before, count(*) FILTER (p * (1 - disc) >= .7) AS after FROM c GROUP BY src""")
+def blend_report(spark, d):
+    x = claims(spark, d).withColumns({"after": F.col("p") * (1 - F.col("disc")), "llm": F.when(F.col("disc") > 0.05, F.col("disc"))})
+    return rules.blend_report(x, "p", "after", "llm", 0.7, "src")
+
+
+@query("feature_summary", f"""WITH {CLAIMS} SELECT round(avg(p), 6) AS mean_p, round(stddev_samp(p), 6) AS std_p, min(p) AS min_p, max(p) AS max_p, round(avg(disc), 6) AS mean_disc, round(stddev_samp(disc), 6) AS std_disc FROM c""")
+def feature_summary(spark, d):
+    return claims(spark, d).agg(F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.stddev_samp("p"), 6).alias("std_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"), F.round(F.avg("disc"), 6).alias("mean_disc"), F.round(F.stddev_samp("disc"), 6).alias("std_disc"))
+
+
+@query("unjudged_claims", f"""WITH {CLAIMS} SELECT rid, sid FROM c WHERE p BETWEEN .4 AND .6 AND NOT disc > .03""")
+def unjudged_claims(spark, d):
+    c = claims(spark, d)
+    scores = c.select("rid", "sid", F.when(F.col("disc") > 0.03, F.col("disc")).alias("llm"))
+    return rules.unjudged(c.filter("p BETWEEN 0.4 AND 0.6"), scores).select("rid", "sid")

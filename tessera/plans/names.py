@@ -95,3 +95,19 @@ def structural_rule(spark, d):
         F.create_map(F.lit("fine"), F.lit(0.5), F.lit("odd"), F.lit(0.01)).alias("z"),
     )
     return rules.structural(x).select("rid", "sid")
+
+
+@query("rarest_word_negatives")
+def rarest_word_negatives(spark, d):
+    from ..operators import pairs
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), F.split("p_name", " ").alias("w"))
+    return pairs.rarest_word_negatives(p, "w", 2)
+
+
+@query("random_negatives")
+def random_negatives(spark, d):
+    from ..operators import pairs
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"))
+    return pairs.random_negatives(p, 2, buckets=4)

@@ -141,3 +141,36 @@ def test_resolve(spark):
     links, pairs_ = resolve(e, r, Config())
     assert {(x.rid, x.sid) for x in links.collect()} == {("S2-1", "S1-1"), ("S3-1", "S1-2")}
     assert links.join(pairs_, ["rid", "sid"], "left_anti").count() == 0
+
+
+def test_restoring_rules(spark):
+    st = ["rue", "longue"]
+    cols = "rid string, sid string, name1 array<string>, name2 array<string>, raw2 string, n1 long, n2 long, here long, street1 array<string>, street2 array<string>, mq double"
+    at = (4, 4, 1, st, st)
+    rows = [("a", "s", ["acme", "tools"], ["zorblatt"], "zorblatt", *at, 0.9), ("b", "s", ["acme", "tools"], ["acmetools"], "acmetools", *at, 0.9), ("c", "s", ["acme"], ["known", "of"], "known of", *at, 0.9), ("d", "t", ["acme"], ["quuxly", "group"], "quuxly group", *at, 0.05), ("e", "u", ["acme"], ["quuxly", "group"], "quuxly group", *at, 0.2), ("f", "u", ["acme"], ["quuxly"], "quuxly.com", *at, 0.9)]
+    known = spark.createDataFrame([("known", 3), ("group", 500), ("acme", 2)], "w string, n long")
+    assert {r.rid for r in rules.restore_alias(spark.createDataFrame(rows, cols), known).collect()} == {"a", "e"}
+    c = spark.createDataFrame([("", "acme", "acme", 1, 0.5, 0.9), ("", "acme", "acme", 2, 0.5, 0.9), ("x", "acme", "acme", 1, 0.5, 0.9), ("", "acme", "acme", 1, None, 0.9)], "address2 string, cn1 string, cn2 string, n_core long, llm double, mq double")
+    assert rules.restore_core_name(c).count() == 1
+    v = c.withColumns({"name1": F.array(F.lit("acme")), "name2": F.array(F.lit("acmee"))})
+    assert rules.restore_vetoed(v).count() == 3
+    r = spark.createDataFrame([(["bad"], True), (["bad"], False), (["ok"], True)], "added array<string>, u boolean")
+    assert rules.reject_decoy_words(r, ["bad"], F.col("u")).count() == 1
+    k = spark.createDataFrame([("w", 100, 50, 0.05), ("x", 100, 50, 0.3), ("y", 100, 50, 0.15)], "w string, n long, n_other long, tv double")
+    assert {x.w: x.kind for x in rules.word_classes(k).collect()} == {"w": "true", "x": "decoy", "y": "unclear"}
+
+
+def test_negatives(spark):
+    p = spark.createDataFrame([(i, "b", ["common", f"w{i // 2}"]) for i in range(10)], "id long, block string, w array<string>")
+    got = {(r.id, r.other) for r in pairs.rarest_word_negatives(p, "w", 3).collect()}
+    assert got == {(i, i ^ 1) for i in range(10)}
+    assert all(r.id != r.other for r in pairs.random_negatives(p, 2, buckets=2).collect())
+    assert pairs.owned_excluded(pairs.rarest_word_negatives(p, "w", 3), spark.createDataFrame([(0, 1)], "id long, other long")).count() == 9
+
+
+def test_external_scores(spark):
+    from tessera.operators import models
+
+    d = spark.createDataFrame([(1, 1, 0.5), (2, 2, 0.99)], "rid long, sid long, q double")
+    s = spark.createDataFrame([(1, 1, 2.0), (2, 2, 3.0)], "rid long, sid long, llm double")
+    assert {r.rid: r.llm for r in models.with_external_score(d, s, ["rid", "sid"], "llm", 0.1, 0.9).collect()} == {1: 2.0, 2: None}
