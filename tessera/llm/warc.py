@@ -140,11 +140,12 @@ def filesystem(path: str):
 def plan_records(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """Every page with ``refers``: the page whose equal payload it revisits, or null. Digests are aggregated before the join.
 
-    Among equal payloads the largest page is the response. A group that holds many pages is split by the skew join.
+    Among equal payloads the largest page is the response. The digests are stored first: then both sides of the join are plain
+    exchanges, and adaptive execution splits a digest that many pages have.
     """
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    same = p.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top")
+    same = written(p.groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top"), "same-payloads")
     return p.join(same, "sha", "left").select("page_id", "url", "html", F.when(F.col("top") != F.col("page_id"), F.col("top")).when(F.col("page_id").isNull(), F.col("top")).alias("refers"))
 
 
