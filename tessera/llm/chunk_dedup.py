@@ -17,7 +17,8 @@ from .columns import documents, slices, utf8
 from .exchange import SCHEMA, Outbox, bits_for, dealt, mix, opened, ranges, sent
 from .spans import by_document, identified, ids, joined, merged, removal, to_documents
 
-MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_SPAN = 5, 16, 256, 150
+MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_SPAN = 4, 12, 128, 100
+PART = 2 << 20  # bytes of text worked on at a time
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -82,7 +83,7 @@ def duplicate_chunks(docs: DataFrame, text: str, bits: int) -> DataFrame:
         box = Outbox(bits, 64)
 
         def rows():
-            for b in slices(batches, text):
+            for b in slices(batches, text, PART):
                 hi, lo, owner, start, length = chunk_entries(*utf8(b.column(b.schema.get_field_index(text))))
                 yield from box.add(ids(b), hi, owner, lo, start, length)
             yield from box.flush()
