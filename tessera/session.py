@@ -103,4 +103,6 @@ def width(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables of a folder; the workers get the package with the first one that is opened."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
