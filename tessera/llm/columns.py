@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,19 @@ from ..session import ship, table
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 30_000
 
 
+#: What empties the caches that this worker keeps over tasks.
+RELEASE: list[Callable[[], None]] = []
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks and shares its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     return table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import width
+from .columns import RELEASE, trim
 
 NULL_KEY = -(1 << 63)
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
@@ -61,7 +62,7 @@ class Outbox:
     def add(self, docs: list[np.ndarray], keys: np.ndarray, doc: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """``doc``: each entry's row in ``docs``."""
         if len(keys):
-            self.held.append([keys, doc.astype(np.int64) + self.n_docs, *cols])
+            self.held.append([keys, doc.astype(np.int32) + np.int32(self.n_docs), *cols])
             self.docs.append(docs)
             self.n += len(keys)
             self.n_docs += len(docs[0])
@@ -101,6 +102,9 @@ SCHEMA = "r int, blob binary"
 
 
 def sent(rows: Iterator[tuple[int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches. These tasks need memory: caches of others in this worker go first, and what is freed goes back."""
+    for release in RELEASE:
+        release()
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -110,6 +114,7 @@ def sent(rows: Iterator[tuple[int, bytes]], most: int = 4 << 20) -> Iterator[pa.
             held, size = [], 0
     if held:
         yield batch(held)
+    trim()
 
 
 def dealt(df: DataFrame) -> DataFrame:

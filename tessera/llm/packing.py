@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .columns import documents, slices, utf8
+from .columns import RELEASE, documents, slices, utf8
 
 SEQ_LEN, END_ID = 4096, 1
 CACHE_WORDS = 900_000
@@ -202,6 +202,7 @@ def encoder(tokenizer: str) -> WordEncoder:
     """The worker's encoder of a tokenizer file; its caches last over tasks."""
     if tokenizer not in _KEPT:
         _KEPT[tokenizer] = WordEncoder(tokenizer)
+        RELEASE.append(_KEPT[tokenizer].words.clear)
     return _KEPT[tokenizer]
 
 

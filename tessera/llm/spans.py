@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import blobs, slices
+from .columns import blobs, slices, trim
 from .exchange import NULL_KEY, dealt, mix, opened, ranges
 
 FIELDS = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
@@ -61,6 +61,7 @@ def by_document(entries: DataFrame, n_cols: int, make: Callable[..., list[np.nda
                     held = []
             if held:
                 yield out(held)
+        trim()
 
     def out(rows):
         cols = list(zip(*rows, strict=True))

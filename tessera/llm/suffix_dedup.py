@@ -31,7 +31,7 @@ from .exchange import SCHEMA, Outbox, bits_for, dealt, mix, opened, pack, prefix
 from .spans import by_document, identified, ids, joined, merged, removal, squeezed, to_documents
 
 LENGTH, GRAM = 100, 32
-BLOCK, SORT_BYTES = 1 << 22, 1 << 20
+BLOCK, SORT_BYTES, PART = 1 << 22, 1 << 20, 2 << 20
 
 
 def dense(x: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
         box = Outbox(bits, 48)
 
         def rows():
-            for b in slices(batches, text):
+            for b in slices(batches, text, PART):
                 data, at = utf8(b.column(b.schema.get_field_index(text)))
                 key, d, start, n, context = anchored(data, at, length, gram)
                 yield from box.add(ids(b), key, d, (start - at[d]).astype(np.uint32), n.astype(np.uint8), context)
