@@ -51,7 +51,7 @@ def ship(spark: SparkSession) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = getattr(spark.sparkContext, "_tessera_scratch", None)
         if not at:
