@@ -117,12 +117,8 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     n = max(1, min(20_000, input_bytes(docs) // (4 << 20)))
     k = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     rows = docs.select(k.alias("k"), F.col(key).alias("own"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    limits = rows.select("k").stat.approxQuantile("k", [i / n for i in range(n)], 0.2 / n) if n > 1 else []
-    low = rows.agg(F.min("k").alias("m")).first()["m"]
-    if low is None:
-        limits = []
-    else:
-        limits = sorted({int(low), *map(int, limits)})
+    found = rows.agg(F.min("k").alias("low"), F.percentile_approx("k", [i / n for i in range(n)], max(10_000, 5 * n)).alias("at")).first()
+    limits = sorted({found["low"], *found["at"]}) if found["low"] is not None else []
     edges = spark.sparkContext.broadcast(np.array(limits, np.int64))
     last = max(len(limits) - 1, 0)
 

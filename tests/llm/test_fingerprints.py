@@ -43,6 +43,16 @@ def test_likeness():
     assert f(b"unknown") != f(b"other")
 
 
+def test_large_ids(spark, monkeypatch):
+    monkeypatch.setattr(I, "input_bytes", lambda _: 64 << 20)
+    big = 1 << 62
+    rows = [(big + i, f"text number {i} of many") for i in range(40)]
+    got = {r.doc_id: r.edited_sha256 for r in I.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, (k, t) in enumerate(rows):
+        half = len(t) // 2
+        assert got[k] == hashlib.sha256((t[: len(t) - half] + rows[(i + 1) % 40][1][:half]).encode()).hexdigest()
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert I.edited_fingerprints(df).count() == 0
