@@ -18,6 +18,9 @@ QUERIES = {
     "quality_base": quality_rules.quality_base,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op2_chat_snapshots": conversations.ORACLE,
+    "op6_shingle_join": shingle_join.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "quality_base": quality_rules.ORACLE_BASE,
 }

@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 
 from ..session import input_bytes, ship
 from .columns import documents, slices, utf8
-from .exchange import SCHEMA, Outbox, bits_for, dealt, mix, opened, ranges, sent
+from .exchange import SCHEMA, FirstPlaces, Outbox, bits_for, dealt, later_places, mix, opened, passed, ranges, sent
 from .spans import by_document, identified, ids, joined, merged, removal, to_documents
 
 MASK_BITS, MIN_CHUNK, MAX_CHUNK, MIN_SPAN = 4, 12, 128, 100
-PART = 2 << 20  # bytes of text worked on at a time
+PART = 1 << 20  # bytes of text worked on at a time
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -80,12 +80,12 @@ def duplicate_chunks(docs: DataFrame, text: str, bits: int) -> DataFrame:
     """Entries (start, length) of the documents of ``docs`` (identified), for all but the first occurrence of each chunk."""
 
     def send(batches):
-        box = Outbox(bits, 64)
+        box = FirstPlaces(bits, 64, lambda key, start, length: (start, length))
 
         def rows():
             for b in slices(batches, text, PART):
                 hi, lo, owner, start, length = chunk_entries(*utf8(b.column(b.schema.get_field_index(text))))
-                yield from box.add(ids(b), hi, owner, lo, start, length)
+                yield from box.add(ids(b), hi, owner, start, length, lo)
             yield from box.flush()
 
         yield from sent(rows())
@@ -94,15 +94,17 @@ def duplicate_chunks(docs: DataFrame, text: str, bits: int) -> DataFrame:
         box = Outbox(bits, 64)
 
         def rows():
-            for _, blobs in ranges(batches):
-                hi, lo, start, length, k, h = (np.concatenate(c) for c in zip(*(opened(x, 3) for x in blobs), strict=True))
+            known = []
+            for blobs in passed(ranges(batches), 1 << bits, known):
+                hi, start, length, lo, k, h = (np.concatenate(c) for c in zip(*(opened(x, 3) for x in blobs), strict=True))
                 order = np.lexsort((start, h, k, lo, hi))
-                hi, lo, start, length, k, h = (c[order] for c in (hi, lo, start, length, k, h))
-                again = np.r_[False, (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1])]
-                head = np.maximum.accumulate(np.where(again, 0, np.arange(len(hi))))
-                again &= (k != k[head]) | (h != h[head]) | (start != start[head])  # a repeated row is the same place again
-                start, length, k, h = (c[again] for c in (start, length, k, h))
+                hi, start, length, lo, k, h = (c[order] for c in (hi, start, length, lo, k, h))
+                later = later_places(hi, lo, k, h, start)
+                start, length, k, h = (c[later] for c in (start, length, k, h))
                 yield from box.add([k, h], to_documents(k), np.arange(len(k)), start, length)
+                yield from known
+                known.clear()
+            yield from known
             yield from box.flush()
 
         yield from sent(rows())
@@ -121,16 +123,18 @@ def chunk_spans(docs: DataFrame, text: str, min_span: int) -> DataFrame:
     return by_document(duplicate_chunks(docs, text, bits_for(input_bytes(docs))), 2, make, ["span_starts", "span_ends"])
 
 
-def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, min_span: int = MIN_SPAN, digest: bool = True) -> DataFrame:
+def chunk_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, min_span: int = MIN_SPAN, digest: bool = True, keep_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with counts and the digest of what is left, or (``digest=False``) with its text replaced by that.
 
+    ``keep_text=False`` leaves the text out of a result with digests.
+
     Null and empty texts have no chunks. Rows that repeat key and text are one document. A null key is a key of its own, before all
     others. Columns named as a result are replaced. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    d = identified(docs, key, text)
-    return removal(joined(d, chunk_spans(d, text, min_span), text), text, docs.schema.fields, digest)
+    d, t = identified(docs, key, text)
+    return removal(joined(d, chunk_spans(d, t, min_span), t), t, docs.schema.fields, digest, keep_text)
 
 
 def op9_chunk_dedup(spark, sf_dir: str) -> DataFrame:
-    return chunk_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return chunk_dedup(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -17,7 +17,7 @@ from ..session import width
 from .columns import RELEASE, trim
 
 NULL_KEY = -(1 << 63)
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
@@ -76,7 +76,7 @@ class Outbox:
         docs = [np.concatenate(c) for c in zip(*self.docs, strict=True)]
         self._clear()
         order = np.argsort(cols[0])
-        cols = [c[order] for c in cols]
+        cols, docs = yield from self.settled([c[order] for c in cols], docs)
         cuts = np.searchsorted(cols[0] >> np.uint64(self.shift), np.arange(self.n_ranges + 1, dtype=np.uint64))
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             keys, doc, *rest = (c[cuts[r] : cuts[r + 1]] for c in cols)
@@ -87,6 +87,63 @@ class Outbox:
             yield r, pack([np.diff(keys, prepend=np.uint64(0)), place[doc].astype(np.uint16 if len(own[0]) < 65536 else np.uint32), *rest, *own])
 
 
+    def settled(self, cols: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """What of the sorted entries is still to be sent; a kind of box may settle entries among those it holds."""
+        yield from ()
+        return cols, docs
+
+
+class FirstPlaces(Outbox):
+    """Entries (key; start, length, identity) of documents (k, h) of which only the earliest place of each key and identity
+    matters to others.
+
+    Later places that a task holds are known to be duplicates: they don't go to the key's range, where a hot key's would all meet,
+    but straight to their documents, as ranges after the ``n_ranges`` of keys (see ``passed``). ``form`` gives the columns they have
+    there.
+    """
+
+    def __init__(self, bits: int, key_bits: int, form):
+        super().__init__(bits, key_bits)
+        self.form, self.direct = form, Outbox(bits, 64)
+
+    def settled(self, cols, docs):
+        key, doc, start, size, ident = cols
+        same = key[1:] == key[:-1]
+        i = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+        if not len(i):
+            return cols, docs
+        k, h = (d[doc[i]] for d in docs[:2])
+        order = np.lexsort((start[i], h, k, ident[i], key[i]))
+        i, k, h = i[order], k[order], h[order]
+        later = i[later_places(key[i], ident[i], k, h, start[i])]
+        k, h = (d[doc[later]] for d in docs[:2])
+        yield from self.direct.add([k, h], mix(k.view(np.uint64)), np.arange(len(later)), *self.form(key[later], start[later], size[later]))
+        for r, blob in self.direct.flush():
+            yield r + self.n_ranges, blob
+        keep = np.ones(len(key), bool)
+        keep[later] = False
+        return [c[keep] for c in cols], docs
+
+
+def later_places(key, ident, k, h, start) -> np.ndarray:
+    """Which of entries in order of all five columns are not at the first place of their key and identity.
+
+    A document given twice is at one place.
+    """
+    top = np.r_[True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])]
+    head = np.maximum.accumulate(np.where(top, np.arange(len(key)), 0))
+    return (k != k[head]) | (h != h[head]) | (start != start[head])
+
+
+def passed(groups, n_ranges: int, out: list):
+    """The ranges of keys; rows that go straight to documents are put in ``out``, for the caller to send on."""
+    for r, blobs in groups:
+        if r >= n_ranges:
+            out += [(r - n_ranges, b) for b in blobs]
+        else:
+            yield blobs
+
+
 def opened(blob: bytes, n_cols: int) -> list[np.ndarray]:
     """Key, the entry's columns (``n_cols`` of them), then its document's columns."""
     cols = unpack(blob)

@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..session import input_bytes, ship, written
 from .columns import documents, slices, utf8
-from .exchange import NULL_KEY, SCHEMA, Outbox, bits_for, dealt, mix, opened, prefix_sums, ranges, sent
+from .exchange import NULL_KEY, SCHEMA, Outbox, bits_for, dealt, mix, opened, passed, prefix_sums, ranges, sent
 from .spans import to_documents
 
 WORDS, PERCENT, FREQUENT, LONG, HASH_BITS = 5, 80, 1000, 300, 40
-PART = 2 << 20  # bytes of text worked on at a time
+NOBODY = NULL_KEY + 1
+PART = 1 << 20  # bytes of text worked on at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WEIGHTS = mix(np.arange(101, 201, dtype=np.uint64)) | np.uint64(1)
@@ -98,6 +99,31 @@ def shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     return docs.select("k", text).mapInArrow(run, "k long, n long, d1 long, d2 long")
 
 
+class Counting(Outbox):
+    """Shingles (key) of documents (k). Those that a task holds more than once are counted for their documents at once, and one entry
+    of nobody's tells the range of the shingle: so a hot shingle's documents never meet there."""
+
+    def __init__(self, bits: int, key_bits: int):
+        super().__init__(bits, key_bits)
+        self.direct = Outbox(bits, 64)
+
+    def settled(self, cols, docs):
+        key, doc = cols
+        same = key[1:] == key[:-1]
+        again = np.r_[False, same] | np.r_[same, False]
+        if not again.any():
+            return cols, docs
+        m = np.bincount(doc[again], minlength=len(docs[0]))
+        k, m = docs[0][m > 0], m[m > 0].astype(np.uint32)
+        yield from self.direct.add([k], to_documents(k), np.arange(len(k)), m)
+        for r, blob in self.direct.flush():
+            yield r + self.n_ranges, blob
+        first = again & np.r_[True, ~same]
+        doc = np.where(first, len(docs[0]), doc)
+        keep = first | ~again
+        return [key[keep], doc[keep]], [np.append(docs[0], NOBODY)]
+
+
 def repeat_counts(docs: DataFrame, text: str, words: int, bits: int, hash_bits: int = HASH_BITS) -> DataFrame:
     """(k, m): at least as many shingles as the documents of key k share with others.
 
@@ -106,7 +132,7 @@ def repeat_counts(docs: DataFrame, text: str, words: int, bits: int, hash_bits:
     cut = np.uint64(48 - hash_bits)
 
     def send(batches):
-        box = Outbox(bits, hash_bits)
+        box = Counting(bits, hash_bits)
 
         def rows():
             for b in slices(batches, text, PART):
@@ -128,7 +154,10 @@ def repeat_counts(docs: DataFrame, text: str, words: int, bits: int, hash_bits:
 
         def out():
             nonlocal held, size
-            for _, blobs in ranges(batches):
+            known = []
+            for blobs in passed(ranges(batches), 1 << bits, known):
+                yield from known
+                known.clear()
                 h, k = (np.concatenate(c) for c in zip(*(opened(x, 0) for x in blobs), strict=True))
                 order = np.argsort(h, kind="stable")
                 s, k = h[order], k[order]
@@ -144,6 +173,7 @@ def repeat_counts(docs: DataFrame, text: str, words: int, bits: int, hash_bits:
             if held:
                 keys, m = rows(held)
                 yield from box.add([keys], to_documents(keys), np.arange(len(keys)), m)
+            yield from known
             yield from box.flush()
 
         yield from sent(out())
@@ -384,3 +414,14 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def op6_shingle_join(spark, sf_dir: str) -> DataFrame:
     return shingle_components(documents(spark, sf_dir))
+
+
+#: The same components from all pairs with a shingle in common; for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), q AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1), r AS (SELECT s.* FROM s JOIN q USING (g)),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+c AS (SELECT doc_id AS k, doc_id AS o FROM documents UNION SELECT c.k, e.b FROM c JOIN e ON e.a = c.o)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT k, min(o) AS m FROM c GROUP BY k) ON k = doc_id
+"""

@@ -19,12 +19,16 @@ FIELDS = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_sp
 MARKS = [T.StructField("span_starts", T.ArrayType(T.LongType(), False)), T.StructField("span_ends", T.ArrayType(T.LongType(), False))]
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with a document's identity (k, h): its key (null has a value of its own) and a hash of its text.
+def identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with its columns renamed by place (no name can clash) and a document's identity (k, h), and the text's new name.
 
-    Rows that repeat key and text are one document given again; each gets that document's result.
+    k is the key (null has a value of its own), h a hash of the text. Rows that repeat key and text are one document given again;
+    each gets that document's result.
     """
-    return docs.withColumns({"k": F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)), "h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    names = docs.columns
+    d, t = docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text)}"
+    k = F.coalesce(F.col(f"c{names.index(key)}").cast("long"), F.lit(NULL_KEY))
+    return d.withColumns({"k": k, "h": F.xxhash64(F.coalesce(F.col(t), F.lit("")))}), t
 
 
 def ids(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -115,11 +119,14 @@ def snapped(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def removal(docs: DataFrame, text: str, columns: list[T.StructField], digest: bool) -> DataFrame:
-    """What ``joined`` gives, with counts and the digest of what is left of each text, or the text replaced by it."""
+def removal(docs: DataFrame, text: str, columns: list[T.StructField], digest: bool, keep_text: bool = True) -> DataFrame:
+    """What ``joined`` gives, with counts and the digest of what is left of each text, or the text replaced by it.
+
+    ``columns``: those of the table before it was ``identified``.
+    """
     names = [f.name for f in FIELDS] if digest else []
-    base = [f for f in columns if f.name not in names]
-    schema = T.StructType(base + (FIELDS if digest else []))
+    base = [(f"c{i}", f) for i, f in enumerate(columns) if f.name not in names and (keep_text or not digest or f"c{i}" != text)]
+    schema = T.StructType([f for _, f in base] + (FIELDS if digest else []))
 
     def rows_of(b):
         at = {n: i for i, n in enumerate(b.schema.names)}
@@ -133,11 +140,12 @@ def removal(docs: DataFrame, text: str, columns: list[T.StructField], digest: bo
                 rows, left = [], []
                 for z, s, e, null in rows_of(b):
                     t, s, e = unpacker.decompress(z), s or [], e or []
-                    left.append(None if null else snapped(t, s, e).decode() if not digest else t.decode())
+                    if keep_text or not digest:
+                        left.append(None if null else snapped(t, s, e).decode() if not digest else t.decode())
                     if digest:
                         kept = b"".join(t[x:y] for x, y in zip([0, *e], [*s, len(t)], strict=True))
                         rows.append((len(t), len(t) - len(kept), len(s), hashlib.sha256(kept).hexdigest()))
-                cols = [pa.array(left, pa.string()) if f.name == text else b.column(b.schema.get_field_index(f.name)) for f in base]
+                cols = [pa.array(left, pa.string()) if c == text else b.column(b.schema.get_field_index(c)) for c, _ in base]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(c) for c in zip(*rows, strict=True)] if digest else []), names=schema.names)
 
     return docs.mapInArrow(run, schema)

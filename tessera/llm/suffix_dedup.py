@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from ..session import input_bytes, ship, written
 from .columns import documents, slices, utf8
-from .exchange import SCHEMA, Outbox, bits_for, dealt, mix, opened, pack, prefix_sums, ranges, sent, unpack
+from .exchange import SCHEMA, FirstPlaces, Outbox, bits_for, dealt, later_places, mix, opened, pack, passed, prefix_sums, ranges, sent, unpack
 from .spans import by_document, identified, ids, joined, merged, removal, squeezed, to_documents
 
 LENGTH, GRAM = 100, 32
-BLOCK, SORT_BYTES, PART = 1 << 22, 1 << 20, 2 << 20
+BLOCK, SORT_BYTES, PART = 1 << 22, 1 << 20, 1 << 20
 
 
 def dense(x: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
     """
 
     def send(batches):
-        box = Outbox(bits, 48)
+        box = FirstPlaces(bits, 48, lambda key, start, n: (start, n, key, np.ones(len(key), np.uint8)))
 
         def rows():
             for b in slices(batches, text, PART):
@@ -149,7 +149,10 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
         box = Outbox(bits, 64)
 
         def rows():
-            for _, blobs in ranges(batches):
+            known = []
+            for blobs in passed(ranges(batches), 1 << bits, known):
+                yield from known
+                known.clear()
                 key, start, n, context, k, h = (np.concatenate(c) for c in zip(*(opened(x, 3) for x in blobs), strict=True))
                 order = np.argsort(key, kind="stable")
                 s = key[order]
@@ -162,12 +165,12 @@ def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: i
                 key, start, n, context, k, h = (c[order] for c in (key, start, n, context, k, h))
                 anchor = np.r_[True, key[1:] != key[:-1]]
                 top = anchor | np.r_[True, context[1:] != context[:-1]]
-                head = np.maximum.accumulate(np.where(top, np.arange(len(key)), 0))
-                gone = (k != k[head]) | (h != h[head]) | (start != start[head])  # a repeated row is the same place
+                gone = later_places(key, context, k, h, start)
                 kinds = np.add.reduceat(top.astype(np.int64), np.flatnonzero(anchor))[np.cumsum(anchor) - 1]
                 use = gone | top & (kinds > 1)
                 key, start, n, k, h, gone = (c[use] for c in (key, start, n, k, h, gone))
                 yield from box.add([k, h], to_documents(k), np.arange(len(k)), start, n, key, gone.astype(np.uint8))
+            yield from known
             yield from box.flush()
 
         yield from sent(rows())
@@ -327,17 +330,35 @@ def duplicate_spans(docs: DataFrame, text: str, length: int, gram: int) -> DataF
     return by_document(found, 2, make, ["span_starts", "span_ends"])
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM, digest: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, length: int = LENGTH, gram: int = GRAM, digest: bool = True, keep_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with counts and the digest of what is left, or (``digest=False``) with its text replaced by that.
 
+    ``keep_text=False`` leaves the text out of a result with digests.
+
     Null and empty texts lose nothing. Rows that repeat key and text are one document, and each gets its result; rows of one
     key with different texts are in order of the text's hash. A null key comes before all others. Columns named as a result are
     replaced. With ``digest=False`` spans are narrowed to whole characters. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    d = identified(docs, key, text)
-    return removal(joined(d, duplicate_spans(d, text, length, gram), text), text, docs.schema.fields, digest)
+    d, t = identified(docs, key, text)
+    return removal(joined(d, duplicate_spans(d, t, length, gram), t), t, docs.schema.fields, digest, keep_text)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(documents(spark, sf_dir), keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same spans from all strings of 100 bytes; for small tables.
+ORACLE = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM h WHERE n >= 100)),
+f AS (SELECT s, min((doc_id, i)) AS o FROM w GROUP BY s HAVING count(*) > 1),
+d AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE (doc_id, i) <> o),
+g AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS gap FROM d),
+b AS (SELECT doc_id, i, sum((gap > 100)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM b GROUP BY doc_id, run),
+k AS (SELECT doc_id, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his, sum(hi - lo) AS gone, count(*) AS runs FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN runs IS NULL THEN x ELSE array_to_string(list_transform(range(0, runs + 1), lambda j: substr(x, CASE WHEN j = 0 THEN 0 ELSE his[j] END * 2 + 1, 2 * (CASE WHEN j = runs THEN n ELSE los[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE his[j] END))), '') END)) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""

@@ -213,3 +213,11 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     ship(spark)
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+#: Records, digests and duplicates of the archives; base32 is spelt out of the hexadecimal digest, 20 bits at a time.
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, encode(coalesce(html, '')) AS b FROM pages), h AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS x FROM p), m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS top FROM h)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4)) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, (CASE WHEN page_id <> top THEN top END)::BIGINT AS refers_to, url FROM m
+"""

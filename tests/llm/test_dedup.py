@@ -104,6 +104,21 @@ def test_chunk_dedup(spark):
     assert C.chunk_dedup(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_clashing_names(spark):
+    docs = [(i, t) for i, t in corpus(20, 4)]
+    df = spark.createDataFrame([(k, t, f"k{k}", "h", [1], "s") for k, t in docs], "doc_id long, text string, k string, h string, span_starts array<int>, c0 string")
+    for run in (S.suffix_dedup, C.chunk_dedup):
+        got = run(df, digest=False)
+        assert got.columns == df.columns
+        assert all((r.k, r.h, r.span_starts, r.c0) == (f"k{r.doc_id}", "h", [1], "s") for r in got.collect())
+
+
+def test_null_key(spark):
+    t = "".join(random.Random(6).choices("abcdefgh", k=300))
+    got = sorted(((r.doc_id, r.n_removed) for r in S.suffix_dedup(spark.createDataFrame([(None, t), (4, t)], "doc_id long, text string")).collect()), key=str)
+    assert got == [(4, 300), (None, 0)]
+
+
 def test_insertions_leave_other_chunks(spark):
     r = random.Random(2)
     t = "".join(r.choice("abcdefghij klmnop") for _ in range(4000))
