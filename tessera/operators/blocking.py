@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -47,3 +47,24 @@ def shared_words(left: DataFrame, right: DataFrame, words: str, block: str, left
     b = right.select(block, right_id, F.size(F.array_distinct(words)).alias("n2"), F.explode(F.array_distinct(words)).alias("t"))
     both = a.join(b, [block, "t"]).groupBy(left_id, right_id, "n1", "n2").agg(F.count("*").alias("m"))
     return both.select(left_id, right_id, (F.col("m") / (F.col("n1") + F.col("n2") - F.col("m"))).alias("jaccard"))
+
+
+def similar_words(left: DataFrame, right: DataFrame, words: str, block: str, least: float, left_id: str = "sid", right_id: str = "rid") -> DataFrame:
+    """(sid, rid, jaccard) of pairs of at least ``least``.
+
+    Two such sets of n words share one of the rarest n - ceil(least * n) + 1 of each, so only these are joined; common words hardly
+    ever are among them.
+    """
+    a = left.select(block, left_id, F.array_distinct(words).alias("w"))
+    b = right.select(block, right_id, F.array_distinct(words).alias("w"))
+    df = a.select(block, "w").unionAll(b.select(block, "w")).select(block, F.explode("w").alias("t")).groupBy(block, "t").agg(F.count("*").alias("df"))
+
+    def prefix(d: DataFrame, key: str) -> DataFrame:
+        x = d.select(block, key, F.size("w").alias("n"), F.explode("w").alias("t")).join(df, [block, "t"])
+        x = x.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("df", "t")))
+        return x.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(block, "t", key)
+
+    pairs_ = prefix(a, left_id).join(prefix(b, right_id), [block, "t"]).select(left_id, right_id).distinct()
+    x = pairs_.join(a.select(left_id, F.col("w").alias("wa")), left_id).join(b.select(right_id, F.col("w").alias("wb")), right_id)
+    j = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return x.select(left_id, right_id, j.alias("jaccard")).filter(F.col("jaccard") >= least)

@@ -4,26 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocking, decide, windows
+from ..operators import blocking, decide
 from ..registry import query
 from .texts import WORDS, named
 
 
 @query("flagship_resolve", f"""WITH {WORDS}, u AS (SELECT doc_id, block, src, list_distinct(w) AS w FROM t), e AS (SELECT doc_id, block, src, len(w) AS n, unnest(w) AS k FROM u),
 c AS (SELECT a.doc_id AS sid, b.doc_id AS rid, a.block, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS p FROM e a JOIN e b ON a.block = b.block AND a.k = b.k AND a.src = 'S1' AND b.src <> 'S1' GROUP BY a.doc_id, b.doc_id, a.block),
-r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, sid) AS rn, count(*) OVER (PARTITION BY rid) AS cands FROM c)
-SELECT rid, sid, round(p, 6) AS p, cands FROM r WHERE rn = 1 AND p >= .5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, sid) AS rn FROM c)
+SELECT rid, sid, round(p, 6) AS p FROM r WHERE rn = 1 AND p >= .5""")
 def flagship_resolve(spark, d):
     """Every record's best entity by shared name words, where at least half of the words agree."""
     n = named(spark, d)
-    x = _scores(n).withColumn("cands", F.count("*").over(windows.Window.partitionBy("rid")))
-    return decide.assign_by_rank(x, 0.5).select("rid", "sid", F.round("p", 6).alias("p"), "cands")
+    return decide.assign_by_rank(_scores(n), 0.5).select("rid", "sid", F.round("p", 6).alias("p"))
 
 
 def _scores(n):
     s1 = n.filter("src = 'S1'").withColumnRenamed("doc_id", "sid")
     rec = n.filter("src != 'S1'").withColumnRenamed("doc_id", "rid")
-    return blocking.shared_words(s1, rec, "w", "block").withColumnRenamed("jaccard", "p")
+    return blocking.similar_words(s1, rec, "w", "block", 0.5).withColumnRenamed("jaccard", "p")
 
 
 @query("flagship_f05", f"""WITH {WORDS}, u AS (SELECT doc_id, block, src, list_distinct(w) AS w FROM t), e AS (SELECT doc_id, block, src, len(w) AS n, unnest(w) AS k FROM u),
