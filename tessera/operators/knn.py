@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, norm
+from ..session import written
 from .windows import best_first
 
+#: Recall that the approximate joins aim at, and the queries a choice is measured on.
+RECALL, MEASURED = 0.9, 1000
+#: Rows a side of the matrix products inside cells and buckets.
+CHUNK = 512
+
 
 def unit(v: Column) -> Column:
     """A vector of length one, in double precision; zero stays zero."""
@@ -39,6 +45,11 @@ def blocked(queries: DataFrame, base: DataFrame, k: int, block: str = "block", c
     Each block's rows are dealt into as many chunks as its size asks for, so a hot block is many small tasks; a chunk
     pair yields its best ``k`` and a window merges them.
     """
+    return top_k(chunk_best(queries, base, k, block, chunk), k)
+
+
+def chunk_best(queries: DataFrame, base: DataFrame, k: int, block: str, chunk: int) -> DataFrame:
+    """(rid, sid, score): the best ``k`` of every query in every chunk of its blocks; a query may be in several."""
 
     def chunks(df: DataFrame, key: str, other: str) -> DataFrame:
         n = df.groupBy(block).agg(F.ceil(F.count("*") / chunk).alias(f"n_{key}"))
@@ -48,51 +59,117 @@ def blocked(queries: DataFrame, base: DataFrame, k: int, block: str = "block", c
     both = chunks(queries, "rid", "q").join(chunks(base, "sid", "b"), block)
 
     def run(batches):
+        best = {}  # of the latest query chunks: ids and scores of the best so far
+
+        def rows():
+            for (_, rids), (sids, s) in best.items():
+                yield pd.DataFrame({"rid": np.repeat(rids, s.shape[1]), "sid": sids.ravel(), "score": s.ravel()})
+            best.clear()
+
         for pdf in batches:
-            for q, b in zip(pdf["q"], pdf["b"], strict=True):
+            for q, b, part in zip(pdf["q"], pdf["b"], pdf["part"], strict=True):
                 x = np.array([r["v"] for r in q], np.float64)
                 y = np.array([r["v"] for r in b], np.float64)
                 rids, sids = np.array([r["rid"] for r in q]), np.array([r["sid"] for r in b])
                 s = np.where(rids[:, None] == sids, -np.inf, x @ y.T)
-                m = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(sids, s.shape), -s), axis=1)[:, :m]
-                yield pd.DataFrame({"rid": np.repeat(rids, m), "sid": sids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                sids = np.broadcast_to(sids, s.shape)
+                key = part, tuple(rids.tolist())
+                if key in best:
+                    sids, s = (np.concatenate(c, axis=1) for c in zip(best[key], (sids, s), strict=True))
+                elif len(best) >= 256:
+                    yield from rows()
+                order = np.lexsort((sids, -s), axis=1)[:, :k]
+                best[key] = np.take_along_axis(sids, order, 1), np.take_along_axis(s, order, 1)
+        yield from rows()
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "rid"), (base, "sid"))) + ", score double"
+    return both.select("q", "b", F.col(block).cast("string").alias("part")).mapInPandas(run, schema).filter("rid != sid")
+
+
+def enough(queries: DataFrame, base: DataFrame, place: Column, most: int, k: int, recall: float, block: str, seed: int) -> int | None:
+    """The least effort that finds a share of ``recall`` of the true best ``k``, less three standard errors; None if ``most`` doesn't.
+
+    ``place`` tells from the ``key`` of a query and the ``other`` of its neighbour with which effort the pair is found, 0 for never. Measured
+    exactly for a bounded sample of queries.
+    """
+    from ..sources.tables import sample_rows
+
+    s = sample_rows(queries, MEASURED, "rid", seed)
+    true = exact(s, base, k, block).join(s.select("rid", "key"), "rid").join(base.select("sid", "other"), "sid")
+    n = {r["at"]: r["n"] for r in true.groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()}  # at most ``most`` + 1 rows
+    total, found = sum(n.values()), 0
+    asked = max(total / k, 1)
+    for at in range(1, most + 1):
+        found += n.get(at, 0)
+        share = found / total if total else 1.0
+        if share - 3 * np.sqrt(share * (1 - share) / asked) >= recall:
+            return at
+    return None
+
+
+def filled(found: DataFrame, queries: DataFrame, base: DataFrame, k: int, block: str) -> DataFrame:
+    """``found`` with the exact best ``k`` of every query that has fewer rows."""
+    found = written(found, "knn")
+    full = found.groupBy("rid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("rid")
+    short = queries.join(full, "rid", "left_anti")
+    return found.join(full, "rid", "left_semi").unionByName(exact(short, base, k, block).select(found.columns))
 
-    return top_k(both.select("q", "b").mapInPandas(run, "rid long, sid long, score double").filter("rid != sid"), k)
 
+def inverted_lists(queries: DataFrame, base: DataFrame, k: int, probes: int = 4, cells: int = 16, sample: int = 100_000, block: str = "block", seed: int = 0, recall: float = RECALL) -> DataFrame:
+    """Approximate: k-means cells over a bounded sample, every vector in its nearest cell, queries in their nearest ``probes``.
 
-def inverted_lists(queries: DataFrame, base: DataFrame, k: int, probes: int = 4, cells: int = 16, sample: int = 100_000, block: str = "block", seed: int = 0) -> DataFrame:
-    """Approximate: k-means cells over a bounded sample, every vector in its nearest cell, queries in their nearest ``probes``."""
+    More cells are probed where a sample of queries needs them for ``recall``; queries with fewer than ``k`` rows are answered exactly.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from ..sources.tables import sample_rows
 
-    train = sample_rows(base, sample, "sid", seed).select(array_to_vector("v").alias("features"))
+    q, b = (written(df.filter(F.col("v").isNotNull() & F.col(block).isNotNull()), "vectors") for df in (queries, base))
+    train = sample_rows(b, sample, "sid", seed).select(array_to_vector("v").alias("features"))
     centers = [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(train).clusterCenters()]  # ``cells`` rows
     table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
 
     def ranked(v: Column) -> Column:
         scores = F.transform(table, lambda c, i: F.struct((-dot(c, v)).alias("s"), i.alias("cell")))
-        return F.array_sort(scores)
+        return F.transform(F.array_sort(scores), lambda s: s["cell"])
 
-    b = base.withColumn("cell", ranked(F.col("v"))[0]["cell"])
-    q = queries.withColumn("cell", F.explode(F.transform(F.slice(ranked(F.col("v")), 1, probes), lambda s: s["cell"])))
-    x = q.join(b.select(block, "cell", "sid", F.col("v").alias("bv")), [block, "cell"]).filter("rid != sid")
-    return top_k(x.select("rid", "sid", dot(F.col("v"), F.col("bv")).alias("score")), k)
+    q, b = q.withColumn("key", ranked(F.col("v"))), b.withColumn("other", ranked(F.col("v"))[0])
+    if probes < len(centers):
+        probes = max(probes, enough(q, b, F.array_position("key", F.col("other")), len(centers), k, recall, block, seed))
+    x = q.select("rid", "v", F.col(block), F.explode(F.slice("key", 1, probes)).alias("cell"))
+    x = x.select("rid", "v", F.struct(block, "cell").alias("part"))
+    y = b.select("sid", "v", F.struct(F.col(block), F.col("other").alias("cell")).alias("part"))
+    return filled(top_k(chunk_best(x, y, k, "part", CHUNK), k), queries, base, k, block)
 
 
-def hashed(queries: DataFrame, base: DataFrame, k: int, distance: float = 1.2, block: str = "block", seed: int = 0) -> DataFrame:
-    """Approximate: random-projection hashing of unit vectors, candidates within a Euclidean distance, exact scores."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def hashed(queries: DataFrame, base: DataFrame, k: int, tables: int = 4, width: float = 0.5, block: str = "block", seed: int = 0, recall: float = RECALL, most: int = 32) -> DataFrame:
+    """Approximate: random-projection hashing of unit vectors, candidates that share a bucket of some table, exact scores.
 
-    q = queries.withColumn("f", array_to_vector("v"))
-    b = base.withColumn("f", array_to_vector("v"))
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.5, numHashTables=4, seed=seed).fit(b)
-    near = model.approxSimilarityJoin(q, b, distance, distCol="d").filter(F.col(f"datasetA.{block}") == F.col(f"datasetB.{block}"))
-    x = near.select(F.col("datasetA.rid").alias("rid"), F.col("datasetB.sid").alias("sid"), (1 - F.col("d") * F.col("d") / 2).alias("score")).filter("rid != sid")
-    return top_k(x, k)
+    More tables, up to ``most``, are used where a sample of queries needs them for ``recall``, and exact neighbours where those don't do either;
+    queries with fewer than ``k`` rows are answered exactly.
+    """
+    q, b = (written(df.filter(F.col("v").isNotNull() & F.col(block).isNotNull()), "vectors") for df in (queries, base))
+    size = b.agg(F.max(F.size("v"))).first()[0] or 0
+    lines = np.random.default_rng(seed).standard_normal((most, size))
+    lines /= np.linalg.norm(lines, axis=1, keepdims=True)
+
+    def buckets(v: Column, n: int) -> Column:
+        table = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in lines[:n]])
+        return F.transform(table, lambda line: F.floor(dot(line, v) / width))
+
+    place = F.array_position(F.zip_with("key", "other", lambda x, y: x == y), True)
+    n = enough(q.withColumn("key", buckets(F.col("v"), most)), b.withColumn("other", buckets(F.col("v"), most)), place, most, k, recall, block, seed)
+    if n is None:
+        return exact(queries, base, k, block)
+    n = max(n, tables)
+
+    def parts(df: DataFrame, id_: str) -> DataFrame:
+        x = df.select(id_, "v", F.col(block), F.posexplode(buckets(F.col("v"), n)).alias("table", "bucket"))
+        return x.select(id_, "v", F.struct(block, "table", "bucket").alias("part"))
+
+    near = chunk_best(parts(q, "rid"), parts(b, "sid"), k, "part", CHUNK).groupBy("rid", "sid").agg(F.max("score").alias("score"))
+    return filled(top_k(near, k), queries, base, k, block)
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:

@@ -1,7 +1,11 @@
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates, blocking, components, decide, evaluation, joins, knn, lexicon, pairs, rules, windows
+from tessera.plans import vectors
 from tessera.plans.resolve import Config, resolve
 
 
@@ -105,6 +109,26 @@ def test_knn_forms_agree(spark):
     assert x == y and len(x) == 180
 
 
+@pytest.mark.parametrize("name", ["knn_inverted_lists", "knn_hashed"])
+def test_knn_recall(spark, name):
+    d = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    want = {(t.rid, t.sid) for t in knn.exact(*vectors.sides(spark, d), 5).collect()}
+    got = vectors.__dict__[name](spark, d).collect()
+    assert len({(t.rid, t.sid) for t in got}) == len(got) == len(want)
+    assert {(t.rid, t.rank) for t in got} == {(rid, i) for rid in {r for r, _ in want} for i in range(5)}
+    assert len({(t.rid, t.sid) for t in got} & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("near", [lambda *a: knn.inverted_lists(*a, probes=1, cells=4), knn.hashed])
+def test_knn_of_few_and_null(spark, near):
+    r = random.Random(3)
+    rows = [(f"r{i}", i % 7 if i < 33 else None, [r.gauss(0, 1) for _ in range(8)] if i % 6 else None) for i in range(35)]
+    v = spark.createDataFrame(rows, "id string, block long, v array<double>").withColumn("v", knn.unit(F.col("v")))
+    q, b = v.withColumnRenamed("id", "rid"), v.withColumnRenamed("id", "sid")
+    got, want = ({(t.rid, t.rank): t.sid for t in x.collect()} for x in (near(q, b, 6), knn.exact(q, b, 6)))
+    assert got == want and len(got) > 33
+
+
 def test_blocking_pairs(spark):
     a = spark.createDataFrame([(1, "x", ["red", "ox"]), (2, "x", ["blue"])], "sid long, block string, w array<string>")
     b = spark.createDataFrame([(7, "x", ["red"]), (8, "y", ["red"])], "rid long, block string, w array<string>")
