@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and random strings found by their token efficiency.
 
 A random string takes many tokens for its length under a byte-pair vocabulary, for no merge was learnt for it; words, names and
-paths take few. Candidates are runs of at least ``min_chars`` characters of the base64 and URL-safe alphabets with letters of
-both cases or letters and digits. Known digests (hexadecimal of the length of MD5, SHA-1, SHA-2), UUIDs and identifiers (words
-joined by ``_``, ``-``, ``/`` or case changes, at most one number group) are excluded before the ratio of characters to
+paths take few. Candidates are runs of at least ``MIN_CHARS`` characters of the base64 and URL-safe alphabets; where a whole run is
+no random string, its parts of that length between ``/`` and ``=``, then between ``_``, ``-`` and ``+``, are tested on their own, so that words
+in front don't dilute a key. Known digests (hexadecimal of the length of MD5, SHA-1, SHA-2), UUIDs and identifiers (words
+of less than ``MIN_CHARS`` letters joined by ``_``, ``-``, ``/`` or case changes, and numbers) are excluded before the ratio of characters to
 tokens is tested.
 """
 
@@ -25,6 +26,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
+PARTS = [re.compile(r"[^/=]+"), re.compile(r"[^/=_+-]+")]
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
@@ -48,7 +50,8 @@ def known(s: str) -> bool:
     if s.isdigit() or len(set(s)) < 6:
         return True
     groups = [g for g in re.split(r"[_/=+-]+|(?<=[a-z])(?=[A-Z])", s) if g]
-    return all(g.isalpha() and (g.islower() or g.isupper() or g[0].isupper() and g[1:].islower()) or g.isdigit() for g in groups) and sum(map(len, groups)) >= 4 * len(groups)
+    words = all(g.isalpha() and (g.islower() or g.isupper() or g[0].isupper() and g[1:].islower()) and len(g) < MIN_CHARS or g.isdigit() for g in groups)
+    return words and sum(map(len, groups)) >= 4 * len(groups)
 
 
 def base_spans(t: str) -> list[tuple[int, int, str]]:
@@ -69,12 +72,23 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan(t: str, tokens, max_ratio: float) -> tuple[list, list]:
     """Spans of the fixed patterns, and of random strings that touch none of them."""
     base, extra = base_spans(t), []
+
+    def random(start: int, end: int) -> bool:
+        s = t[start:end]
+        if any(a < end and start < b for a, b, _ in base) or known(s):
+            return False
+        return len(s) < max_ratio * len(tokens(s))
+
+    def search(start: int, end: int, separators: list) -> None:
+        if random(start, end):
+            extra.append((start, end, "random"))
+        elif separators:
+            for m in separators[0].finditer(t, start, end):
+                if m.end() - m.start() >= MIN_CHARS:
+                    search(*m.span(), separators[1:])
+
     for m in CANDIDATE.finditer(t):
-        s = m[0]
-        if s.isalpha() and (s.islower() or s.isupper()) or any(a < m.end() and m.start() < b for a, b, _ in base) or known(s):
-            continue
-        if len(s) < max_ratio * len(tokens(s)):
-            extra.append((*m.span(), "random"))
+        search(*m.span(), PARTS)
     return base, extra
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import pytest
 
@@ -56,6 +57,20 @@ def test_random_strings(text, hit):
     assert bool(extra) == hit
 
 
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits])
+@pytest.mark.parametrize("front", ["", "usr/local/share/service/config/module/account/", "value_of_the_session_storage_backend_handler=", "usr/local/share/" + "0f" * 16 + "/"])
+def test_planted_keys(letters, front):
+    """One-case keys and keys behind words; the words and a digest in front are left alone."""
+    enc = S.vocabulary(*S.default_vocabulary())
+    r = random.Random(4)
+    hits = 0
+    for _ in range(200):
+        t = f"see {front}{''.join(r.choice(letters) for _ in range(28))} end"
+        hits += any(a <= 4 + len(front) and b == len(t) - 4 for a, b, _ in S.scan(t, enc.encode_ordinary, S.MAX_RATIO)[1])
+    assert hits >= 190
+    assert not S.scan(f"see {front} end", enc.encode_ordinary, S.MAX_RATIO)[1]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=hunter22 b", "k"), (2, None, "k"), (3, "", "k")], "doc_id long, text string, spans string")
     got = {r.doc_id: (r.text, r.spans) for r in redaction.redact(df, *S.default_vocabulary()).collect()}
