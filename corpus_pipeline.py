@@ -33,7 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest doc_id; one with a null id stays."""
     drop_scratch(spark)
-    found = shingle_join.shingle_components(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = shingle_join.shingle_components(docs).filter("doc_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["gone"], "left_anti").select(*docs.columns)
 
 

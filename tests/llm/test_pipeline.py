@@ -41,3 +41,12 @@ def test_run(spark, folder):
     out = pipe.run(spark, folder)
     assert {r.doc_id for r in out.collect()} >= {1, 3, 4, 5}
     assert pipe.ORACLE_SQL is None
+
+
+def test_near_copies_of_null_id(spark):
+    r = random.Random(2)
+    text = " ".join(f"word{r.randrange(3000)}" for _ in range(120))
+    rows = [(k, text) for k in (None, None, 1, 2, 3)] + [(4, " ".join(f"other{r.randrange(3000)}" for _ in range(120)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipe.keep_one_of_near(spark, docs, "").collect()
+    assert sorted((x.doc_id for x in got), key=str) == [4, None, None]
