@@ -1,19 +1,20 @@
 """Similarity join of documents on sets of word shingles, with token-combination prefixes.
 
-1. Every document becomes its set of distinct shingles, known by 48-bit hashes. Documents with one set are one class, of which the
-   smallest doc_id goes on.
+1. Every document becomes its set of distinct shingles, known by 64-bit hashes: two sets of 10**7 shingles hold a false match with a
+   chance of 5e-6. Documents with one set (by 128 more bits) are one class, of which the smallest doc_id goes on.
 2. A shingle of one document can't be shared. Shingles are counted by ranges of a shorter hash, and each document's
    shingles that occur elsewhere are counted: only documents with enough of them to link go on, few as a rule. Document
    frequencies are then taken among these. Sorted by frequency, then hash, shingles of one document come first.
-3. Two sets of Jaccard similarity t share at least a = ceil(t * n) of n shingles, so they share one shingle in the first
-   n - a + 1 of each, and two in the first n - a + 2. A shingle of a rare class (at most ``frequent`` documents) in the shorter
-   prefix is a key by itself. If the first shared shingle is of the frequent class, all shared ones are, so combinations of two
-   frequent shingles of the extended prefix are keys. Sets of more than ``long`` shingles would have too many combinations: they,
-   and those that could match them, use single frequent shingles.
-4. Documents with a key in common are candidates. Each is verified against one document of the key (a star); connected
-   components of the links follow. Keys whose documents are still in several components are taken up again by the differences
-   of the documents from the star's middle (see ``apart``), so a group of many near copies costs stars and not its square, and
-   yet no link between components is lost.
+3. Two sets of Jaccard similarity t share at least a = ceil(t * n) of n shingles, so the first one they share is among the first
+   n - a + 1 of each. A shingle of a rare class in that prefix is a key by itself. If the first shared shingle is of the frequent class
+   (in more than a share ``frequent`` of the documents that go on), all m shared ones are. Combinations are then keys: pairs of
+   neighbours in the order of frequent shingles. Of the first u + v + 1 pairs of shared neighbours, one at least has none of the u and
+   v frequent shingles that only one side has between its two, and it lies among the first 2u + v + 2 frequent shingles of that side.
+   With v <= m / t - n that prefix is known to each side alone, and its keys grow with its length, not with its square.
+4. Documents with a key in common are candidates. Keys with one and the same set of documents are one key. Each document is verified
+   against one document of the key (a star); connected components of the links follow. Keys whose documents are still in several
+   components are taken up again by the differences of the documents from the star's middle (see ``apart``), so a group of many near
+   copies costs stars and not its square, and yet no link between components is lost.
 5. Verification intersects the shared shingles (step 2 dropped those of one document, which meet nothing) and uses the
    sizes of the whole sets.
 """
@@ -31,17 +32,18 @@ from .columns import documents, slices, utf8
 from .exchange import NULL_KEY, SCHEMA, Outbox, bits_for, dealt, mix, opened, passed, prefix_sums, ranges, sent
 from .spans import to_documents
 
-WORDS, PERCENT, FREQUENT, LONG, HASH_BITS = 5, 80, 1000, 300, 40
+WORDS, PERCENT, FREQUENT, HASH_BITS = 5, 80, 0.001, 40
+PAIRED = 67  # least percentage at which sets that link are sure to share neighbours
 NOBODY = NULL_KEY + 1
 PART = 1 << 20  # bytes of text worked on at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WEIGHTS = mix(np.arange(101, 201, dtype=np.uint64)) | np.uint64(1)
-_LOW48 = np.uint64((1 << 48) - 1)
+_PAIR = np.uint64(1 << 63)
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and 48-bit hash of the distinct shingles of all texts, in order of both."""
+    """Text and 64-bit hash of the distinct shingles of all texts, in order of both."""
     none = np.empty(0, np.int64), np.empty(0, np.uint64)
     if not len(data):
         return none
@@ -70,9 +72,12 @@ def shingles(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray,
             has = n[few] > j
             g[has] += w[first[has] + j] * _WEIGHTS[j]
         h, owner = np.concatenate([h, g]), np.concatenate([owner, few])
-    key = np.sort(owner.astype(np.uint64) << np.uint64(48) | mix(h) >> np.uint64(16))
-    key = key[np.r_[True, key[1:] != key[:-1]]]
-    return (key >> np.uint64(48)).astype(np.int64), key & _LOW48
+    h = mix(h)
+    order = np.argsort(h)
+    order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]  # slices have fewer rows than that
+    owner, h = owner[order], h[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+    return owner[new], h[new]
 
 
 def described(owner: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +134,7 @@ def repeat_counts(docs: DataFrame, text: str, words: int, bits: int, hash_bits:
 
     Hashes of ``hash_bits`` are enough here: a collision can only raise a count.
     """
-    cut = np.uint64(48 - hash_bits)
+    cut = np.uint64(64 - hash_bits)
 
     def send(batches):
         box = Counting(bits, hash_bits)
@@ -191,7 +196,7 @@ def shared_shingles(docs: DataFrame, text: str, words: int, bits: int) -> DataFr
     """Entries (shingle, document frequency) by document, of shingles of more than one document."""
 
     def send(batches):
-        box = Outbox(bits, 48)
+        box = Outbox(bits, 64)
 
         def rows():
             for b in slices(batches, text, PART):
@@ -228,25 +233,24 @@ def needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, percent: int, frequent: int, long: int) -> np.ndarray:
-    """Keys of a set of ``n`` shingles, of which ``h`` are shared with other documents."""
-    room = n - needed(n, percent) + 1 - (n - len(h))  # of the prefix, after the shingles that only this document has
+def prefix_keys(h: np.ndarray, df: np.ndarray, n: int, percent: int, frequent: int) -> np.ndarray:
+    """Keys of a set of ``n`` shingles, of which ``h`` are shared with other documents; those in more than ``frequent`` are combined."""
+    least, own = needed(n, percent), n - len(h)
+    room = n - least + 1 - own  # of the prefix, after the shingles that only this document has
     if room <= 0 or n < 2:
         return np.empty(0, np.uint64)
     order = np.lexsort((h, df))
-    h, often = h[order], df[order] > frequent
-    keys = [h[:room][~often[:room]]]
-    if often[: room + 1].any():
-        if 100 * n > percent * long:
-            keys.append(h[:room][often[:room]])
-        if n <= long:
-            f = np.sort(h[: room + 1][often[: room + 1]])
-            i, j = np.triu_indices(len(f), 1)
-            keys.append(mix(f[i] * _WEIGHTS[60] + f[j]) | np.uint64(1 << 63))
-    return np.concatenate(keys)
-
-
-def prefixed(entries: DataFrame, percent: int, frequent: int, long: int) -> DataFrame:
+    h = h[order]
+    rare = int(np.count_nonzero(df <= frequent))
+    often = len(h) - rare
+    if percent < PAIRED or often < least:
+        return h[: room if percent < PAIRED else min(room, rare)] >> np.uint64(1)
+    long = max(2 * (often - m) + 100 * m // percent - n for m in (least, often)) + 2
+    f = h[rare : rare + long]
+    return np.concatenate([h[: min(room, rare)] >> np.uint64(1), mix(f[:-1] * _WEIGHTS[60] + f[1:]) | _PAIR])
+
+
+def prefixed(entries: DataFrame, percent: int, frequent: int) -> DataFrame:
     """(k, d1, n, m, shingles, keys) of the documents that share enough shingles to link with any."""
 
     def run(batches):
@@ -260,7 +264,7 @@ def prefixed(entries: DataFrame, percent: int, frequent: int, long: int) -> Data
             enough = np.flatnonzero(np.diff(cut) >= needed(n[cut[:-1]].astype(np.int64), percent))
             held = []
             for lo, hi in zip(cut[enough].tolist(), cut[enough + 1].tolist(), strict=True):
-                keys = prefix_keys(h[lo:hi], df[lo:hi], int(n[lo]), percent, frequent, long)
+                keys = prefix_keys(h[lo:hi], df[lo:hi], int(n[lo]), percent, frequent)
                 held.append((int(k[lo]), int(one[lo]), int(n[lo]), hi - lo, h[lo:hi].tobytes(), keys.view(np.int64).tolist()))
                 if len(held) >= 500:
                     yield out(held)
@@ -306,18 +310,20 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     The star's middle is the document of the key with the least share of shingles of its own: of many edited copies that is
     one that was hardly edited, which most others are near to.
     """
-    key = sets.select("k", "n", "m", F.explode("keys").alias("key"))
+    key = sets.select("k", "d1", "n", "m", F.explode("keys").alias("key"))
     middle = F.min(F.struct((-F.col("m") / F.col("n")).alias("own"), "k", "n", "m"))
-    star = key.join(key.groupBy("key").agg(middle.alias("p"), F.count("*").alias("size")).filter("size > 1"), "key")
-    star = star.filter((F.col("k") != F.col("p.k")) & fits(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"), percent))
+    members = [F.bit_xor(F.xxhash64("k", "d1", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    some = key.groupBy("key").agg(middle.alias("p"), F.count("*").alias("size"), *members).filter("size > 1")
+    kept = some.groupBy("size", "x0", "x1").agg(F.min(F.struct("key", "p")).alias("z")).select("z.key", "z.p")  # one of the keys of the same documents
+    mine = written(key.join(kept, "key").select("key", "k", "n", "m", "p"), "members")
+    star = mine.filter((F.col("k") != F.col("p.k")) & fits(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"), percent))
     star = star.select(F.least("k", "p.k").alias("a"), F.greatest("k", "p.k").alias("b")).distinct()
-    edges = written(linked(star, sets, percent), "star-links")
-    found = components(edges)
-    split = labelled(key, found).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = written(key.join(split, "key"), "split-keys")
+    found = components(linked(star, sets, percent))
+    split = labelled(mine, found).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    rest = written(mine.join(split, "key").select("k", F.col("p.k").alias("p")), "split-keys")
     if rest.isEmpty():
         return found
-    return apart(rest, middle, sets, edges, percent)
+    return apart(rest, sets, found, percent)
 
 
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -344,8 +350,9 @@ def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(x, "k").join(y, "p").select("p", "k", "n", "sx", "sp").mapInArrow(run, "p long, k long, n long, size long, tokens array<long>")
 
 
-def apart(rest: DataFrame, middle, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """(node, component), with the links that the stars ``edges`` left out, of keys (``rest``) whose documents are still apart.
+def apart(rest: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(node, component), with the links that ``found``, the components of the stars, leaves out, of documents ``k`` whose key's documents are still apart; ``p`` is
+    the middle of that key.
 
     With D(x) the difference of x from the middle of its key, two documents differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and link
     if that is at most (100 - percent) / (100 + percent) of n(x) + n(y). Either the sizes alone are small enough: then
@@ -354,14 +361,12 @@ def apart(rest: DataFrame, middle, sets: DataFrame, edges: DataFrame, percent: i
     are small, and most of their shingles are a document's own, so few pairs are left however large the group.
     """
     more, less = 100 + percent, 100 - percent
-    mid = rest.groupBy("key").agg(middle.alias("m")).select("key", F.col("m.k").alias("p"))
-    members = rest.join(mid, "key").filter("k != p").select("p", "k").distinct()
+    members = rest.filter("k != p").distinct()
     d = written(differences(members, sets), "differences")
     over = more * F.col("size") - less * F.col("n")
     least = d.groupBy("p").agg(F.min(F.struct(over.alias("f"), "k")).alias("z"))
     near = d.join(least, "p").filter((F.col("k") != F.col("z.k")) & (over + F.col("z.f") <= 0)).select(F.least("k", "z.k").alias("a"), F.greatest("k", "z.k").alias("b"))
-    edges = written(edges.union(near).distinct(), "links")
-    found = components(edges)
+    found = components(found.union(near), "node", "component")
     t = d.select("p", "k", "n", "size", F.explode("tokens").alias("t"))
     often = t.groupBy("p", "t").agg(F.count("*").alias("df")).filter("df > 1")
     w = Window.partitionBy("p", "k")
@@ -377,18 +382,17 @@ def apart(rest: DataFrame, middle, sets: DataFrame, edges: DataFrame, percent: i
     z = index.join(low, ["p", "t"]).filter((F.col("k") != F.col("z.k")) & may(F.col("n"), F.col("size"), F.col("able"), F.col("z.n"), F.col("z.size"), F.col("z.able")))
     z = labelled(z.select("k", F.col("z.k").alias("o")).distinct(), found).withColumnsRenamed({"k": "a", "c": "ca"})
     z = labelled(z.withColumnRenamed("o", "k"), found).filter("ca != c").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
-    edges = written(edges.union(linked(z, sets, percent)), "links")
-    found = components(edges)
+    found = components(found.union(linked(z, sets, percent)), "node", "component")
     x = written(labelled(index, found), "labelled-index")
     y = x.withColumnsRenamed({c: f"{c}2" for c in x.columns})
     hit = (F.col("p") == F.col("p2")) & (F.col("t") == F.col("t2")) & (F.col("c") < F.col("c2"))
     pairs = x.join(y, hit & may(F.col("n"), F.col("size"), F.col("able"), F.col("n2"), F.col("size2"), F.col("able2")))
     pairs = pairs.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-    return components(written(edges.union(linked(pairs, sets, percent)), "links"))
+    return components(found.union(linked(pairs, sets, percent)), "node", "component")
 
 
-def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
-    """(key, n_shingles, component_id) of every row.
+def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT) -> DataFrame:
+    """(key, n_shingles, component_id) of every row. ``frequent``: see step 3 above.
 
     Null, empty and wordless texts have empty sets and link with nothing. Rows that share a key are one document of the graph;
     those with a null key are one that precedes all others, and their component is null. Columns besides key and text are not
@@ -402,8 +406,9 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("k").alias("rep"))
     reps = classes.select(F.col("rep").alias("k"), "d1", "n")
     able = repeat_counts(d, "text", words, bits).join(reps, "k").filter(F.col("m") >= F.floor((percent * F.col("n") + 99) / 100)).select("k").distinct()
-    some = d.join(written(able, "able"), "k", "left_semi")
-    shared = prefixed(shared_shingles(some, "text", words, bits), percent, frequent, long)
+    able = written(able, "able")
+    some = d.join(able, "k", "left_semi")
+    shared = prefixed(shared_shingles(some, "text", words, bits), percent, int(frequent * able.count()))
     found = links(written(shared.join(reps.select("k", "d1"), ["k", "d1"], "left_semi"), "prefixes"), percent)
     own = classes.join(found.withColumnsRenamed({"node": "rep", "component": "to"}), "rep", "left").select("d1", "d2", "n", F.coalesce("to", "rep").alias("component"))
     own = written(own, "classes")

@@ -1,7 +1,6 @@
 import itertools
 import random
 import re
-from collections import defaultdict
 
 import pytest
 
@@ -23,11 +22,7 @@ def brute(docs):
             x = up[x]
         return x
 
-    at = defaultdict(list)
-    for k, s in sets.items():
-        for x in s:
-            at[x].append(k)
-    for a, b in {p for ks in at.values() for p in itertools.combinations(sorted(ks), 2)}:
+    for a, b in itertools.combinations([k for k in sorted(sets) if sets[k]], 2):
         both = len(sets[a] & sets[b])
         if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((root(a), root(b)))
@@ -50,44 +45,49 @@ def scattered():
     return docs
 
 
-def near_copies():
+def near_copies(n, groups):
     r = random.Random(11)
     vocab = [f"w{i}" for i in range(300)]
-    base, docs = [[r.choice(vocab) for _ in range(60)] for _ in range(3)], []
-    for i in range(360):
-        b = list(base[i % 3])
+    base, docs = [[r.choice(vocab) for _ in range(60)] for _ in range(groups)], []
+    for i in range(n):
+        b = list(base[i % groups])
         for _ in range(r.randint(0, 5)):
             b[r.randrange(60)] = r.choice([*vocab, f"q{r.randrange(10**6)}"])
         docs.append((i + 1, " ".join(b)))
     return docs
 
 
-@pytest.mark.parametrize("docs", [scattered(), near_copies()], ids=["scattered", "near copies"])
-@pytest.mark.parametrize(("frequent", "long"), [(1000, 300), (5, 40)])
-def test_against_brute_force(spark, docs, frequent, long):
+CASES = {"scattered": scattered(), "near copies": near_copies(360, 3), "one large group": near_copies(1300, 1)}
+
+
+@pytest.mark.parametrize(("docs", "frequent"), [("scattered", J.FREQUENT), ("scattered", 0.02), ("near copies", J.FREQUENT), ("near copies", 1.0), ("one large group", J.FREQUENT)])
+def test_against_brute_force(spark, docs, frequent):
+    docs = CASES[docs]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = J.shingle_components(df, frequent=frequent, long=long).collect()
+    got = J.shingle_components(df, frequent=frequent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs)
 
 
-def test_prefix_keys_lose_no_pair():
+@pytest.mark.parametrize("percent", [50, 67, 80, 95])
+def test_prefix_keys_lose_no_pair(percent):
     import numpy as np
 
     r = random.Random(3)
-    for _ in range(300):
-        n = r.randint(2, 40)
+    for _ in range(600):
+        n = r.randint(2, 60)
         x = set(r.sample(range(200), n))
         y = set(x)
-        for _ in range(r.randint(0, n // 8)):
+        for _ in range(r.randint(0, n * (100 - percent) // 100)):
             y.discard(r.choice(sorted(y)))
             y.add(r.randrange(200, 260))
         both = len(x & y)
-        if 100 * both < 80 * len(x | y) or x == y:
+        if 100 * both < percent * len(x | y) or x == y:
             continue
         df = {t: r.randint(2, 30) for t in x | y}
-        for frequent, long in ((1000, 300), (10, 300), (10, 20), (0, 5)):
-            keys = [set(J.prefix_keys(np.array(sorted(s), np.uint64), np.array([df[t] for t in sorted(s)]), len(s), 80, frequent, long).tolist()) for s in (x, y)]
-            assert keys[0] & keys[1]
+        for frequent in (1000, 20, 10, 0):
+            keys = [J.prefix_keys(np.array(sorted(s), np.uint64) << np.uint64(1), np.array([df[t] for t in sorted(s)]), len(s), percent, frequent).tolist() for s in (x, y)]
+            assert set(keys[0]) & set(keys[1])
+            assert all(len(k) <= len(s) for k, s in zip(keys, (x, y), strict=True))
 
 
 def test_edge_rows(spark):
@@ -96,3 +96,25 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in J.shingle_components(df).collect()), key=str)
     assert got == sorted([(5, 1, 2), (5, 1, 2), (2, 1, 2), (0, 1, None), (9, 0, 9), (8, 0, 8)], key=str)
     assert J.shingle_components(df.limit(0)).count() == 0
+
+
+def test_long_text(spark):
+    """A text of several slices' size, a near copy of it, and one that ends with it."""
+    r = random.Random(5)
+    words = [f"{r.randrange(10**6):060d}" for _ in range(40_000)]
+    near = list(words)
+    for i in range(0, 40_000, 400):
+        near[i] = "x"
+    docs = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join([f"y{i}" for i in range(12_000)] + words))]
+    assert len(docs[0][1]) > 2 * J.PART
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.shingle_components(df).collect()}
+    assert got == {k: (len(shingles(t)), 1 if k == 1 else 2) for k, t in docs}
+
+
+def test_keys_grow_with_the_prefix():
+    import numpy as np
+
+    h, df = np.arange(1, 301, dtype=np.uint64) << np.uint64(20), np.full(300, 2000)
+    assert len(J.prefix_keys(h, df, 300, 80, 1000)) == 121
+    assert len(J.prefix_keys(h, df, 300, 80, 3000)) == 61
