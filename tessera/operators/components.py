@@ -85,5 +85,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
     e = written(e, "edges")
     while not _settled(e):
-        e = written(_small_star(_large_star(_forest(e))), "edges")
+        e = written(_forest(e), "edges")
+        if not _settled(e):
+            e = written(_small_star(_large_star(e)), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
