@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import SALTS, components
 from ..session import input_bytes, ship, written
 from .columns import documents, slices, utf8
 from .exchange import NULL_KEY, SCHEMA, Outbox, bits_for, dealt, mix, opened, passed, prefix_sums, ranges, sent
@@ -310,12 +310,14 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     The star's middle is the document of the key with the least share of shingles of its own: of many edited copies that is
     one that was hardly edited, which most others are near to.
     """
-    key = sets.select("k", "d1", "n", "m", F.explode("keys").alias("key"))
+    key = sets.select("k", "d1", "n", "m", F.explode("keys").alias("key"), F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("s"))
     middle = F.min(F.struct((-F.col("m") / F.col("n")).alias("own"), "k", "n", "m"))
     members = [F.bit_xor(F.xxhash64("k", "d1", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
-    some = key.groupBy("key").agg(middle.alias("p"), F.count("*").alias("size"), *members).filter("size > 1")
+    parts = key.groupBy("key", "s").agg(middle.alias("p"), F.count("*").alias("size"), *members)  # a hot key's documents meet in no one task
+    some = parts.groupBy("key").agg(F.min("p").alias("p"), F.sum("size").alias("size"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")).filter("size > 1")
     kept = some.groupBy("size", "x0", "x1").agg(F.min(F.struct("key", "p")).alias("z")).select("z.key", "z.p")  # one of the keys of the same documents
-    mine = written(key.join(kept, "key").select("key", "k", "n", "m", "p"), "members")
+    at = parts.select("key", "s").join(kept, "key")
+    mine = written(key.join(at, ["key", "s"]).select("key", "k", "n", "m", "p"), "members")
     star = mine.filter((F.col("k") != F.col("p.k")) & fits(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"), percent))
     star = star.select(F.least("k", "p.k").alias("a"), F.greatest("k", "p.k").alias("b")).distinct()
     found = components(linked(star, sets, percent))
