@@ -167,12 +167,12 @@ def longest_token(a: Column) -> Column:
 
 def skeleton_tokens(a: Column) -> Column:
     """Each token's first letter, then its letters without vowels and h."""
-    return F.transform(a, lambda t: F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, 2, 10_000), "[aeiouh]", "")))
+    return F.transform(a, lambda t: F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, F.lit(2), F.length(t)), "[aeiouh]", "")))
 
 
 def skeleton_word(c: Column) -> Column:
     """First letter, then the rest without vowels, h and y."""
-    return F.concat(F.substring(c, 1, 1), F.regexp_replace(F.substring(c, 2, 10_000), "[aeiouhy]", ""))
+    return F.concat(F.substring(c, 1, 1), F.regexp_replace(F.substring(c, F.lit(2), F.length(c)), "[aeiouhy]", ""))
 
 
 def skeleton_text(c: Column) -> Column:
@@ -316,19 +316,17 @@ def state_table() -> list[tuple[str, str, str]]:
         "dc": "district of columbia",
     }
     india = {
-        "andhra pradesh": "ap", "arunachal pradesh": "ar", "assam": "as", "bihar": "br", "chhattisgarh": "cg ct",
-        "goa": "ga", "gujarat": "gj", "haryana": "hr", "himachal pradesh": "hp", "jharkhand": "jh", "karnataka": "ka",
-        "kerala": "kl", "madhya pradesh": "mp", "maharashtra": "mh", "manipur": "mn", "meghalaya": "ml", "mizoram": "mz",
-        "nagaland": "nl", "odisha": "od or orissa", "punjab": "pb", "rajasthan": "rj", "sikkim": "sk", "tamil nadu": "tn",
-        "telangana": "tg ts", "tripura": "tr", "uttar pradesh": "up", "uttarakhand": "uk ut uttaranchal",
-        "west bengal": "wb", "delhi": "dl", "jammu and kashmir": "jk", "chandigarh": "ch", "puducherry": "py pondicherry",
-        "ladakh": "la",
+        "andhra pradesh": ["ap"], "arunachal pradesh": ["ar"], "assam": ["as"], "bihar": ["br"], "chhattisgarh": ["cg", "ct"],
+        "goa": ["ga"], "gujarat": ["gj"], "haryana": ["hr"], "himachal pradesh": ["hp"], "jharkhand": ["jh"], "karnataka": ["ka"],
+        "kerala": ["kl"], "madhya pradesh": ["mp"], "maharashtra": ["mh"], "manipur": ["mn"], "meghalaya": ["ml"], "mizoram": ["mz"],
+        "nagaland": ["nl"], "odisha": ["od", "or", "orissa"], "punjab": ["pb"], "rajasthan": ["rj"], "sikkim": ["sk"],
+        "tamil nadu": ["tn"], "telangana": ["tg", "ts"], "tripura": ["tr"], "uttar pradesh": ["up"],
+        "uttarakhand": ["uk", "ut", "uttaranchal"], "west bengal": ["wb"], "delhi": ["dl", "new delhi"],
+        "jammu and kashmir": ["jk", "jammu kashmir"], "chandigarh": ["ch"], "puducherry": ["py", "pondicherry"], "ladakh": ["la"],
     }
-    india_phrases = {"new delhi": "delhi", "jammu kashmir": "jammu and kashmir"}
     # End of fixed values.
     rows = [("US", k, v) for k, v in us.items()] + [("US", v, v) for v in us.values()]
-    rows += [("India", v, v) for v in india] + [("India", c, v) for v, cs in india.items() for c in cs.split()]
-    return rows + [("India", k, v) for k, v in india_phrases.items()]
+    return rows + [("India", c, v) for v, names in india.items() for c in [v, *names]]
 
 
 def address_state(address: Column, country: Column) -> Column:

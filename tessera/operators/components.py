@@ -42,12 +42,13 @@ def _forest(e: DataFrame) -> DataFrame:
     """Each task's edges as stars: every node tied to the least that the task's own edges reach."""
 
     def run(batches):
-        held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.schema) for b in batches if b.num_rows]
         if held:
-            node, least = stars(*np.concatenate(held, axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(least)], names=["a", "b"])
+            a, b, schema = zip(*held, strict=True)
+            made = stars(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema[0], strict=True)], names=["a", "b"])
 
-    return e.mapInArrow(run, "a long, b long")
+    return e.mapInArrow(run, e.schema)
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +77,12 @@ def _settled(e: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the least node reachable, for every node of ``edges`` (whole numbers) that isn't its own.
+    """(node, component): the least node reachable, for every node of ``edges`` (whole numbers or texts) that isn't its own.
 
     Works on whole tables: tasks first contract the edges they hold, then each step is an aggregation and a join over all, its result
     stored in the shared folder, until the edges are stars. Edges with a null end are left out.
     """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    x, y = F.col(a), F.col(b)
     e = edges.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
     e = written(e, "edges")
     while not _settled(e):

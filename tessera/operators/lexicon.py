@@ -72,10 +72,11 @@ def families(p: DataFrame, legal: DataFrame, counts: DataFrame, a: str, b: str,
     n = counts.select(group, "w", "n")
     e = both.join(n.withColumnsRenamed({"w": "u", "n": "nu"}), [group, "u"], "left").join(n.withColumnsRenamed({"w": "t", "n": "nt"}), [group, "t"], "left").na.fill(0, ["nu", "nt"])
     e = e.filter((F.col("v") >= least) & (F.col("v") / F.col("tot") >= FAMILY_SHARE) & (F.col("nu") <= F.col("nt")) & X.related(F.col("u"), F.col("t")))
-    name = F.concat_ws("|", group, "u"), F.concat_ws("|", group, "t")
+    where = F.hex(F.encode(group, "UTF-8"))  # holds no mark that could part it wrongly
+    name = F.concat_ws("|", where, "u"), F.concat_ws("|", where, "t")
     found = components(e.select(name[0].alias("a"), name[1].alias("b")))
     member = found.union(found.select(F.col("component").alias("node"), "component")).distinct()
-    m = member.select(F.substring_index("node", "|", 1).alias(group), F.substring_index("node", "|", -1).alias("w"), "component").join(n, [group, "w"], "left").na.fill(0, ["n"])
+    m = member.select(F.decode(F.unhex(F.substring_index("node", "|", 1)), "UTF-8").alias(group), F.substring_index("node", "|", -1).alias("w"), "component").join(n, [group, "w"], "left").na.fill(0, ["n"])
     top = m.groupBy(group, "component").agg(F.max(F.struct("n", "w")).alias("top"))
     return m.join(top, [group, "component"]).select(group, F.col("w").alias("token"), F.col("top.w").alias("canonical"))
 

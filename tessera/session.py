@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and all run on
+    one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark.sparkContext, "_tessera_scratch", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="tessera-scratch-")
@@ -72,16 +77,41 @@ def scratch(spark: SparkSession, name: str) -> str:
         held = spark.sparkContext._tessera_held = []
         atexit.register(held.clear)
     held.append(path)
+    for made in _SCOPES:
+        made.append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table made so far; for callers whose results are already stored elsewhere."""
+#: The open ``scratch_scope`` blocks of this thread of control, outermost first.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The paths of the scratch tables that are made inside the block; they belong to whoever opened it."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
     held = getattr(spark.sparkContext, "_tessera_held", [])
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while held:
-        p = jvm.org.apache.hadoop.fs.Path(held.pop())
+    while paths:
+        path = paths.pop()
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        if path in held:
+            held.remove(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of the session; for callers that need no result of it any more, such as a benchmark's."""
+    remove_paths(spark, list(getattr(spark.sparkContext, "_tessera_held", [])))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

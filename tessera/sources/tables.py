@@ -21,8 +21,8 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> D
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _path(spark, path)
+    return fs.exists(p)
 
 
 def cached_parquet(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -33,10 +33,17 @@ def cached_parquet(spark: SparkSession, path: str, build: Callable[[], DataFrame
 
 
 def read_shards(spark: SparkSession, pattern: str, keys: list[str]) -> DataFrame:
-    """Shards of one table; of several values for a key the first that isn't null."""
-    df = spark.read.parquet(pattern)
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest])
+    """Shards of one table; of several values for a key the first, in order of the shards' names, that is neither null nor NaN nor infinite."""
+    df = spark.read.parquet(pattern).withColumn("shard_", F.col("_metadata.file_path"))
+
+    def first(f: T.StructField) -> Column:
+        c = F.col(f.name)
+        good = c.isNotNull()
+        if isinstance(f.dataType, T.FractionalType) and not isinstance(f.dataType, T.DecimalType):
+            good = good & ~F.isnan(c) & (F.abs(c) != float("inf"))
+        return F.min_by(c, F.when(good, F.col("shard_"))).alias(f.name)
+
+    return df.groupBy(*keys).agg(*[first(f) for f in df.schema.fields if f.name not in {*keys, "shard_"}])
 
 
 def union_sources(**sources: DataFrame) -> DataFrame:
@@ -69,11 +76,15 @@ def joined_ids(entities: DataFrame, pairs: DataFrame, entity: str = "entity", re
     return entities.select(entity).join(lists, entity, "left").select(entity, F.coalesce("ids", F.lit("")).alias("ids"))
 
 
-def write_links(links: DataFrame, path: str, order: str | None = None, columns: tuple[str, str] = ("source1_entity_id", "matched_entity_ids")) -> None:
-    """One delimited file with a header, in the order of a column that isn't written."""
+def write_links(links: DataFrame, path: str, order: str | None = None, columns: tuple[str, str] = ("source1_entity_id", "matched_entity_ids"), one_file: bool = False) -> None:
+    """Delimited files with a header, in the order of a column that isn't written; the names of the files are in that order too.
+
+    Every task writes its range of the order. ``one_file`` puts all through one task, for readers that want a single file.
+    """
     df = links.orderBy(order) if order else links
     cols = [c for c in links.columns if c != order]
-    df.select(*[F.col(c).alias(n) for c, n in zip(cols, columns, strict=True)]).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").option("emptyValue", "").csv(path)
+    df = df.select(*[F.col(c).alias(n) for c, n in zip(cols, columns, strict=True)])
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").option("emptyValue", "").csv(path)
 
 
 def validate_links(links: DataFrame, entities: DataFrame, records: DataFrame, entity: str = "entity", ids: str = "ids") -> DataFrame:
@@ -98,15 +109,23 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def write_json(rows: Iterable[dict], path: str) -> None:
-    """A small result, such as a profile, as a JSON file."""
-    with open(path, "w") as f:
-        json.dump(list(rows), f, indent=1, sort_keys=True, default=str)
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_json(spark: SparkSession, rows: Iterable[dict], path: str) -> None:
+    """A small result, such as a profile, as one JSON file of whatever file system the path names."""
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(list(rows), indent=1, sort_keys=True, default=str).encode()))
+    finally:
+        out.close()
 
 
-def read_json(path: str):
-    with open(path) as f:
-        return json.load(f)
+def read_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def alias_table(spark: SparkSession, name: str, path: str) -> DataFrame:

@@ -79,7 +79,7 @@ def test_metric_laws(a, b):
     assert M.lcs(a, b) == lcs(a, b)
     for f in (M.ratio, M.token_sort_ratio, M.token_set_ratio, M.partial_ratio, M.partial_token_set_ratio):
         assert 0 <= f(a, b) <= 100
-        assert abs(f(a, b) - f(b, a)) < 1e-9 or f is M.partial_ratio and len(a) == len(b)
+        assert abs(f(a, b) - f(b, a)) < 1e-9
     assert M.ratio(a, a) == 100
     assert 0 <= M.jaro_winkler(a, b) <= 1
 
@@ -87,8 +87,8 @@ def test_metric_laws(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=string.ascii_lowercase[:4], min_size=1, max_size=8), st.text(alphabet=string.ascii_lowercase[:4], min_size=1, max_size=12))
 def test_partial_ratio_is_best_window(a, b):
-    s, t = sorted((a, b), key=len)
-    best = max(M.ratio(s, t[max(0, e - len(s)) : e]) for e in range(1, len(t) + len(s)))
+    ways = [(s, t) for s, t in ((a, b), (b, a)) if len(s) <= len(t)]
+    best = max(M.ratio(s, t[max(0, e - len(s)) : e]) for s, t in ways for e in range(1, len(t) + len(s)))
     assert abs(M.partial_ratio(a, b) - best) < 1e-9
 
 

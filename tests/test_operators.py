@@ -42,6 +42,18 @@ def test_expected_f():
     assert decide.best_k([0.2]) == 0
     assert decide.best_k([0.99, 0.98, 0.97, 0.7]) in (3, 4)
     assert decide.expected_f([1.0, 0.0], 1) == pytest.approx(1.0)
+    r = random.Random(2)
+    for n in (0, 1, 3, 9, 26, 40):
+        q, missed = sorted((r.random() ** 2 for _ in range(n)), reverse=True), r.choice([0.0, 0.7])
+        values = [round(decide.expected_f(q, k, missed), 12) for k in range(n + 1)]
+        assert decide.best_k(q, missed) == values.index(max(values))
+    assert decide.best_k([0.95] * 300 + [0.01] * 700) == 300
+
+
+def test_expected_f_takes_every_candidate(spark):
+    rows = [(1, i, 0.97) for i in range(60)] + [(2, 100, 0.3), (2, 101, 0.2)]
+    got = decide.select_expected_f(spark.createDataFrame(rows, "sid int, rid int, p double")).groupBy("sid").count().collect()
+    assert {r.sid: r["count"] for r in got} == {1: 60}
 
 
 def test_assign_breaks_ties_by_entity(spark):

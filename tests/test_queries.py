@@ -2,6 +2,10 @@
 
 import math
 import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -45,7 +49,8 @@ def test_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, D).columns
+    df = catalog.QUERIES[name](spark, D)
+    assert all(len(r) == len(df.columns) for r in df.collect())
 
 
 def test_entry():
@@ -53,3 +58,15 @@ def test_entry():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(catalog.QUERIES) <= set(e.queries())
+
+
+@pytest.mark.parametrize("gone", [("tessera/llm",), ("tessera/llm", "corpus_pipeline.py")], ids=["folder", "folder and pipeline"])
+def test_entry_without_corpus_operators(tmp_path, gone):
+    root = pathlib.Path(__file__).parents[1]
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists() and name not in gone:
+            shutil.copy(root / name, tmp_path)
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_resolve' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)

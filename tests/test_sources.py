@@ -17,9 +17,12 @@ def test_truth_round_trip(spark, tmp_path):
     p = spark.createDataFrame([("a", "r2"), ("a", "r1"), ("c", "r3")], "entity string, record string")
     links = tables.joined_ids(e, p)
     assert {r.entity: r.ids for r in links.collect()} == {"a": "r1,r2", "b": "", "c": "r3"}
-    tables.write_links(links.join(e, "entity"), str(tmp_path / "out"), order="pos")
-    text = next((tmp_path / "out").glob("part-*")).read_text().splitlines()
-    assert text == ["source1_entity_id\tmatched_entity_ids", "a\tr1,r2", "b\t", "c\tr3"]
+    wanted = ["source1_entity_id\tmatched_entity_ids", "a\tr1,r2", "b\t", "c\tr3"]
+    for one in (True, False):
+        tables.write_links(links.join(e, "entity"), str(tmp_path / f"out{one}"), order="pos", one_file=one)
+        parts = [f.read_text().splitlines() for f in sorted((tmp_path / f"out{one}").glob("part-*"))]
+        assert [x for p_ in parts for x in p_[1:]] == wanted[1:] and all(p_[0] == wanted[0] for p_ in parts if p_)
+        assert len(parts) == 1 or not one
     assert tables.explode_truth(links, "entity", "ids").count() == 3
     bad = links.union(spark.createDataFrame([("x", "r1,r9")], "entity string, ids string"))
     found = {r.problem: r.n for r in tables.validate_links(bad, e.select("entity"), p.select("record")).collect()}
@@ -38,6 +41,8 @@ def test_cache_steps_and_shards(spark, tmp_path):
     assert len(calls) == 1
     spark.createDataFrame([(1, None)], "k int, v double").write.parquet(str(tmp_path / "s1"))
     spark.createDataFrame([(1, 2.0)], "k int, v double").write.parquet(str(tmp_path / "s2"))
+    spark.createDataFrame([(1, 3.0)], "k int, v double").write.parquet(str(tmp_path / "s3"))
+    spark.createDataFrame([(1, float("nan"))], "k int, v double").write.parquet(str(tmp_path / "s0"))
     assert tables.read_shards(spark, str(tmp_path / "s*"), ["k"]).first()["v"] == 2.0
 
 
@@ -45,8 +50,8 @@ def test_small_helpers(spark, tmp_path):
     df = spark.range(100)
     a, b = (sorted(r.id for r in tables.sample_rows(df.repartition(n), 10, "id").collect()) for n in (2, 5))
     assert a == b and len(a) == 10
-    tables.write_json([{"a": 1}], str(tmp_path / "x.json"))
-    assert tables.read_json(str(tmp_path / "x.json")) == [{"a": 1}]
+    tables.write_json(spark, [{"a": 1}], str(tmp_path / "x.json"))
+    assert tables.read_json(spark, str(tmp_path / "x.json")) == [{"a": 1}]
     u = tables.union_sources(S2=df.limit(1), S3=df.limit(2))
     assert {r.src: r["count"] for r in u.groupBy("src").count().collect()} == {"S2": 1, "S3": 2}
     assert tables.resolve_values("unlabelled", ["a", "b"], ["b"]) == ["b"]
@@ -62,3 +67,22 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.rid, r.sid) for r in got] == [("S2-1", "S1-1")]
+
+
+def test_scratch_belongs_to_its_scope(spark):
+    from tessera import session
+
+    with session.scratch_scope() as outer:
+        kept = session.written(spark.range(3), "kept")
+        with session.scratch_scope() as inner:
+            session.written(spark.range(4), "gone")
+    assert len(outer) == 2 and len(inner) == 1
+    session.remove_paths(spark, inner)
+    assert not inner and kept.count() == 3
+
+
+def test_stores_and_aliases(spark, tmp_path):
+    a = spark.createDataFrame([(1, [1, 2])], "id int, ids array<int>")
+    assert tables.concat_stores(a, a).count() == 2
+    a.write.parquet(str(tmp_path / "t"))
+    assert tables.alias_table(spark, "other_name", str(tmp_path / "t")).count() == spark.table("other_name").count() == 1
