@@ -216,13 +216,13 @@ def doc_range(ids: np.ndarray, bits: int) -> np.ndarray:
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of (byte + 1) * BASE**i, and the inverse powers: (s[j] - s[i]) * inv[i] depends on data[i:j] alone."""
+def prefix_sums(data: np.ndarray, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (byte + 1) * base**i, and the inverse powers: (s[j] - s[i]) * inv[i] depends on data[i:j] alone."""
     n = len(data)
-    powers = np.full(n + 1, BASE, np.uint64)
+    powers = np.full(n + 1, base, np.uint64)
     powers[0] = 1
     np.cumprod(powers, out=powers)
-    inverse = np.full(n + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
+    inverse = np.full(n + 1, pow(int(base), -1, 1 << 64), np.uint64)
     inverse[0] = 1
     np.cumprod(inverse, out=inverse)
     sums = np.zeros(n + 1, np.uint64)

@@ -5,9 +5,10 @@ start). Sorting all suffixes of a corpus isn't needed for that, only those whose
 
 1. Every start has an anchor: of the ``length - GRAM + 1`` strings of GRAM bytes in its window, the rightmost of those whose
    hash is least. Equal windows have their anchors at equal places, so starts whose anchor's string occurs once in the
-   corpus have no equal and drop out. Anchors, one for about 26 starts, are counted by ranges of their hash.
-2. Starts with one anchor are neighbours and need one stretch of text, their context. Contexts that are equal as a whole (by a
-   96-bit key) are collapsed: their earliest place stands for them, and all starts at the others are duplicates. So a
+   corpus have no equal and drop out. Anchors, one for about 26 starts, are counted by ranges of their hash, mixed anew, for least
+   hashes are small ones.
+2. Starts with one anchor are neighbours and need one stretch of text, their context. Contexts that are equal as a whole (by 64 bits
+   beside the 64 of the anchor) are collapsed: their earliest place stands for them, and all starts at the others are duplicates. So a
    text with many copies is sorted once, and a hot passage never meets in one task.
 3. Where an anchor has several different contexts, these go to the range of the anchor's hash. Equal windows meet there, whatever
    documents they come from. The contexts of a few anchors form one text, and the difference-cover algorithm sorts its
@@ -15,12 +16,19 @@ start). Sorting all suffixes of a corpus isn't needed for that, only those whose
    remaining suffixes are sorted by their first symbol and the rank after it, and both lists are merged. Adjacent suffixes whose
    first ``length`` bytes agree form a class; all its places but the earliest are duplicates.
 
+4. An anchor with very many different contexts would be one sort in one task. Anchors that have at least HOT of them in one
+   document of every SAMPLE are known to all tasks beforehand; their starts are entries of their own, by 128 bits of the window's hash, and
+   those that a task holds twice are settled there. The sample decides about the way alone: either way finds the same duplicates.
+
 No match is lost: equal windows have equal anchors. Different contexts are compared byte by byte.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +40,8 @@ from .spans import by_document, identified, ids, joined, merged, removal, squeez
 
 LENGTH, GRAM = 100, 32
 BLOCK, SORT_BYTES, PART = 1 << 22, 1 << 20, 1 << 20
+SAMPLE, HOT, MOST_HOT = 64, 64, 4_000_000
+SECOND = np.uint64(0xD1342543DE82EF95)  # base of the second hash of a window
 
 
 def dense(x: np.ndarray) -> np.ndarray:
@@ -89,24 +99,33 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchored(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor.
+class Runs(NamedTuple):
+    """Runs of starts with one anchor: key of the anchor's string, text, first start in the data, number of starts, hash of the context."""
 
-    Hash of the anchor's string (48 bits), text, first start in the data, number of starts, hash of the context (48 bits).
-    """
-    none = (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3, np.empty(0, np.uint64))
+    key: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    n: np.ndarray
+    context: np.ndarray
+
+
+def anchored(data: np.ndarray, at: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None) -> Runs:
+    """The runs of all texts; those of a ``hot`` anchor (sorted keys) start by start, with two hashes of the window for key and context."""
+    none = Runs(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3, np.empty(0, np.uint64))
     if len(data) < length:
         return none
     sums, inverse = prefix_sums(data)
     n = len(data) - gram + 1
-    h = mix((sums[gram:] - sums[:n]) * inverse[:n]) >> np.uint64(16)
+    h = mix((sums[gram:] - sums[:n]) * inverse[:n])
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     fits = np.arange(len(data)) + length <= at[1:][doc]
-    window, bits = length - gram + 1, BLOCK.bit_length()
+    window = length - gram + 1
+    bits = (BLOCK + window).bit_length()
+    places = np.arange((1 << bits) - 1, (1 << bits) - 1 - min(BLOCK + window, len(data)), -1).astype(np.uint64)
     anchors = []
     for lo in range(0, len(data) - length + 1, BLOCK):
         part = h[lo : lo + BLOCK + window]
-        v = (part >> np.uint64(48 + bits - 64)) << np.uint64(bits) | np.arange((1 << bits) - 1, (1 << bits) - 1 - len(part), -1).astype(np.uint64)
+        v = part >> np.uint64(bits) << np.uint64(bits) | places[: len(part)]
         size = 1
         while 2 * size <= window:
             v = np.minimum(v[:-size], v[size:]) if len(v) > size else v
@@ -123,24 +142,51 @@ def anchored(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[
     new = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (start[1:] != start[:-1] + 1)]
     first = np.flatnonzero(new)
     lo, n = start[first], np.diff(np.r_[first, len(start)])
-    context = mix((sums[lo + n + (length - 1)] - sums[lo]) * inverse[lo] + n.astype(np.uint64)) >> np.uint64(16)
-    return h[a[first]], d[first], lo, n, context
+    context = mix((sums[lo + n + (length - 1)] - sums[lo]) * inverse[lo] + n.astype(np.uint64))
+    out = Runs(mix(h[a[first]]), d[first], lo, n, context)
+    if hot is None or not len(hot):
+        return out
+    at_hot = hot[np.minimum(np.searchsorted(hot, out.key), len(hot) - 1)] == out.key
+    if not at_hot.any():
+        return out
+    cold, warm = Runs(*(c[~at_hot] for c in out)), Runs(*(c[at_hot] for c in out))
+    each = np.repeat(np.arange(len(warm.n)), warm.n)
+    s = warm.start[each] + np.arange(len(each)) - np.repeat(np.cumsum(warm.n) - warm.n, warm.n)
+    sums2, inverse2 = prefix_sums(data, SECOND)
+    one, two = (mix((x[s + length] - x[s]) * y[s] + np.uint64(length)) for x, y in ((sums, inverse), (sums2, inverse2)))
+    parts = Runs(one, warm.doc[each], s, np.ones(len(s), np.int64), two)
+    return Runs(*(np.concatenate(c) for c in zip(cold, parts, strict=True)))
+
+
+def hot_anchors(docs: DataFrame, text: str, length: int, gram: int) -> np.ndarray:
+    """Keys of the anchors that have many different contexts in a sample of the documents, MOST_HOT at most."""
+
+    def run(batches):
+        for b in slices(batches, text, PART):
+            r = anchored(*utf8(b.column(b.schema.get_field_index(text))), length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(r.key.view(np.int64)), pa.array(r.context.view(np.int64))], names=["key", "context"])
+
+    some = docs.filter(F.pmod(F.xxhash64("k", "h"), F.lit(SAMPLE)) == 0).select(text).mapInArrow(run, "key long, context long").distinct()
+    counts = written(some.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "anchor-sample")
+    least = max(HOT, (counts.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    return np.sort(np.array([r["key"] for r in counts.filter(F.col("n") >= least).select("key").toLocalIterator()], np.int64).view(np.uint64))
 
 
 def repeated_anchors(docs: DataFrame, text: str, bits: int, length: int, gram: int) -> DataFrame:
-    """Entries (start, starts, anchor's hash, duplicate) by document, of runs whose anchor's string occurs again.
+    """Entries (start, starts, anchor's key, duplicate) by document, of runs whose anchor's string occurs again.
 
     Of equal contexts the earliest isn't a duplicate; it is left out if its anchor has no other context.
     """
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, text, length, gram))
 
     def send(batches):
-        box = FirstPlaces(bits, 48, lambda key, start, n: (start, n, key, np.ones(len(key), np.uint8)))
+        box = FirstPlaces(bits, 64, lambda key, start, n: (start, n, key, np.ones(len(key), np.uint8)))
 
         def rows():
             for b in slices(batches, text, PART):
                 data, at = utf8(b.column(b.schema.get_field_index(text)))
-                key, d, start, n, context = anchored(data, at, length, gram)
-                yield from box.add(ids(b), key, d, (start - at[d]).astype(np.uint32), n.astype(np.uint8), context)
+                r = anchored(data, at, length, gram, hot.value)
+                yield from box.add(ids(b), r.key, r.doc, (r.start - at[r.doc]).astype(np.uint32), r.n.astype(np.uint16), r.context)
             yield from box.flush()
 
         yield from sent(rows())
@@ -182,7 +228,7 @@ class Contexts:
     """Contexts of a task by range of their anchor."""
 
     def __init__(self, bits: int, flush: int = 24 << 20):
-        self.shift, self.at, self.flush_at = 48 - bits, {}, flush
+        self.shift, self.at, self.flush_at = 64 - bits, {}, flush
         self.size = 0
 
     def add(self, key: int, text: bytes, k: int, h: int, start: int):
@@ -252,7 +298,7 @@ def different_contexts(docs: DataFrame, runs: DataFrame, text: str, bits: int, l
                 for z, k, h, starts, counts, keys in zip(*cols, strict=True):
                     raw = unpacker.decompress(z)
                     for s, n, key in zip(starts, counts, keys, strict=True):
-                        yield from box.add(key, raw[s : s + n + length - 1], k, h, s)
+                        yield from box.add(key & 0xFFFFFFFFFFFFFFFF, raw[s : s + n + length - 1], k, h, s)
             yield from box.flush()
 
         yield from sent(rows())
@@ -318,7 +364,7 @@ def duplicate_spans(docs: DataFrame, text: str, length: int, gram: int) -> DataF
 
     def fetch(start, n, key, gone):
         use = gone == 0
-        return [start[use], n[use], key[use]] if use.any() else None
+        return [start[use], n[use], key[use].view(np.int64)] if use.any() else None
 
     runs = by_document(entries, 4, fetch, ["starts", "counts", "anchors"])
     found = different_contexts(docs, runs, text, bits, length).union(equal_contexts(entries, bits))
@@ -339,6 +385,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, le
     key with different texts are in order of the text's hash. A null key comes before all others. Columns named as a result are
     replaced. With ``digest=False`` spans are narrowed to whole characters. An empty table gives an empty result.
     """
+    if not 0 < gram < length <= 1 << 15:
+        raise ValueError("0 < gram < length <= 32768")
     ship(docs.sparkSession)
     d, t = identified(docs, key, text)
     return removal(joined(d, duplicate_spans(d, t, length, gram), t), t, docs.schema.fields, digest, keep_text)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import chunk_dedup as C
@@ -88,6 +89,50 @@ def test_small_sorts_and_other_lengths(spark, monkeypatch):
     assert result(S.suffix_dedup(frame(spark, docs), length=40, gram=12)) == brute_suffix(docs, 40)
 
 
+def test_long_windows(spark):
+    """Anchors with more than 255 starts."""
+    r = random.Random(9)
+    a = "".join(r.choice("abcdefgh é") for _ in range(3000))
+    docs = [(1, a), (2, "x" + a[:2500] + "y" + a[1000:]), (3, a[200:700]), (4, a[300:690] * 3)]
+    assert result(S.suffix_dedup(frame(spark, docs), length=400)) == brute_suffix(docs, 400)
+    for bad in ({"length": 32}, {"length": 40_000}, {"gram": 0}):
+        with pytest.raises(ValueError):
+            S.suffix_dedup(frame(spark, docs), **bad)
+
+
+def test_hot_anchors_go_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "HOT", 2)
+    docs = corpus(120, 6)
+    r = random.Random(3)
+    line = "".join(r.choice("abcdef gh") for _ in range(160))
+    docs += [(1000 + i, "".join(r.choice("klmnop") for _ in range(r.randint(0, 90))) + line[r.randint(0, 40) :] + str(i)) for i in range(80)]
+    df = frame(spark, docs)
+    d, t = S.identified(df, "doc_id", "text")
+    assert len(S.hot_anchors(d, t, 100, 32)) > 0
+    assert result(S.suffix_dedup(df)) == brute_suffix(docs, 100)
+
+
+def test_blocks_join_without_a_seam(monkeypatch):
+    r = np.random.default_rng(4)
+    data = r.integers(97, 100, 5000).astype(np.uint8)
+    at = np.array([0, 1700, 1750, 5000])
+    whole = S.anchored(data, at, 100, 32)
+    monkeypatch.setattr(S, "BLOCK", 256)
+    assert all((a == b).all() for a, b in zip(whole, S.anchored(data, at, 100, 32), strict=True))
+
+
+def test_very_long_text(spark):
+    """A passage across the seam of two blocks, given again at the end of the same text and in another."""
+    r = np.random.default_rng(8)
+    body = bytearray(r.integers(97, 123, S.BLOCK + 400_000).astype(np.uint8).tobytes())
+    passage = bytes(body[S.BLOCK - 300 : S.BLOCK + 300])
+    docs = [(1, (bytes(body) + b"0" + passage + b"1").decode()), (2, (b"2" + passage).decode())]
+    got = result(S.suffix_dedup(frame(spark, docs)))
+    assert got[1] == digest(docs[0][1].encode(), np.r_[np.zeros(len(body) + 1, bool), np.ones(600, bool), [False]])
+    assert got[2] == digest(docs[1][1].encode(), np.r_[[False], np.ones(600, bool)])
+
+
 def test_repeated_rows_and_rewriting(spark):
     r = random.Random(1)
     a, b = "".join(r.choice("abcdefgh é") for _ in range(400)), "tail"
