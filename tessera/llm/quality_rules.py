@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .columns import appended, blobs, documents
 
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.4, 100
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.3, 50
 FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("word_chars", T.LongType()),

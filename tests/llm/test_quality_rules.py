@@ -61,3 +61,15 @@ def test_long_repeat_is_found(n):
     w = [f"w{i}" for i in range(200)]
     m = Q.measure([" ".join(w + w[:n]).encode()], 3)
     assert (m["longest_repeat"][0], m["covered_words"][0]) == (n, 2 * n)
+
+
+def test_production_limits(spark):
+    """A text that gives a passage of over 50 words twice goes, as does one mostly of short repeats; prose and a repeated phrase stay."""
+    r = random.Random(6)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, phrases = prose(60), [prose(12) for _ in range(8)]
+    planted = [prose(240) + passage + prose(240) + passage, [w for p in phrases * 2 for w in p] + prose(300)]
+    clean = [prose(600), prose(290) + passage[:20] + prose(290) + passage[:20], prose(60)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(planted + clean)], "doc_id long, text string")
+    got = {x.doc_id: (x.base_failed, x.kept) for x in Q.quality_rules(df).collect()}
+    assert got == {i: (False, i >= len(planted)) for i in range(len(planted + clean))}
