@@ -5,14 +5,16 @@ say little and rare ones are often errors. A text's distinct lexicon terms are s
 randomised subsets of the lexicon; a term's own hash decides its subsets, so no state is shared. Two texts are as alike as the
 share of subsets whose hashes agree.
 
-The band's upper limit bounds the lexicon whatever the corpus: a document has d distinct terms on average, and terms in at least
-a share exp(-high) of the documents number at most d * exp(high). That bound is what makes it safe to broadcast.
+The band's upper limit bounds the lexicon: a document has d distinct terms on average, and terms in at least a share exp(-high) of the
+documents number at most d * exp(high). A lexicon of at most MOST_TERMS terms goes to every task; a larger one, as of very long documents,
+stays a table that the texts' terms are joined with. Both ways give the same fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import input_bytes, ship
+from ..session import input_bytes, ship, written
 from .columns import blobs, documents, slices
 
 LOW_IDF, HIGH_IDF, SUBSETS, LARGEST, SMALLEST = 1.0, 6.5, 48, 0.2, 0.001
+MOST_TERMS = 2_000_000
 _NONE = "0" * 8
 
 
@@ -48,12 +51,12 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def lexicon(docs: DataFrame, text: str, low: float, high: float) -> set[bytes]:
+def lexicon(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
+    """The terms of the band, stored."""
     n = docs.count()
-    if not n:
-        return set()
-    band = document_frequencies(docs, text).filter((F.col("df") >= n * float(np.exp(-high))) & (F.col("df") <= n * float(np.exp(-low))) & (F.col("df") >= 2))
-    return {bytes(r["term"]) for r in band.select("term").toLocalIterator()}
+    df = F.col("df")
+    inside = (df >= n * float(np.exp(-high))) & (df <= n * float(np.exp(-low))) & (df >= 2)
+    return written(document_frequencies(docs, text).filter(inside).select("term"), "lexicon")
 
 
 def shares(subsets: int, largest: float, smallest: float) -> list[float]:
@@ -79,7 +82,13 @@ class Fingerprinter:
         """Without lexicon terms, all distinct terms are used: unrelated short texts don't look alike."""
         words = set(text.lower().split())
         own = sorted([i for i in map(self.index.get, words) if i is not None])
-        hashes, bits = (self.hashes[own], self.bits[own]) if own else self._terms(sorted(words))
+        return self._hashed(self.hashes[own], self.bits[own]) if own else self.of(words)
+
+    def of(self, terms: Iterable[bytes]) -> tuple[str, ...]:
+        """The hashes of these terms, whatever the lexicon."""
+        return self._hashed(*self._terms(sorted(terms)))
+
+    def _hashed(self, hashes: np.ndarray, bits: np.ndarray) -> tuple[str, ...]:
         subset, term = np.nonzero(bits.T)
         ends = np.searchsorted(subset, np.arange(len(self.limits) + 1)) * 8
         raw, ends = hashes[term].tobytes(), ends.tolist()
@@ -92,18 +101,57 @@ def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return sum(x == y for x, y in used) / len(used) if used else 1.0
 
 
+def joined_terms(rows: DataFrame, band: DataFrame) -> DataFrame:
+    """``rows`` with ``own``: of each list of terms in ``words`` those of the lexicon, by a join on the term."""
+    rows = written(rows, "words").withColumn("id", F.monotonically_increasing_id())
+    rows = written(rows, "numbered-words")
+    t = rows.select("id", F.posexplode("words").alias("which", "terms")).select("id", "which", F.explode("terms").alias("term"))
+    lists = t.join(band, "term").groupBy("id", "which").agg(F.collect_list("term").alias("terms"))
+    found = lists.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("which", "terms"))).alias("found"))
+    own = F.transform("words", lambda _, i: F.coalesce(F.try_element_at("found", i), F.array().cast("array<binary>")))
+    return rows.join(found, "id", "left").withColumn("found", F.coalesce("found", F.create_map().cast("map<int,array<binary>>"))).withColumn("own", own).drop("found", "id")
+
+
+def in_memory(band: DataFrame, limits: list[float]) -> Fingerprinter | None:
+    """The fingerprinter of a lexicon that is small enough to be sent to every task."""
+    if band.count() > MOST_TERMS:
+        return None
+    return Fingerprinter({bytes(r["term"]) for r in band.toLocalIterator()}, limits)
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *, low: float = LOW_IDF, high: float = HIGH_IDF, subsets: int = SUBSETS, largest: float = LARGEST, smallest: float = SMALLEST) -> DataFrame:
-    """Every row's key and fingerprint. Null texts are empty; texts without words share one fingerprint; repeated rows get equal ones."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Fingerprinter(lexicon(docs, text, low, high), shares(subsets, largest, smallest)))
+    """Every row's key and fingerprint.
+
+    Null texts are empty; texts without words share one fingerprint; repeated rows get equal ones; null keys stay null; a text of any length
+    is taken whole; columns besides these, whatever their names, aren't carried; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    band, limits, kind = lexicon(docs, text, low, high), shares(subsets, largest, smallest), dict(docs.dtypes)[key]
+    rows, known = docs.select(F.col(key).alias("own_key"), F.col(text).alias("text")), in_memory(band, limits)
+    if known is None:
+
+        def terms(batches):
+            for b in slices(batches, "text"):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[list(set(t.lower().split()))] for t in blobs(b.column(1))], pa.list_(pa.list_(pa.binary())))], names=["own_key", "words"])
+
+        def hashed(batches):
+            fp = Fingerprinter(set(), limits)
+            for b in batches:
+                made = ["-".join(fp.of(o[0] or w[0])) for w, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=[key, "fingerprint"])
+
+        rows = joined_terms(rows.mapInArrow(terms, f"own_key {kind}, words array<array<binary>>"), band)
+        return rows.select("own_key", "words", "own").mapInArrow(hashed, f"`{key}` {kind}, fingerprint string")
+    shared = spark.sparkContext.broadcast(known)
 
     def run(batches):
         fp = shared.value
-        for b in slices(batches, text):
-            made = ["-".join(fp(t)) for t in blobs(b.column(b.schema.get_field_index(text)))]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array(made)], names=[key, "fingerprint"])
+        for b in slices(batches, "text"):
+            made = ["-".join(fp(t)) for t in blobs(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=[key, "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, fingerprint string")
+    return rows.mapInArrow(run, f"`{key}` {kind}, fingerprint string")
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,37 +192,62 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *, low: float = LOW_IDF, high: float = HIGH_IDF, subsets: int = SUBSETS, largest: float = LARGEST, smallest: float = SMALLEST) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half gives way to the start of the next document.
 
-    A single document is its own next. Null texts are empty, repeated rows follow one another, other columns are not carried.
+    A single document is its own next. Null texts are empty, null keys come first, repeated rows follow one another, a text of any length is
+    taken whole, other columns, whatever their names, are not carried; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(Fingerprinter(lexicon(docs, text, low, high), shares(subsets, largest, smallest)))
+    band, limits = lexicon(docs, text, low, high), shares(subsets, largest, smallest)
+    known = in_memory(band, limits)
+    shared = spark.sparkContext.broadcast(known)
     kind = dict(docs.dtypes)[key]
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def run(batches):
-        fp = shared.value
-        held = None  # range, key, text, fingerprint, whether it is the next range's
+    def edited(batches, of, row):
+        """``row`` of each document: its key, length and digest, and what ``of`` makes of its text, the edited one and the next."""
+        held = None  # range, key, text, what is made of it, whether it is the next range's
         unpacker = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
             for r, look, own, t in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("range", "look", "own", "text")), strict=True):
                 t = unpacker.decompress(t).decode()
+                made = of(t.encode())
                 if held and held[0] == r and not (look and held[4]):
                     me = held[2]
                     half = len(me) // 2
                     changed = (me[: len(me) - half] + t[:half]).encode()
-                    f, g = fp(changed), fp(t.encode())
-                    rows.append((held[1], len(me), hashlib.sha256(changed).hexdigest(), "-".join(held[3]), "-".join(f), likeness(held[3], f), likeness(held[3], g)))
-                    held = (r, own, t, g, look)
-                else:
-                    held = (r, own, t, fp(t.encode()), look)
+                    rows.append(row(held[1], len(me), hashlib.sha256(changed).hexdigest(), held[3], of(changed), made))
+                held = (r, own, t, made, look)
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field("own").type if i == 0 else None) for i, c in enumerate(cols)], names=names)
+                yield b.schema.field("own").type, list(zip(*rows, strict=True))
+
+    def with_likeness(own, n, digest, f, e, g):
+        return own, n, digest, "-".join(f), "-".join(e), likeness(f, e), likeness(f, g)
 
     schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, key, text).mapInArrow(run, schema)
+    near = with_next(docs, key, text)
+    if known is not None:
+
+        def run(batches):
+            for t, cols in edited(batches, shared.value, with_likeness):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t if i == 0 else None) for i, c in enumerate(cols)], names=names)
+
+        return near.mapInArrow(run, schema)
+
+    def terms(batches):
+        lists = pa.list_(pa.list_(pa.binary()))
+        for t, cols in edited(batches, lambda x: list(set(x.lower().split())), lambda own, n, digest, *w: (own, n, digest, w)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (t, pa.int64(), pa.string(), lists), strict=True)], names=["own_key", "n_chars", "edited_sha256", "words"])
+
+    def hashed(batches):
+        fp = Fingerprinter(set(), limits)
+        for b in batches:
+            if b.num_rows:
+                rows = [with_likeness(k, n, d, *(fp.of(o or w) for w, o in zip(ws, os, strict=True))) for k, n, d, ws, os in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, b.column(0).type if i == 0 else None) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+
+    rows = joined_terms(near.mapInArrow(terms, f"own_key {kind}, n_chars long, edited_sha256 string, words array<array<binary>>"), band)
+    return rows.select("own_key", "n_chars", "edited_sha256", "words", "own").mapInArrow(hashed, schema)
 
 
 def op5_i_match(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
 
+import pytest
+import xxhash
+
 from tessera.llm import fingerprints as I
 
 
@@ -60,3 +64,56 @@ def test_empty_and_single(spark):
     r = I.edited_fingerprints(one).first()
     assert (r.edited_sha256, r.n_chars) == (hashlib.sha256(b"a b a b").hexdigest(), 7)
     assert I.fingerprints(one).first().fingerprint == r.fingerprint
+
+
+def brute(docs, low, high, limits):
+    """Fingerprints by the rule: band of idf, sorted distinct terms, one hash for each subset that a term's own draw puts it in."""
+    texts = [(t or "").encode().lower().split() for _, t in docs]
+    df = {}
+    for ws in texts:
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    n = len(docs)
+    band = {w for w, c in df.items() if c >= 2 and low <= math.log(n / c) <= high}
+
+    def one(text):
+        words = sorted(set(text.encode().lower().split()))
+        own = [w for w in words if w in band] or words
+        out = []
+        for j, share in enumerate(limits):
+            chosen = [w for w in own if int.from_bytes(hashlib.shake_128(b"subset:" + w).digest(2 * len(limits))[2 * j : 2 * j + 2], "little") < int(share * 65536)]
+            raw = b"".join(xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in chosen)
+            out.append(f"{xxhash.xxh3_64_intdigest(raw) >> 32:08x}" if chosen else "0" * 8)
+        return out
+
+    return one
+
+
+def alike(x, y):
+    used = [(a, b) for a, b in zip(x, y, strict=True) if (a, b) != ("0" * 8, "0" * 8)]
+    return sum(a == b for a, b in used) / len(used) if used else 1.0
+
+
+@pytest.mark.parametrize("most", [I.MOST_TERMS, 3])
+def test_against_brute_force(spark, monkeypatch, most):
+    """Fingerprints, those of edited texts, and likeness, by plain Python; with a lexicon in memory and one beyond the limit."""
+    monkeypatch.setattr(I, "MOST_TERMS", most)
+    rows = sorted({k: t for k, t in corpus()}.items())
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, fingerprint string, k int").repartition(4)
+    one = brute(rows, I.LOW_IDF, I.HIGH_IDF, I.shares(I.SUBSETS, I.LARGEST, I.SMALLEST))
+    got = {r.doc_id: r for r in I.edited_fingerprints(df).collect()}
+    plain = {r.doc_id: r.fingerprint for r in I.fingerprints(df).collect()}
+    assert len(got) == len(plain) == len(rows)
+    for i, (k, t) in enumerate(rows):
+        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        f, e, g = one(t), one(t[: len(t) - half] + nxt[:half]), one(nxt)
+        assert got[k].fingerprint == plain[k] == "-".join(f) and got[k].edited_fingerprint == "-".join(e)
+        assert (got[k].near_edited, got[k].near_next) == (pytest.approx(alike(f, e)), pytest.approx(alike(f, g)))
+
+
+def test_null_keys_and_long_text(spark):
+    long = "word other " * 500_000
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, long), (2, None)], "doc_id long, text string")
+    got = I.edited_fingerprints(df).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 5), (0, 5), (2, 0), (3, len(long))]
