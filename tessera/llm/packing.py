@@ -12,6 +12,7 @@ their length, which needs only counts per partition and length.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import zlib
 from collections import deque
@@ -127,10 +128,25 @@ def separable(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ok
 
 
+# The parts of a tokenizer file that the word cache relies on.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# End of fixed values.
+
+
+def word_by_word(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never merges across it, so that words can be encoded apart."""
+    pre, model = (spec.get("pre_tokenizer") or {}).get("pretokenizers", []), spec.get("model") or {}
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    plain = len(pre) == 2 and pre[0] == split and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex", True)
+    bpe = model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return bool(spec.get("normalizer") == NORMALIZER and plain and bpe and all("<|" in t["content"] for t in spec.get("added_tokens", [])))
+
+
 class WordEncoder:
     """UTF-8 texts to ids, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space, never merges across it, and lower-cases; so the words between ASCII white space are encoded
+    A tokenizer that isn't ``word_by_word`` encodes each text as it is. One that is drops white space, never merges across it, and lower-cases; so the words between ASCII white space are encoded
     once each and looked up afterwards. Where ``separable`` allows, ASCII letters are lowered and closing marks parted from
     words first, which leaves fewer words. Words of letters are encoded many to a call, and told apart again by the mark that
     the last token of a word bears. The cache is bounded.
@@ -141,6 +157,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.words = Tokenizer.from_file(tokenizer), {}
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        with open(tokenizer, encoding="utf-8") as f:
+            self.apart = word_by_word(json.load(f))
+        if not self.apart:
+            return
         vocab = self.tok.get_vocab()
         suffix = self.tok.model.end_of_word_suffix
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -167,6 +189,10 @@ class WordEncoder:
                 lo = hi
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        if not self.apart:
+            raw = data.tobytes()
+            texts = [raw[lo:hi].decode() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         gc.disable()  # millions of short-lived words, and no cycles
         try:
             return self._encode(data, at)

@@ -89,3 +89,27 @@ def test_pack(spark):
         assert at <= 32
     assert sorted(32 - sum(n for _, n in s) for s in seqs.values()) == naive([w[3] for w in want], 32)
     assert P.pack(df.limit(0), TOK).count() == 0
+
+
+def test_other_tokenizers_are_taken_as_they_are(spark, tmp_path):
+    """A cased vocabulary that keeps white space, as no word cache may: ids are the tokenizer's own."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: i + 2 for i, c in enumerate("abHIhi ")}
+    tok = Tokenizer(models.BPE(vocab={**letters, "hi": 9, "Hi": 10, "i ": 11}, merges=[("h", "i"), ("H", "i"), ("i", " ")]))
+    tok.pre_tokenizer = pre_tokenizers.Sequence([])
+    path = str(tmp_path / "cased.json")
+    tok.save(path)
+    texts = ["Hi hi", "hi  Hi ", "", "ab Hi i i"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in P.pack(df, path).collect():
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids + [P.END_ID]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert not P.WordEncoder(path).apart and P.WordEncoder(TOK).apart
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x", 3), (2, None, 8, "y", 4)], "doc_id long, text string, piece int, length string, part int")
+    got = {r.doc_id: r for r in P.pack(df, TOK).collect()}
+    assert (got[1].piece, got[1].length, got[2].length) == (0, 3, 1)
+    assert P.pack(df, TOK).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
