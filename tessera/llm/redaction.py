@@ -21,7 +21,8 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, vocab: str, pattern: str, text: str = "text", *, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """Every row of ``docs`` with its secrets replaced. Null stays null, empty stays empty, repeated rows are changed alike."""
+    """Every row of ``docs`` with its secrets replaced. Null stays null, empty stays empty, repeated rows are changed
+    alike, other columns stay as they are, texts of any length are scanned whole, an empty table stays empty."""
 
     def fn(col: pa.Array) -> list:
         enc, out = cached(vocab, pattern).encode_ordinary, []

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,10 +73,20 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan(t: str, tokens, max_ratio: float) -> tuple[list, list]:
     """Spans of the fixed patterns, and of random strings that touch none of them."""
     base, extra = base_spans(t), []
+    starts, ends = [], []  # of the base spans' union
+    for a, b, _ in sorted(base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
     def random(start: int, end: int) -> bool:
+        i = bisect_right(ends, start)  # the first that ends behind the start
+        if i < len(ends) and starts[i] < end:
+            return False
         s = t[start:end]
-        if any(a < end and start < b for a, b, _ in base) or known(s):
+        if known(s):
             return False
         return len(s) < max_ratio * len(tokens(s))
 
@@ -95,7 +106,8 @@ def scan(t: str, tokens, max_ratio: float) -> tuple[list, list]:
 def secret_scan(docs: DataFrame, vocab: str, pattern: str, text: str = "text", *, max_ratio: float = MAX_RATIO) -> DataFrame:
     """Every row of ``docs`` with counts by kind, all spans (code points, end exclusive) and a digest of the base spans.
 
-    Null and empty texts have no spans. Repeated rows are scanned alike. Columns named as a result are replaced.
+    Null and empty texts have no spans. A text of any length is scanned whole, in time that grows with it. Repeated rows are scanned
+    alike. Columns named as a result are replaced. An empty table gives an empty result.
     """
 
     def fn(col: pa.Array) -> list:

@@ -41,6 +41,69 @@ def test_base_patterns(spark):
         assert g.n_assign == want.count("assign:") and g.n_access == want.count("access:") and g.n_hex == want.count("hex:")
 
 
+def brute_random(t, tokens):
+    """The method's spans by the rule in words: runs, then their parts, at least 20 long, not known, of few characters a token."""
+    base = [(m.start(), m.end()) for _, p, ok in BASE for m in p.finditer(t) if ok(m)]
+
+    def known(s):
+        if len(s) in (32, 40, 56, 64, 96, 128) and (set(s) <= set("0123456789abcdef") or set(s) <= set("0123456789ABCDEF")):
+            return True
+        if [len(x) for x in s.split("-")] == [8, 4, 4, 4, 12] and set(s) <= set(string.hexdigits + "-"):
+            return True
+        if set(s) <= set(string.digits) or len(set(s)) < 6:
+            return True
+        words = []
+        for chunk in re.findall(r"[A-Za-z0-9]+", s):
+            at = 0
+            for i in range(1, len(chunk)):
+                if chunk[i - 1].islower() and chunk[i].isupper():
+                    words.append(chunk[at:i])
+                    at = i
+            words.append(chunk[at:])
+        plain = all(w.isdigit() or w.isalpha() and len(w) < 20 and w in (w.lower(), w.upper(), w.capitalize()) for w in words)
+        return plain and sum(map(len, words)) >= 4 * len(words)
+
+    def split(start, end, marks):
+        at = start
+        for i in range(start, end + 1):
+            if i == end or t[i] in marks:
+                if i > at:
+                    yield at, i
+                at = i + 1
+
+    def look(start, end, left):
+        if end - start < 20:
+            return []
+        s = t[start:end]
+        if all(b <= start or end <= a for a, b in base) and not known(s) and len(s) < 2.2 * len(tokens(s)):
+            return [(start, end)]
+        return [x for part in split(start, end, left[0]) for x in look(*part, left[1:])] if left else []
+
+    letters = set(string.ascii_letters + string.digits + "+/_=-")
+    runs = split(0, len(t), {c for c in t if c not in letters})
+    return [x for run in runs for x in look(*run, ["/=", "/=_+-"])]
+
+
+def test_random_spans_against_brute_force(spark):
+    r = random.Random(12)
+    enc = S.vocabulary(*S.default_vocabulary())
+    key = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    kinds = [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits + "+/_-", string.hexdigits, "0123456789abcdef", "01"]
+    parts = ["path/to/module/", "some_name_here=", "password=", " ", "\n", "é", "AKIA", "-", "_", "/", "ordinary words of prose ", "camelCaseIdentifierOfLength", "123e4567-e89b-12d3-a456-426614174000"]
+    rows = [(i, "".join(r.choice(parts) if r.random() < 0.6 else key(r.choice([8, 19, 20, 24, 32, 40, 64]), r.choice(kinds)) for _ in range(r.randint(1, 9)))) for i in range(600)]
+    rows += [(1000, " ".join(key(30, kinds[2]) for _ in range(3000)))]
+    got = S.secret_scan(spark.createDataFrame([*rows, rows[3]], "doc_id long, text string"), *S.default_vocabulary()).collect()
+    assert len(got) == len(rows) + 1
+    found = 0
+    for g in got:
+        want = brute_random(dict(rows)[g.doc_id], enc.encode_ordinary)
+        have = [tuple(map(int, x.split(":")[1:])) for x in g.spans.split(",") if x.startswith("random")]
+        assert have == want, dict(rows)[g.doc_id]
+        assert g.n_random == len(want)
+        found += len(want)
+    assert found > 3000
+
+
 @pytest.mark.parametrize(("text", "hit"), [
     ("key qX7vB2nL9kT4wZ8pR1mC6yH3 end", True),
     ("see gHp_Zk39QmXw7Lr2TbVn5YcJd8Ef ok", True),
@@ -75,6 +138,15 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=hunter22 b", "k"), (2, None, "k"), (3, "", "k")], "doc_id long, text string, spans string")
     got = {r.doc_id: (r.text, r.spans) for r in redaction.redact(df, *S.default_vocabulary()).collect()}
     assert got == {1: ("a [ASSIGN] b", "k"), 2: (None, "k"), 3: ("", "k")}
+    twice = redaction.redact(df.union(df), *S.default_vocabulary())
+    assert twice.count() == 6 and twice.distinct().count() == 3
+    assert redaction.redact(df.limit(0), *S.default_vocabulary()).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "password=hunter22", "mine", 7)], "doc_id long, text string, spans string, other int")
+    r = S.secret_scan(df, *S.default_vocabulary()).first()
+    assert (r.spans, r.other) == ("assign:0:17", 7)
 
 
 def test_empty(spark):
