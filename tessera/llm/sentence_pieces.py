@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .columns import appended, blobs, documents
 
 SPACE = "▁".encode()
-FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("spans_sha256", T.StringType())]
 FULL = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("starts", T.ArrayType(T.LongType(), False)), T.StructField("ends", T.ArrayType(T.LongType(), False)), T.StructField("decoded", T.StringType())]
 
 
@@ -72,19 +72,25 @@ class Pieces:
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         byte, unknown = pb.ModelProto.SentencePiece.BYTE, pb.ModelProto.SentencePiece.UNKNOWN
         self.unknown = {i for i, p in enumerate(proto.pieces) if p.type == unknown}
-        self.length = np.array([1 if p.type == byte else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == byte else p.piece.encode() for p in proto.pieces]
+        self.length = np.array([len(x) for x in self.bytes], np.int64)
         self.text = [str(i) for i in range(len(proto.pieces))]
 
-    def align(self, s: bytes) -> np.ndarray:
-        """For every byte of the normalised text, and its end, the source byte it comes from; -1 - x for bytes put before x."""
+    def align(self, s: bytes) -> tuple[bytes, np.ndarray]:
+        """The normalised text; for every byte of it, and its end, the source byte it comes from, -1 - x for bytes put before x.
+
+        Where the model's map is empty and spaces stay, normalisation is the marking of spaces, and whole arrays do it.
+        """
         spec = self.spec
         if not self.map.units and not spec.remove_extra_whitespaces and not self.suffix:
             b = np.frombuffer(s, np.uint8)
             wide = np.where(b == 32, len(SPACE), 1) if spec.escape_whitespaces else np.ones(len(b), np.int64)
             own = np.repeat(np.arange(len(b)), wide)
             lead = (len(SPACE) if spec.escape_whitespaces else 1) if spec.add_dummy_prefix and len(b) else 0
-            return np.concatenate([np.full(lead, -1), own, [len(b)]])
-        return np.array(self.normalise(s)[1], np.int64)
+            space = SPACE if spec.escape_whitespaces else b" "
+            return (space if lead else b"") + s.replace(b" ", space), np.concatenate([np.full(lead, -1), own, [len(b)]])
+        text, own = self.normalise(s)
+        return text, np.array(own, np.int64)
 
     def normalise(self, s: bytes) -> tuple[bytes, list[int]]:
         """Longest-prefix normalisation and the source byte of every normalised byte, its end included."""
@@ -124,15 +130,19 @@ class Pieces:
         return bytes(out), [*own, end]
 
     def spans(self, s: bytes, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First source byte and end of every piece. Pieces that share a source character share its bytes."""
-        source = self.align(s)
+        """First source byte and end of every piece. Pieces that share a source character share its bytes.
+
+        The pieces joined must be the normalised text.
+        """
+        text, source = self.align(s)
         if self.unknown and not self.unknown.isdisjoint(ids):
-            pieces = self.sp.encode(s.decode(), out_type=str)
-            ends = np.array(list(accumulate(len(p.encode()) for p in pieces)), np.int64)
+            pieces = [p.encode() for p in self.sp.encode(s.decode(), out_type=str)]
+            ends = np.array(list(accumulate(map(len, pieces))), np.int64)
         else:
+            pieces = map(self.bytes.__getitem__, ids)
             ends = np.cumsum(self.length[ids]) if ids else np.empty(0, np.int64)
-        if (ends[-1] if len(ends) else 0) != len(source) - 1:
-            raise ValueError("pieces do not cover the normalised text")
+        if b"".join(pieces) != text:
+            raise ValueError("the pieces are not the normalised text")
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         lo = np.where(source[starts] < 0, -1 - source[starts], source[starts])
         later = np.maximum(np.where(source[ends] < 0, -1 - source[ends], source[ends]), lo)
@@ -152,25 +162,29 @@ def cached(model: str) -> Pieces:
 
 
 def encode_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with the number of ids, and digests of the ids and of the decoded text.
+    """Every row of ``docs`` with the number of ids, and digests of the ids, of the decoded text and of the pieces' source spans.
 
-    Spans are projected for every text and must cover it; null and empty texts have no ids. Columns named as a result are
-    replaced.
+    The last is over starts, then ends, as little-endian signed 64-bit numbers. Null and empty texts have no ids. A text of any length is
+    encoded whole. Repeated rows are encoded alike. Columns named as a result are replaced. An empty table gives an empty result.
     """
 
     def fn(col: pa.Array) -> list:
         m, rows = cached(model), []
         raw = blobs(col)
         for s, ids in zip(raw, m.sp.encode([x.decode() for x in raw], num_threads=1), strict=True):
-            m.spans(s, ids)
-            rows.append((len(ids), hashlib.sha256(",".join(map(m.text.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256((m.sp.decode(ids) if ids else "").encode()).hexdigest()))
+            spans = np.concatenate(m.spans(s, ids)).astype("<i8").tobytes()
+            rows.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (",".join(map(m.text.__getitem__, ids)).encode(), (m.sp.decode(ids) if ids else "").encode(), spans))))
         return [list(c) for c in zip(*rows, strict=True)]
 
     return appended(docs, text, FIELDS, fn)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ids, source byte spans and the decoded text."""
+    """Every row of ``docs`` with ids, source byte spans and the decoded text.
+
+    Null and empty texts have none of them and decode to an empty text. Whole texts, repeated rows, clashing names and empty tables are as in
+    ``encode_digests``.
+    """
 
     def fn(col: pa.Array) -> list:
         m, rows = cached(model), []

@@ -68,7 +68,7 @@ def charmap(entries):
             place(base ^ c, prefix + bytes([c]))
 
     place(0, b"")
-    n = max(units) + 1
+    n = -(-(max(units) + 1) // 256) * 256  # the library wants whole KB
     flat = [units.get(i, 0) for i in range(n)]
     return struct.pack("<I", 4 * n) + struct.pack(f"<{n}I", *flat) + pool
 
@@ -84,7 +84,49 @@ def test_longest_prefix_map():
     p.map = m
     text = "AB éQ z".encode()
     out, own = p.normalise(text)
+    assert p.align(text)[0] == out
     assert out.decode() == "▁xyz▁e▁z"
     # the mark put before everything, then the bytes of AB, the space, é, the space and z
     assert own == [-1] * 3 + [0] * 3 + [2] * 3 + [3] + [6] * 3 + [7, 8]
     assert own[-1] == len(text)
+
+
+def test_model_with_a_map(spark, tmp_path):
+    """End to end with a model whose compiled map isn't empty: ids and spans are the library's, extra spaces removed or kept."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    for extra in (False, True):
+        proto = pb.ModelProto()
+        with open(Q.default_model(), "rb") as f:
+            proto.ParseFromString(f.read())
+        proto.normalizer_spec.precompiled_charsmap = charmap({b"A": b"a", b"AB": b"xyz", "é".encode(): b"e", "ﬁ".encode(): b"fi", b"\t": b" "})
+        proto.normalizer_spec.remove_extra_whitespaces = extra
+        model = str(tmp_path / f"{extra}.model")
+        with open(model, "wb") as f:
+            f.write(proto.SerializeToString())
+        own = Q.Pieces(model)
+        texts = ["AB é ﬁne", "CABLE\tBAR  été", "plain words", "", None, "日本 ABBA"]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = Q.encode(df, model).collect()
+        for r in rows:
+            t = texts[r.doc_id] or ""
+            want = own.sp.encode(t, return_type="proto").pieces
+            assert r.ids == [p.id for p in want] and r.decoded == own.sp.decode(r.ids)
+            byte = [own.sp.is_byte(i) for i in r.ids]
+            for i, p in enumerate(want):
+                inside = i + 1 < len(want) and want[i + 1].begin == p.end  # a piece that ends inside a replacement covers its source too
+                assert byte[i] or r.starts[i] == p.begin and (r.ends[i] == p.end or inside and r.ends[i] > p.end)
+        digests = {r.doc_id: r.spans_sha256 for r in Q.encode_digests(df, model).collect()}
+        assert digests == {r.doc_id: hashlib.sha256(struct.pack(f"<{2 * len(r.ids)}q", *r.starts, *r.ends)).hexdigest() for r in rows}
+
+
+def test_clashing_names_and_long_text(spark):
+    from tessera.llm.columns import SLICE_BYTES
+
+    long = "word " * (SLICE_BYTES // 5 + 1000)
+    df = spark.createDataFrame([(1, "a b", "x", [7]), (2, long, "y", None), (None, "a b", None, [])], "doc_id long, text string, n_tokens string, ids array<int>")
+    got = {r.doc_id: r for r in Q.encode_digests(df, Q.default_model()).collect()}
+    assert got[1].n_tokens == got[None].n_tokens == 2 and got[1].ids == [7] and got[1].ids_sha256 == got[None].ids_sha256
+    assert got[2].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    full = {r.doc_id: r for r in Q.encode(df, Q.default_model()).collect()}
+    assert full[1].n_tokens == "x" and len(full[1].ids) == 2 and full[2].ends[-1] == len(long)
