@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import SALTS, components
@@ -321,13 +321,25 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     star = mine.filter((F.col("k") != F.col("p.k")) & fits(F.col("n"), F.col("m"), F.col("p.n"), F.col("p.m"), percent))
     star = star.select(F.least("k", "p.k").alias("a"), F.greatest("k", "p.k").alias("b")).distinct()
     found = components(linked(star, sets, percent))
-    split = labelled(mine, found).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = written(mine.join(split, "key").select("k", F.col("p.k").alias("p")), "split-keys")
+    c = {"lo": F.min("c"), "hi": F.max("c")}
+    apart_ = with_groups(labelled(mine, found), ["key"], c, {"lo": F.min("lo"), "hi": F.max("hi")}, "lo < hi")
+    rest = written(apart_.select("k", F.col("p.k").alias("p")).distinct(), "split-keys")
     if rest.isEmpty():
         return found
     return apart(rest, sets, found, percent)
 
 
+def with_groups(rows: DataFrame, keys: list[str], parts: dict[str, Column], whole: dict[str, Column], which: str = "true") -> DataFrame:
+    """``rows`` with the aggregates ``whole`` over their group's ``parts``, of groups ``which`` holds for.
+
+    A group's rows are dealt over many tasks by ``k``, each with a part of the aggregate, so that a hot group meets in no one task.
+    """
+    x = rows.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
+    some = x.groupBy(*keys, "s").agg(*[v.alias(n) for n, v in parts.items()])
+    every = some.groupBy(*keys).agg(*[v.alias(n) for n, v in whole.items()]).filter(which)
+    return x.join(some.select(*keys, "s").join(every, keys), [*keys, "s"]).drop("s")
+
+
 def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with the component ``c`` of their document ``k``."""
     return rows.join(found.withColumnsRenamed({"node": "k"}), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
@@ -363,16 +375,16 @@ def apart(rest: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> D
     are small, and most of their shingles are a document's own, so few pairs are left however large the group.
     """
     more, less = 100 + percent, 100 - percent
-    members = rest.filter("k != p").distinct()
+    members = rest.filter("k != p")
     d = written(differences(members, sets), "differences")
     over = more * F.col("size") - less * F.col("n")
-    least = d.groupBy("p").agg(F.min(F.struct(over.alias("f"), "k")).alias("z"))
-    near = d.join(least, "p").filter((F.col("k") != F.col("z.k")) & (over + F.col("z.f") <= 0)).select(F.least("k", "z.k").alias("a"), F.greatest("k", "z.k").alias("b"))
+    least = {"z": F.min(F.struct(over.alias("f"), "k"))}
+    near = with_groups(d, ["p"], least, {"z": F.min("z")}).filter((F.col("k") != F.col("z.k")) & (over + F.col("z.f") <= 0)).select(F.least("k", "z.k").alias("a"), F.greatest("k", "z.k").alias("b"))
     found = components(found.union(near), "node", "component")
     t = d.select("p", "k", "n", "size", F.explode("tokens").alias("t"))
-    often = t.groupBy("p", "t").agg(F.count("*").alias("df")).filter("df > 1")
+    t = with_groups(t, ["p", "t"], {"df": F.count("*")}, {"df": F.sum("df")}, "df > 1")
     w = Window.partitionBy("p", "k")
-    t = t.join(often, ["p", "t"]).withColumns({"able": F.count("*").over(w), "at": F.row_number().over(w.orderBy("df", "t"))})
+    t = t.withColumns({"able": F.count("*").over(w), "at": F.row_number().over(w.orderBy("df", "t"))})
     need = F.greatest(F.lit(1), F.col("size") - F.floor(less * F.col("n") / percent))  # at least so many are shared with any partner
     index = written(t.filter((F.col("able") >= need) & (F.col("at") <= F.col("able") - need + 1)).select("p", "t", "k", "n", "size", "able"), "difference-index")
 
@@ -380,8 +392,8 @@ def apart(rest: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> D
         size = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
         return size & (2 * more * F.least(a1, a2) >= more * (d1 + d2) - less * (n1 + n2))
 
-    low = index.groupBy("p", "t").agg(F.min(F.struct("size", "k", "n", "able")).alias("z"))
-    z = index.join(low, ["p", "t"]).filter((F.col("k") != F.col("z.k")) & may(F.col("n"), F.col("size"), F.col("able"), F.col("z.n"), F.col("z.size"), F.col("z.able")))
+    low = with_groups(index, ["p", "t"], {"z": F.min(F.struct("size", "k", "n", "able"))}, {"z": F.min("z")})
+    z = low.filter((F.col("k") != F.col("z.k")) & may(F.col("n"), F.col("size"), F.col("able"), F.col("z.n"), F.col("z.size"), F.col("z.able")))
     z = labelled(z.select("k", F.col("z.k").alias("o")).distinct(), found).withColumnsRenamed({"k": "a", "c": "ca"})
     z = labelled(z.withColumnRenamed("o", "k"), found).filter("ca != c").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
     found = components(found.union(linked(z, sets, percent)), "node", "component")
