@@ -52,6 +52,9 @@ _LATIN = "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NF
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _LATIN)
 #: Letters without a canonical decomposition, and what they are written as in ASCII.
 _SPECIAL = {"°": "deg", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "Æ": "AE", "Œ": "OE", "Ø": "O", "Đ": "D", "Ð": "D", "Þ": "TH", "Ł": "L"}
+#: Greek and Cyrillic letters in ASCII, as usually written.
+_LETTERS = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
+_LETTERS |= dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch _ y _ e yu ya i i e g".replace("_", "").split(" "), strict=True))
 
 
 def strip_accents(c: Column) -> Column:
@@ -69,10 +72,13 @@ def latin_ascii(c: Column) -> Column:
 
 
 def romanized(text: str) -> str:
-    """Any script in ASCII: decomposition for Latin, letter names of the Unicode standard for others.
+    """Any script in ASCII: decomposition for Latin, usual letters for Greek and Cyrillic, letter names of the Unicode standard for others.
 
-    Indic consonants carry an inherent ``a`` unless a vowel sign or virama follows.
+    Indic consonants carry an inherent ``a`` unless a vowel sign or virama follows; Arabic and Hebrew letters give the consonants their
+    names begin with; Hangul and kana syllables are their names. Han characters have no reading without a dictionary: each
+    is a word of its own, ``u`` and its code point.
     """
+    text = "".join(unicodedata.name(c).rsplit(" ", 1)[-1].lower() if "\uac00" <= c <= "\ud7a3" else c for c in text)
     out: list[str] = []
     for ch in unicodedata.normalize("NFKD", text):
         if ch.isascii():
@@ -91,6 +97,14 @@ def romanized(text: str) -> str:
                 out[-1] = out[-1][:-1]
         elif "SIGN ANUSVARA" in name or "SIGN CANDRABINDU" in name:
             out.append("n")
+        elif "CJK UNIFIED IDEOGRAPH" in name:
+            out.append(f" u{ord(ch):x} ")
+        elif ch.lower() in _LETTERS:
+            out.append(_LETTERS[ch.lower()])
+        elif name.startswith(("ARABIC LETTER ", "HEBREW LETTER ")):
+            letter = name.split(" ", 2)[2].split(" WITH ")[0].split(" ")[-1].lower()
+            onset = len(letter) - len(letter.lstrip("bcdfghjklmnpqrstvwxyz"))
+            out.append(letter[: max(onset, 1)])
         elif " LETTER " in name and not unicodedata.combining(ch):
             out.append(name.rsplit(" LETTER ", 1)[1].split(" WITH ")[0].split(" ")[-1].lower())
         elif unicodedata.category(ch) == "Nd":

@@ -24,6 +24,28 @@ def weighted_jaccard(p: DataFrame, key: str, a: str, b: str, idf: DataFrame, blo
     return g.select(key, (F.col("shared_idf") / F.greatest("total", F.lit(1e-9))).alias("wj"), "shared_idf", "a_unshared_max", "b_unshared_max")
 
 
+# Fixed value: the log share of a word that no statistics know.
+UNKNOWN_DF = -13.815510557964274
+# End of fixed values.
+
+
+def edit_features(p: DataFrame, key: str, a: str, b: str, stats: DataFrame, block: str) -> DataFrame:
+    """(key, ed_add, ed_del, ed_swap_sim, ed_add_susp, ed_add_df, ed_del_df): words that the list ``b`` adds to ``a`` and lacks of it.
+
+    Words alike at a ratio of 80 or more are no edits. How many are added and lacking, the best likeness of an added and a lacking one, the
+    most suspicious and the most frequent added one, the most frequent lacking one; null where there is none. ``stats``: (block,
+    token, susp, df), joined by word, so that it may be of any size.
+    """
+    x = p.select(key, block, M.unmatched_udf(F.col(b), F.col(a)).alias("add"), M.unmatched_udf(F.col(a), F.col(b)).alias("del"))
+    x = x.withColumn("swap", M.best_ratio_udf(F.col("add"), F.col("del")))
+    rows = F.concat(F.transform("add", lambda t: F.struct(t.alias("token"), F.lit(True).alias("added"))), F.transform("del", lambda t: F.struct(t.alias("token"), F.lit(False).alias("added"))))
+    w = x.select(key, block, F.explode(rows).alias("r")).select(key, block, "r.token", "r.added").join(stats.select(block, "token", "susp", "df"), [block, "token"], "left")
+    susp, df = F.coalesce("susp", F.lit(0.0)), F.coalesce("df", F.lit(UNKNOWN_DF))
+    g = w.groupBy(key).agg(F.max(F.when(F.col("added"), susp)).alias("ed_add_susp"), F.max(F.when(F.col("added"), df)).alias("ed_add_df"), F.max(F.when(~F.col("added"), df)).alias("ed_del_df"))
+    x = x.select(key, F.size("add").cast("double").alias("ed_add"), F.size("del").cast("double").alias("ed_del"), F.col("swap").alias("ed_swap_sim"))
+    return x.join(g, key, "left")
+
+
 def text_features(c: DataFrame, rid: str = "rid") -> DataFrame:
     """Cheap text scores of candidates (nn, cn, na of both sides), and their gaps to the record's best."""
     from pyspark.sql import Window

@@ -57,16 +57,20 @@ def rarest_word_negatives(p: DataFrame, words: str, k: int, id_: str = "id", blo
     df = w.groupBy(block, "w").agg(F.count("*").alias("df")).filter("df > 1")
     rare = w.join(df, [block, "w"]).withColumn("rn", F.row_number().over(Window.partitionBy(id_).orderBy("df", "w"))).filter("rn = 1")
     x = rare.select(block, "w", id_).join(w.select(block, "w", F.col(id_).alias("other")), [block, "w"]).filter(F.col(id_) != F.col("other"))
-    order = Window.partitionBy(id_).orderBy(F.xxhash64(id_, "other"), "other")
+    order = Window.partitionBy(id_).orderBy(F.md5(F.concat_ws("|", id_, "other")), "other")
     return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
 
 
 def random_negatives(p: DataFrame, k: int, id_: str = "id", block: str = "block", buckets: int = 64) -> DataFrame:
     """(id, other): ``k`` rows of the block by chance: each row is joined with one hashed bucket of its block."""
-    a = p.select(block, id_, F.pmod(F.xxhash64(id_, F.lit(1)), F.lit(buckets)).alias("g"))
-    b = p.select(block, F.col(id_).alias("other"), F.pmod(F.xxhash64(id_, F.lit(2)), F.lit(buckets)).alias("g"))
+
+    def bucket(side: int) -> Column:
+        digest = F.md5(F.concat_ws("|", id_, F.lit(side)))
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets).alias("g")
+
+    a, b = p.select(block, id_, bucket(1)), p.select(block, F.col(id_).alias("other"), bucket(2))
     x = a.join(b, [block, "g"]).filter(F.col(id_) != F.col("other"))
-    order = Window.partitionBy(id_).orderBy(F.xxhash64(id_, "other", F.lit(3)), "other")
+    order = Window.partitionBy(id_).orderBy(F.md5(F.concat_ws("|", id_, "other", F.lit(3))), "other")
     return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
 
 

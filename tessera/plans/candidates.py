@@ -83,7 +83,10 @@ def pseudo_labels(spark, d):
     return pairs.pseudo_labels(candidates(spark, d), high=0.3, low=0.1, top=5)
 
 
-@query("hash_folds")
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(rid::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"
+
+
+@query("hash_folds", f"WITH {CANDS}, r AS (SELECT rid, count(*) AS n FROM cand GROUP BY rid) SELECT rid, n, ({CRC} % 10)::INT AS fold FROM r")
 def hash_folds(spark, d):
     from ..operators import pairs
 
@@ -97,3 +100,13 @@ def negative_samples(spark, d):
 
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), F.col("p_name").alias("name"))
     return pairs.negatives(p, k=2)
+
+
+@query("record_folds", f"""WITH {CANDS}, o AS (SELECT rid AS r, arg_min(sid, (-score, sid)) AS s FROM cand GROUP BY rid), r AS (SELECT r, CASE WHEN r % 2 = 0 THEN s ELSE r END AS rid FROM o) SELECT r AS rid, ({CRC} % 10)::INT AS fold FROM r""")
+def record_folds(spark, d):
+    """The fold of the owner, here for even records their best entity; of the others that of their own id."""
+    from ..operators import pairs
+
+    best = candidates(spark, d).withColumn("rn", F.row_number().over(windows.best_first("rid", "score", ["sid"]))).filter("rn = 1")
+    own = best.select("rid", F.col("sid").alias("owner")).filter("rid % 2 = 0")
+    return pairs.record_folds(best.select("rid"), own, best.select("rid", "sid").limit(0))

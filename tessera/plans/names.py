@@ -97,7 +97,9 @@ def structural_rule(spark, d):
     return rules.structural(x).select("rid", "sid")
 
 
-@query("rarest_word_negatives")
+@query("rarest_word_negatives", """WITH w AS (SELECT DISTINCT p_partkey AS id, p_brand AS b, unnest(string_split(p_name, ' ')) AS w FROM part), f AS (SELECT b, w, count(*) AS df FROM w GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT id, b, w FROM (SELECT w.*, row_number() OVER (PARTITION BY id ORDER BY df, w) AS rn FROM w JOIN f USING (b, w)) WHERE rn = 1),
+x AS (SELECT r.id, w.id AS other, row_number() OVER (PARTITION BY r.id ORDER BY md5(r.id || '|' || w.id), w.id) AS rn FROM r JOIN w USING (b, w) WHERE r.id <> w.id) SELECT id, other FROM x WHERE rn <= 2""")
 def rarest_word_negatives(spark, d):
     from ..operators import pairs
 
@@ -105,9 +107,63 @@ def rarest_word_negatives(spark, d):
     return pairs.rarest_word_negatives(p, "w", 2)
 
 
-@query("random_negatives")
+@query("random_negatives", """WITH p AS (SELECT p_partkey AS id, p_brand AS b, ('0x' || substr(md5(p_partkey || '|1'), 1, 8))::BIGINT % 4 AS g1, ('0x' || substr(md5(p_partkey || '|2'), 1, 8))::BIGINT % 4 AS g2 FROM part),
+x AS (SELECT a.id, o.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY md5(a.id || '|' || o.id || '|3'), o.id) AS rn FROM p a JOIN p o ON a.b = o.b AND a.g1 = o.g2 AND a.id <> o.id) SELECT id, other FROM x WHERE rn <= 2""")
 def random_negatives(spark, d):
     from ..operators import pairs
 
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"))
     return pairs.random_negatives(p, 2, buckets=4)
+
+
+LEGAL_SQL = "(SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS a, list_distinct(string_split(lower(p_type), ' ')) AS b FROM part)"
+
+
+@query("legal_edits", f"""WITH x AS {LEGAL_SQL}, e AS (SELECT *, len(list_filter(b, lambda w: NOT list_contains(a, w))) AS plus, len(list_filter(a, lambda w: NOT list_contains(b, w))) AS minus FROM x)
+SELECT p_partkey, plus::DOUBLE AS legal_added, minus::DOUBLE AS legal_dropped, len(a)::DOUBLE AS legal_a, len(b)::DOUBLE AS legal_b, (plus + minus)::DOUBLE AS legal_xor FROM e""")
+def legal_edits(spark, d):
+    """Words that one side of a pair has and the other lacks, as of canonical legal forms: the words of a part's name and type."""
+    p = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("a"), F.split(F.lower("p_type"), " ").alias("b"))
+    return p.select("p_partkey", *[c.alias(n) for n, c in N.legal_edits(F.col("a"), F.col("b")).items()])
+
+
+@query("word_z_features", """WITH w AS (SELECT lower(p_type) AS t, unnest(list_distinct(string_split(lower(p_type), ' '))) AS w FROM part), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), s AS (SELECT w, (n - m) / m AS z FROM c, (SELECT avg(n) AS m FROM c) WHERE n > m),
+x AS (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS w FROM part) SELECT p_partkey, count(*)::DOUBLE AS wa_n, count(z)::DOUBLE AS wa_k, round(min(z), 6) AS wa_min, round(max(z), 6) AS wa_max, round(avg(z), 6) AS wa_mean FROM x LEFT JOIN s USING (w) GROUP BY p_partkey""")
+def word_z_features(spark, d):
+    """Scores of a part's type words, of which only the more frequent half is known; words of types are a small dimension."""
+    p = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_type"), " ").alias("w"))
+    c = p.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    mean = c.agg(F.avg("n").alias("m"))
+    z = c.join(mean, F.col("n") > F.col("m")).select("w", ((F.col("n") - F.col("m")) / F.col("m")).alias("z"))
+    x = p.select("p_partkey", F.explode("w").alias("w")).join(z, "w", "left").groupBy("p_partkey").agg(F.collect_list("w").alias("w"), F.map_from_entries(F.collect_set(F.when(F.col("z").isNotNull(), F.struct("w", "z")))).alias("z"))
+    f = N.word_z_features(F.col("w"), F.col("z"), "wa")
+    return x.select("p_partkey", *[(c if n in ("wa_n", "wa_k") else F.round(c, 6)).alias(n) for n, c in f.items()])
+
+
+@query("expanded_names", """SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(lower(p_name), ' '), lambda w: CASE w WHEN 'red' THEN 'rather red' WHEN 'blue' THEN 'sea blue' ELSE w END), lambda w: w NOT IN ('null', 'none', 'nan', 'na')), ' ') AS name FROM part""")
+def expanded_names(spark, d):
+    """Abbreviations written out by a map; an expansion of two words gives two tokens."""
+    words = F.create_map(F.lit("red"), F.lit("rather red"), F.lit("blue"), F.lit("sea blue"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.expand(F.split(F.lower("p_name"), " "), words), " ").alias("name"))
+
+
+@query("lookup_default", "SELECT c_custkey, coalesce(n_name, 'elsewhere') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 2) ON n_nationkey = c_nationkey")
+def lookup_default(spark, d):
+    """A dimension's value, or a default where it has none."""
+    from ..operators.joins import lookup
+
+    n = table(spark, d, "nation").filter("n_regionkey < 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), n, "c_nationkey", "n_name", "elsewhere").select("c_custkey", "n_name")
+
+
+@query("edit_features")
+def edit_features(spark, d):
+    """Words that a part's type adds to its name or lacks of it, typing errors aside, with their document frequency in place of suspicion."""
+    from ..operators.features import edit_features as edits
+
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("block"), F.split(F.lower("p_name"), " ").alias("a"), F.split(F.lower("p_type"), " ").alias("b"))
+    n = p.groupBy("block").agg(F.count("*").alias("n"))
+    c = p.select("block", F.explode(F.array_distinct(F.concat("a", "b"))).alias("w")).groupBy("block", "w").agg(F.count("*").alias("c")).join(n, "block")
+    stats = c.select("block", F.col("w").alias("token"), (F.col("c") / F.col("n")).alias("susp"), F.log(F.col("c") / F.col("n")).alias("df"))
+    out = edits(p, "p_partkey", "a", "b", stats, "block")
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in out.columns if c.startswith("ed_")])

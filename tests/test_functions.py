@@ -107,3 +107,27 @@ def test_numbers(spark):
     assert one(spark, *f.values())[0:4] == (0.0, 0.0, pytest.approx(1.0986122886681098), pytest.approx(1 / 3))
     assert one(spark, *N.number_features(a, e).values())[0] == -1.0
     assert one(spark, X.first_int(F.lit("x 12345678901234567890")), X.first_int(F.lit("none")))[:] == (123456789012345, -1)
+
+
+@pytest.mark.parametrize(("text", "plain"), [
+    ("Ελλάδα", "ellada"), ("Θεός ψυχή", "theos psychi"), ("Москва щи", "moskva shchi"), ("東京 株式会社", "u6771 u4eac u682a u5f0f u4f1a u793e"),
+    ("서울", "seoul"), ("カナ かな", "kana kana"), ("ﬁ Straße", "fi strasse"), ("महाराष्ट्र", "mahaaraassttra"), ("شركة", "shrkt"), ("שלום", "shlvm"),
+])
+def test_transliteration(text, plain):
+    assert X.romanized(text).lower().split() == plain.split()
+
+
+def test_long_words_keep_their_skeleton(spark):
+    word = "x" + "ab" * 8000
+    got = one(spark, X.skeleton_word(F.lit(word)), F.element_at(X.skeleton_tokens(F.array(F.lit(word))), 1))
+    assert got[0] == got[1] == "x" + "b" * 8000
+
+
+def test_word_helpers(spark):
+    t = F.lit("12 Rue du Moulin, Opp Acme Ltd, 75001 Paris")
+    got = one(spark, X.name_tokens(F.lit("The Acme Acme Tools Ltd")), X.address_tokens(F.lit("n/a None Rue")), X.street_words(t), X.int_list(t), X.embed_text(F.lit("a"), F.lit("b")), X.prompt(*[F.lit(x) for x in "abcd"]))
+    assert got[0] == ["acme", "tools"] and "rue" in got[1] and "none" not in got[1]
+    assert got[2] == ["rue", "moulin"] and got[3] == [12, 75001] and got[4] == "a, b" and got[5].endswith("Same? ")
+    assert one(spark, M.token_levenshtein_ok(F.lit("acme"), F.array(F.lit("acne"), F.lit("x"))))[0]
+    house = one(spark, X.domain_body(F.lit("www.my-shop.co.in")), X.norm_indic(F.lit("Café, दिल्ली!")))
+    assert house == ("myshop", "cafe दिल्ली")

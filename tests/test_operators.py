@@ -1,10 +1,11 @@
+import math
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, blocking, components, decide, evaluation, joins, knn, lexicon, pairs, rules, windows
+from tessera.operators import aggregates, blocking, components, decide, evaluation, features, joins, knn, lexicon, pairs, rules, windows
 from tessera.plans import vectors
 from tessera.plans.resolve import Config, resolve
 
@@ -210,3 +211,37 @@ def test_external_scores(spark):
     d = spark.createDataFrame([(1, 1, 0.5), (2, 2, 0.99)], "rid long, sid long, q double")
     s = spark.createDataFrame([(1, 1, 2.0), (2, 2, 3.0)], "rid long, sid long, llm double")
     assert {r.rid: r.llm for r in models.with_external_score(d, s, ["rid", "sid"], "llm", 0.1, 0.9).collect()} == {1: 2.0, 2: None}
+
+
+def test_edit_features(spark):
+    p = spark.createDataFrame([(1, "US", ["acme", "tools"], ["acmee", "shop"]), (2, "US", ["a"], ["a"]), (3, "US", [], ["new"])], "id int, block string, a array<string>, b array<string>")
+    stats = spark.createDataFrame([("US", "shop", 2.5, -3.0), ("US", "tools", 0.1, -4.0), ("UK", "new", 9.0, -1.0)], "block string, token string, susp double, df double")
+    got = {r.id: r for r in features.edit_features(p, "id", "a", "b", stats, "block").collect()}
+    assert (got[1].ed_add, got[1].ed_del, got[1].ed_add_susp, got[1].ed_add_df, got[1].ed_del_df) == (1, 1, 2.5, -3.0, -4.0)
+    assert got[1].ed_swap_sim == pytest.approx(200 * 2 / 9)
+    assert (got[2].ed_add, got[2].ed_del, got[2].ed_swap_sim, got[2].ed_add_susp) == (0, 0, None, None)
+    assert (got[3].ed_add, got[3].ed_add_susp, got[3].ed_add_df, got[3].ed_del_df) == (1, 0.0, pytest.approx(math.log(1e-6)), None)
+
+
+def test_text_features(spark):
+    c = spark.createDataFrame([(1, "a b", "a b", "x", "x", "q", "q"), (1, "a c", "a b", "x", "y", "q", "r")], "rid int, nn1 string, nn2 string, cn1 string, cn2 string, na1 string, na2 string")
+    gaps = sorted(r.t_cn_gap for r in features.text_features(c).collect())
+    assert gaps == [0.0, 100.0]
+
+
+def test_small_rules(spark):
+    d = spark.createDataFrame([(1, "", "acme", "acme", 1, 0.5), (2, "", "acme", "acme", 2, 0.5), (3, "x", "acme", "acme", 1, 0.5), (4, "", "acme", "other", 1, 0.5), (5, "", "acme", "acme", 1, None)], "rid int, address2 string, n1 string, n2 string, n int, llm double")
+    assert [r.rid for r in rules.restore_unique_name(d, "n1", "n2", "n").collect()] == [1]
+    one = spark.range(1).select(rules.distinctive_street(F.array(F.lit("rue"), F.lit("moulin")), F.array(F.lit("rue"))).alias("w")).first()
+    assert one.w == ["moulin"]
+    x = spark.createDataFrame([(True, True), (True, False), (False, True)], "a boolean, t boolean")
+    r = evaluation.pooled(x, F.col("a"), F.col("t"), F.lit(4)).first()
+    assert (r.precision, r.recall) == (0.5, 0.25)
+    s = pairs.stratified(spark.range(100), F.col("id") < 30, 20, 0.8, "id")
+    assert s.count() == 20 and s.filter("id < 30").count() == 16
+
+
+def test_near_number(spark):
+    d = spark.createDataFrame([(1, 10, 25), (2, 11, 40)], "rid int, sid int, n1 int")
+    c = spark.createDataFrame([(1, 10, 25), (1, 12, 20), (2, 13, 10)], "rid int, sid int, n1 int")
+    assert [r.rid for r in rules.near_number(d, c).collect()] == [1]
