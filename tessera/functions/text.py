@@ -102,7 +102,7 @@ def romanized(text: str) -> str:
         elif ch.lower() in _LETTERS:
             out.append(_LETTERS[ch.lower()])
         elif name.startswith(("ARABIC LETTER ", "HEBREW LETTER ")):
-            letter = name.split(" ", 2)[2].split(" WITH ")[0].split(" ")[-1].lower()
+            letter = name.split(" ", 2)[2].removeprefix("FINAL ").split(" ")[0].lower()
             onset = len(letter) - len(letter.lstrip("bcdfghjklmnpqrstvwxyz"))
             out.append(letter[: max(onset, 1)])
         elif " LETTER " in name and not unicodedata.combining(ch):
