@@ -19,3 +19,14 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     plan = C.format_chats(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_null_ids_and_turns(spark):
+    """Rows with a null conv_id are one conversation; a null turn comes first; a long turn is kept whole; the same text under other names too."""
+    long = "x" * 200_000
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (3, None, "system", "first"), (3, 0, "user", long), (4, 1, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in C.format_chats(df).collect()}
+    assert set(got) == {None, 3}
+    assert got[None].n_turns == 2 and got[None].chat.startswith("<|im_start|>user\na")
+    assert got[3].chat == f"<|im_start|>system\nfirst<|im_end|>\n<|im_start|>user\n{long}<|im_end|>\n"

@@ -160,8 +160,10 @@ def test_clashing_names(spark):
 
 def test_null_key(spark):
     t = "".join(random.Random(6).choices("abcdefgh", k=300))
-    got = sorted(((r.doc_id, r.n_removed) for r in S.suffix_dedup(spark.createDataFrame([(None, t), (4, t)], "doc_id long, text string")).collect()), key=str)
-    assert got == [(4, 300), (None, 0)]
+    df = spark.createDataFrame([(None, t), (4, t), (4, t)], "doc_id long, text string")
+    for run, most in ((S.suffix_dedup, 300), (C.chunk_dedup, 300)):
+        got = sorted(((r.doc_id, r.n_removed) for r in run(df).collect()), key=str)
+        assert got == [(4, most), (4, most), (None, 0)]
 
 
 def test_insertions_leave_other_chunks(spark):
