@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,22 @@ from ..session import ship, table
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 30_000
 
 
-#: What empties the caches that this worker keeps over tasks.
-RELEASE: list[Callable[[], None]] = []
+#: The vocabulary or tokenizer that this worker keeps over the tasks of an operator.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]):
+    """What ``make`` gives, made once for the tasks of an operator. Only one thing is kept: those of other operators go first."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Forget what is kept, and give its memory back."""
+    _KEPT.clear()
+    trim()
 
 
 def trim() -> None:
@@ -63,10 +78,11 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             lo = hi
 
 
-def appended(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list], most: int = SLICE_BYTES) -> DataFrame:
+def appended(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list], most: int = SLICE_BYTES, keeps: bool = False) -> DataFrame:
     """``df`` with the columns ``fields``, which ``fn`` computes from slices of the column ``text``.
 
-    An input column of the same name as a new one is replaced.
+    An input column of the same name as a new one is replaced. ``keeps``: whether ``fn`` uses something ``kept``; if not, what
+    other operators left in the worker goes first.
     """
     ship(df.sparkSession)
     base = df.drop(*[f.name for f in fields if f.name != text])  # the text itself may be rewritten
@@ -79,9 +95,12 @@ def appended(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable
     kinds = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches):
+        if not keeps:
+            release()
         for b in slices(batches, text, most):
             made = fn(b.column(b.schema.get_field_index(text)))
             old = [b.column(i) for i, n in enumerate(b.schema.names) if n not in replaces]
             yield pa.RecordBatch.from_arrays(old + [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)], names=names)
+        trim()
 
     return base.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import width
-from .columns import RELEASE, trim
+from .columns import release, trim
 
 NULL_KEY = -(1 << 63)
 FLUSH = 1_000_000
@@ -159,9 +159,8 @@ SCHEMA = "r int, blob binary"
 
 
 def sent(rows: Iterator[tuple[int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows as batches. These tasks need memory: caches of others in this worker go first, and what is freed goes back."""
-    for release in RELEASE:
-        release()
+    """Rows as batches. These tasks need memory: what other operators keep in this worker goes first, and what is freed goes back."""
+    release()
     held, size = [], 0
     for row in rows:
         held.append(row)

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .columns import RELEASE, documents, slices, utf8
+from .columns import documents, kept, slices, trim, utf8
 
 SEQ_LEN, END_ID = 4096, 1
-CACHE_WORDS = 900_000
+CACHE_WORDS = 500_000
 
 
 class SegmentTree:
@@ -221,15 +221,9 @@ class WordEncoder:
         return [b"".join(map(self.words.__getitem__, t)) for t in texts]
 
 
-_KEPT: dict[str, WordEncoder] = {}
-
-
 def encoder(tokenizer: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer file; its caches last over tasks."""
-    if tokenizer not in _KEPT:
-        _KEPT[tokenizer] = WordEncoder(tokenizer)
-        RELEASE.append(_KEPT[tokenizer].words.clear)
-    return _KEPT[tokenizer]
+    """The worker's encoder of a tokenizer file; its words last over the operator's tasks."""
+    return kept(("words", tokenizer), lambda: WordEncoder(tokenizer))
 
 
 def pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, key: str, text: str) -> DataFrame:
@@ -253,6 +247,7 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int, end_id: int, key: str,
             own = b.column(b.schema.get_field_index(key)).take(pa.array(rows[0], pa.int64()))
             cols = [pa.array(r, t) for r, t in zip(rows[1:], (pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([own, *cols], names=[key, "piece", "start", "length", "ids_crc32", "part", "at"])
+        trim()
 
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int, at long"
     return docs.select(key, text).mapInArrow(run, schema)

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from .columns import appended, blobs, documents
 
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.3, 50
+PART = 1 << 20
 FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("word_chars", T.LongType()),
@@ -157,7 +158,7 @@ def quality_rules(docs: DataFrame, text: str = "text", *, min_repeat: int = MIN_
         m |= {"base_failed": failed, "kept": kept}
         return [m[f.name] for f in FIELDS]
 
-    return appended(docs, text, FIELDS, fn)
+    return appended(docs, text, FIELDS, fn, PART)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

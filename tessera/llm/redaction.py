@@ -34,4 +34,4 @@ def redact(docs: DataFrame, vocab: str, pattern: str, text: str = "text", *, max
             out.append(t)
         return [out]
 
-    return appended(docs, text, [T.StructField(text, T.StringType())], fn).select(*docs.columns)
+    return appended(docs, text, [T.StructField(text, T.StringType())], fn, keeps=True).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import appended, documents
+from .columns import appended, documents, kept
 
 MAX_RATIO, MIN_CHARS = 2.2, 20
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -119,16 +119,11 @@ def secret_scan(docs: DataFrame, vocab: str, pattern: str, text: str = "text", *
             rows.append((*(kinds.count(k) for k in ("assign", "access", "hex")), len(extra), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + extra)))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    return appended(docs, text, FIELDS, fn)
-
-
-_KEPT: dict = {}
+    return appended(docs, text, FIELDS, fn, keeps=True)
 
 
 def cached(vocab: str, pattern: str):
-    if (vocab, pattern) not in _KEPT:
-        _KEPT[vocab, pattern] = vocabulary(vocab, pattern)
-    return _KEPT[vocab, pattern]
+    return kept((vocab, pattern), lambda: vocabulary(vocab, pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:

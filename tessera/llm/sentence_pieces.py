@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import appended, blobs, documents
+from .columns import appended, blobs, documents, kept
 
 SPACE = "▁".encode()
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("spans_sha256", T.StringType())]
@@ -152,13 +152,8 @@ class Pieces:
         return lo, hi
 
 
-_KEPT: dict[str, Pieces] = {}
-
-
 def cached(model: str) -> Pieces:
-    if model not in _KEPT:
-        _KEPT[model] = Pieces(model)
-    return _KEPT[model]
+    return kept(("pieces", model), lambda: Pieces(model))
 
 
 def encode_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -176,7 +171,7 @@ def encode_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame
             rows.append((len(ids), *(hashlib.sha256(x).hexdigest() for x in (",".join(map(m.text.__getitem__, ids)).encode(), (m.sp.decode(ids) if ids else "").encode(), spans))))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    return appended(docs, text, FIELDS, fn)
+    return appended(docs, text, FIELDS, fn, keeps=True)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -194,7 +189,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             rows.append((ids, lo.tolist(), hi.tolist(), m.sp.decode(ids) if ids else ""))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    return appended(docs, text, FULL, fn)
+    return appended(docs, text, FULL, fn, keeps=True)
 
 
 def default_model() -> str:
