@@ -28,7 +28,7 @@ from ..session import ship, written
 from .columns import documents, kept, slices, trim, utf8
 
 SEQ_LEN, END_ID = 4096, 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 450_000  # twice as many are held
 
 
 class SegmentTree:
@@ -149,7 +149,8 @@ class WordEncoder:
     A tokenizer that isn't ``word_by_word`` encodes each text as it is. One that is drops white space, never merges across it, and lower-cases; so the words between ASCII white space are encoded
     once each and looked up afterwards. Where ``separable`` allows, ASCII letters are lowered and closing marks parted from
     words first, which leaves fewer words. Words of letters are encoded many to a call, and told apart again by the mark that
-    the last token of a word bears. The cache is bounded.
+    the last token of a word bears. The cache is bounded: once it is full it becomes the one before, from which words still in use
+    are taken over.
     """
 
     def __init__(self, tokenizer: str):
@@ -157,6 +158,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok, self.words = Tokenizer.from_file(tokenizer), {}
+        self.before: dict[bytes, bytes] = {}
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(tokenizer, encoding="utf-8") as f:
@@ -211,8 +213,11 @@ class WordEncoder:
             texts.append(t.split())
         new = set(filterfalse(self.words.__contains__, chain.from_iterable(texts)))
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
+            self.before, self.words = self.words, {}
             new = set().union(*texts)
+        again = list(filter(self.before.__contains__, new))
+        self.words.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        new.difference_update(again)
         letters, other = [], []
         for w in new:
             (letters if w.isalpha() or w.decode().isalpha() else other).append(w)
