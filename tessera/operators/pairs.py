@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import AT_ONCE, Endings
+from .scan import scan
 from .windows import best_first
 
 
@@ -48,17 +54,80 @@ def stratified(d: DataFrame, flag: Column, n: int, share: float, key: str) -> Da
     return sample_rows(d.filter(flag), inside, key).union(sample_rows(d.filter(~flag), n - inside, key))
 
 
+def least_hashed(queries: DataFrame, base: DataFrame, part: Column, k: int, id_: str, other: str, ending: str = "") -> DataFrame:
+    """(id, other): the ``k`` other rows of a row's part with the least MD5 of ``id|other`` and ``ending``.
+
+    Every pair is hashed, where the rows are, and only the best of each row leave the task.
+    """
+    # a chunk of ids is small, and so is the part of base rows it is tried on at once
+    queries, base = queries.filter(F.col(id_).isNotNull()), base.filter(F.col(other).isNotNull())
+    x = scan(queries, base, part, {"id": (F.col(id_), F.col(other)), "text": (F.col(id_).cast("string"), F.col(other).cast("string"))}, lambda t: _Least(t, k, ending.encode()), f"id {queries.schema[id_].dataType.simpleString()}, other {base.schema[other].dataType.simpleString()}, digest string", held=2048)
+    order = Window.partitionBy("id").orderBy("digest", "other")
+    return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(F.col("id").alias(id_), F.col("other").alias(other))
+
+
+class _Least:
+    """The best ``k`` others of each held query so far."""
+
+    def __init__(self, queries: pa.Table, k: int, ending: bytes):
+        self.k, self.ending = k, ending
+        self.id, self.text = queries["id"].to_pylist(), [t.encode() for t in queries["text"].to_pylist()]
+        self.best: list[list] = [[] for _ in self.id]  # (digest, other), in order
+        self.others, self.n = [], 0
+        self.alike: dict[int, list[int]] = {}
+        for i, t in enumerate(self.text):
+            self.alike.setdefault(len(t), []).append(i)
+
+    def add(self, base: pa.Table) -> None:
+        self.others.append(base)
+        self.n += base.num_rows
+        if self.n >= AT_ONCE:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.n:
+            return
+        t = pa.concat_tables(self.others)
+        self.others, self.n = [], 0
+        ids, texts = t["id"].to_pylist(), [x.encode() + self.ending for x in t["text"].to_pylist()]
+        endings, at = Endings(texts), {}
+        for j, x in enumerate(ids):
+            at.setdefault(x, []).append(j)
+        own = max(map(len, at.values()))
+        for rows in self.alike.values():
+            step = max(32 * AT_ONCE // len(ids), 1)
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                heads = endings.heads([self.text[i] + b"|" for i in some])
+                # the row itself may be among the least, and equal heads are told apart by the whole digest
+                most = self.k + own
+                last = np.partition(heads, most - 1, axis=1)[:, most - 1 : most] if most < len(ids) else np.full((len(some), 1), 0xFFFFFFFF, np.uint32)
+                row, col = np.nonzero(heads <= last)
+                for r, j in zip(row.tolist(), col.tolist(), strict=True):
+                    i = some[r]
+                    if ids[j] != self.id[i]:
+                        self.best[i].append((hashlib.md5(self.text[i] + b"|" + texts[j]).hexdigest(), ids[j]))
+                for i in some:
+                    self.best[i] = sorted(self.best[i])[: self.k]
+
+    def rows(self):
+        self.flush()
+        found = [(i, o, h) for i, best in zip(self.id, self.best, strict=True) for h, o in best]
+        for lo in range(0, len(found), 50_000):
+            cut = found[lo : lo + 50_000]
+            yield pa.RecordBatch.from_pydict({"id": [x[0] for x in cut], "other": [x[1] for x in cut], "digest": [x[2] for x in cut]})
+
+
 def rarest_word_negatives(p: DataFrame, words: str, k: int, id_: str = "id", block: str = "block") -> DataFrame:
     """(id, other): up to ``k`` rows of the block that share a row's rarest word, chosen by a hash of both ids.
 
-    The word's rows are joined by key, so the work is that of the rarest words, which are in few rows.
+    A row meets the rows that have its rarest word, which may be many: all of them are hashed.
     """
-    w = p.select(block, id_, F.explode(F.array_distinct(words)).alias("w"))
+    w = p.select(block, id_, F.explode(F.array_distinct(words)).alias("w")).distinct()
     df = w.groupBy(block, "w").agg(F.count("*").alias("df")).filter("df > 1")
     rare = w.join(df, [block, "w"]).withColumn("rn", F.row_number().over(Window.partitionBy(id_).orderBy("df", "w"))).filter("rn = 1")
-    x = rare.select(block, "w", id_).join(w.select(block, "w", F.col(id_).alias("other")), [block, "w"]).filter(F.col(id_) != F.col("other"))
-    order = Window.partitionBy(id_).orderBy(F.md5(F.concat_ws("|", id_, "other")), "other")
-    return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
+    part = F.when(F.col(block).isNotNull(), F.struct(block, "w"))
+    return least_hashed(rare.select(block, "w", id_), w.withColumnRenamed(id_, "other"), part, k, id_, "other")
 
 
 def random_negatives(p: DataFrame, k: int, id_: str = "id", block: str = "block", buckets: int = 64) -> DataFrame:

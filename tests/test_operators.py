@@ -245,3 +245,34 @@ def test_near_number(spark):
     d = spark.createDataFrame([(1, 10, 25), (2, 11, 40)], "rid int, sid int, n1 int")
     c = spark.createDataFrame([(1, 10, 25), (1, 12, 20), (2, 13, 10)], "rid int, sid int, n1 int")
     assert [r.rid for r in rules.near_number(d, c).collect()] == [1]
+
+
+def test_heads_of_digests():
+    import hashlib
+
+    from tessera.functions.digests import Endings
+
+    r = random.Random(3)
+    texts = [str(r.randrange(10 ** r.randrange(1, 12))).encode() + b"|3" for _ in range(50)] + [b"", b"x" * 47, b"y" * 60]
+    for starts in ([b""], [b"1|", b"2|"], [b"333|"], [b"4444|", b"5555|"], [b"6" * 16 + b"|"], [b"7" * 50]):
+        want = [[int.from_bytes(hashlib.md5(s + t).digest()[:4], "big") for t in texts] for s in starts]
+        assert Endings(texts).heads(starts).tolist() == want
+
+
+def least(ids, k, ending=""):
+    import hashlib
+
+    digest = lambda i, o: hashlib.md5(f"{i}|{o}{ending}".encode()).hexdigest()
+    return {(i, o) for i in ids for o in sorted((o for o in ids if o != i), key=lambda o: digest(i, o))[:k]}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rarest_word_negatives_of_a_frequent_word(spark):
+    ids = [*range(300), *range(10**6, 10**6 + 300)]
+    p = spark.createDataFrame([(i, "x", ["word"]) for i in ids] + [(None, "x", ["word"]), (5, None, ["word"])], "id long, block string, w array<string>")
+    out = pairs.rarest_word_negatives(p, "w", 2)
+    assert {(r.id, r.other) for r in out.collect()} == least(ids, 2)
+    assert "MapInArrow" in plan(out)  # pairs stay where they are made
