@@ -131,16 +131,14 @@ def rarest_word_negatives(p: DataFrame, words: str, k: int, id_: str = "id", blo
 
 
 def random_negatives(p: DataFrame, k: int, id_: str = "id", block: str = "block", buckets: int = 64) -> DataFrame:
-    """(id, other): ``k`` rows of the block by chance: each row is joined with one hashed bucket of its block."""
+    """(id, other): ``k`` rows of the block by chance: each row is tried on one hashed bucket of its block."""
 
     def bucket(side: int) -> Column:
         digest = F.md5(F.concat_ws("|", id_, F.lit(side)))
         return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets).alias("g")
 
     a, b = p.select(block, id_, bucket(1)), p.select(block, F.col(id_).alias("other"), bucket(2))
-    x = a.join(b, [block, "g"]).filter(F.col(id_) != F.col("other"))
-    order = Window.partitionBy(id_).orderBy(F.md5(F.concat_ws("|", id_, "other", F.lit(3))), "other")
-    return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
+    return least_hashed(a, b, F.when(F.col(block).isNotNull(), F.struct(block, "g")), k, id_, "other", "|3")
 
 
 def owned_excluded(neg: DataFrame, truth: DataFrame, keys: tuple[str, str] = ("id", "other")) -> DataFrame:

@@ -276,3 +276,11 @@ def test_rarest_word_negatives_of_a_frequent_word(spark):
     out = pairs.rarest_word_negatives(p, "w", 2)
     assert {(r.id, r.other) for r in out.collect()} == least(ids, 2)
     assert "MapInArrow" in plan(out)  # pairs stay where they are made
+
+
+def test_random_negatives_of_a_large_block(spark):
+    ids = [*range(300), *range(10**6, 10**6 + 300)]
+    p = spark.createDataFrame([(i, "x") for i in ids] + [(None, "x")], "id long, block string")
+    out = pairs.random_negatives(p, 2, buckets=1)
+    assert {(r.id, r.other) for r in out.collect()} == least(ids, 2, "|3")
+    assert "MapInArrow" in plan(out)
