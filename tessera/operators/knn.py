@@ -7,17 +7,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dot, norm
 from ..session import written
+from .scan import scan
 from .windows import best_first
 
 #: Recall that the approximate joins aim at, and the queries a choice is measured on.
 RECALL, MEASURED = 0.9, 1000
 #: Rows a side of the matrix products inside cells and buckets.
 CHUNK = 512
+#: Rounding that a matrix product may differ by from a sum in order, of vectors of length one; results that so much could change are summed in order.
+NEAR = 1e-11
+#: Scores that a task looks at at once.
+AT_ONCE = 1 << 21
+#: Stands for a null score: below all others, above the row itself.
+NULL = -1e300
 
 
 def unit(v: Column) -> Column:
@@ -26,17 +34,175 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
+class _Held:
+    """Vectors of the held queries; a null vector scores null with all others."""
+
+    def __init__(self, queries: pa.Table):
+        self.ids, self.v, self.known = _vectors(queries)
+
+    def scores(self, base: pa.Table):
+        """(slice of queries, base ids, scores, whether they exist, exact(rows, columns)) in pieces; the row itself never exists."""
+        ids, v, known = _vectors(base)
+        step = max(AT_ONCE // max(len(ids), 1), 1)
+        for lo in range(0, len(self.ids), step):
+            own, some = self.ids[lo : lo + step], self.v[lo : lo + step]
+            n = min(some.shape[1], v.shape[1]) if len(v) and len(some) else 0
+            s = some[:, :n] @ v[:, :n].T
+            if not self.known[lo : lo + step].all() or not known.all():
+                s[~self.known[lo : lo + step]] = NULL
+                s[:, ~known] = NULL
+            s[own[:, None] == ids[None, :]] = -np.inf
+
+            def exact(rows, columns, some=some):
+                out = np.zeros(len(rows))
+                for i in range(0, len(rows), 1 << 15):
+                    x, y = some[rows[i : i + (1 << 15)], :n], v[columns[i : i + (1 << 15)], :n]
+                    for d in range(n):
+                        out[i : i + (1 << 15)] += x[:, d] * y[:, d]
+                return out
+
+            yield lo, ids, s, exact
+
+
+def _vectors(t: pa.Table):
+    ids, lists = t["id"].to_numpy(), pa.concat_arrays(t["v"].chunks)
+    if ids.dtype == object:
+        ids = ids.astype(str)
+    known, sizes = lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values, size = lists.flatten(), int(sizes.max(initial=0))
+    if values.null_count:
+        holes = np.repeat(np.arange(len(lists)), sizes)[values.is_null().to_numpy(zero_copy_only=False)]
+        known = known.copy()
+        known[holes] = False
+        values = values.fill_null(0.0)
+    values = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if (sizes == size).all():
+        return ids, values.reshape(len(lists), size), known
+    v = np.zeros((len(lists), size))
+    v[np.arange(size)[None, :] < sizes[:, None]] = values
+    return ids, v, known & (sizes == size)
+
+
+class _Best:
+    """The best ``k`` base rows of each held query; equal scores in order of the id."""
+
+    def __init__(self, queries: pa.Table, k: int):
+        self.held, self.k = _Held(queries), k
+        n = len(self.held.ids)
+        self.row, self.sid, self.score = np.empty(0, np.int64), None, np.empty(0)
+        self.last = np.full(n, -np.inf)  # the k-th best so far
+
+    def add(self, base: pa.Table) -> None:
+        k, found = self.k, []
+        for lo, ids, s, exact in self.held.scores(base):
+            last = self.last[lo : lo + len(s)]
+            hit = (s >= (last - NEAR)[:, None]) & (s > -np.inf)
+            if s.shape[1] > k and np.count_nonzero(hit) > 4 * k * len(s):
+                last = np.maximum(last, np.partition(s, -k, axis=1)[:, -k])
+                hit &= s >= (last - NEAR)[:, None]
+            i, j = np.nonzero(hit)
+            score = s[i, j]
+            real = score > NULL
+            score[real] = exact(i[real], j[real])
+            found.append((i + lo, ids[j], score))
+        row, sid, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if self.sid is not None:
+            row, sid, score = np.concatenate([self.row, row]), np.concatenate([self.sid, sid]), np.concatenate([self.score, score])
+        order = np.lexsort((sid, -score, row))
+        row, sid, score = row[order], sid[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        self.last[row[place == k - 1]] = score[place == k - 1]
+        self.row, self.sid, self.score = row[keep], sid[keep], score[keep]
+
+    def rows(self):
+        for lo in range(0, len(self.row), 50_000):
+            cut = slice(lo, lo + 50_000)
+            score = self.score[cut]
+            yield pa.RecordBatch.from_pydict({"rid": self.held.ids[self.row[cut]], "sid": self.sid[cut], "score": pa.array(score, mask=score <= NULL)})
+
+
+class _AtLeast:
+    """How many base rows each held query scores ``levels`` or more with, and each level's exact count."""
+
+    def __init__(self, queries: pa.Table, levels: list[float]):
+        self.held, self.levels = _Held(queries), levels
+        self.n = np.zeros((len(self.held.ids), len(levels)), np.int64)
+
+    def add(self, base: pa.Table) -> None:
+        for lo, _, s, exact in self.held.scores(base):
+            for c, level in enumerate(self.levels):
+                self.n[lo : lo + len(s), c] += (s >= level + NEAR).sum(axis=1)
+                i, j = np.nonzero(np.abs(s - level) < NEAR)
+                if len(i):
+                    np.add.at(self.n, (i[exact(i, j) >= level] + lo, c), 1)
+
+    def rows(self):
+        yield pa.RecordBatch.from_pydict({"rid": self.held.ids} | {f"c{c}": self.n[:, c] for c in range(len(self.levels))})
+
+
+class _Bins:
+    """Scores of all held queries by bin of equal width over [low, high]; the last bin is closed on the right."""
+
+    def __init__(self, queries: pa.Table, low: float, high: float, bins: int):
+        self.held, self.low, self.high, self.bins = _Held(queries), low, high, bins
+        self.n, self.block, self.kind = np.zeros(bins, np.int64), queries["block"][0], queries.schema.field("block").type
+
+    def count(self, s: np.ndarray) -> None:
+        s = s[(s >= self.low) & (s <= self.high)]
+        at = np.minimum(np.floor((s - self.low) / (self.high - self.low) * self.bins), self.bins - 1).astype(np.int64)
+        self.n += np.bincount(at, minlength=self.bins)
+
+    def add(self, base: pa.Table) -> None:
+        for _, _, s, exact in self.held.scores(base):
+            s[s == -np.inf] = NULL
+            place = (s - self.low) * (self.bins / (self.high - self.low))
+            edge = np.abs(place - np.rint(place)) < 2 * NEAR * self.bins / (self.high - self.low)
+            i, j = np.nonzero(edge & (s > NULL))
+            s[edge] = NULL
+            self.count(s.ravel())
+            if len(i):
+                self.count(exact(i, j))
+
+    def rows(self):
+        some = np.flatnonzero(self.n)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([self.block.as_py()] * len(some), self.kind), "bin": some, "n": self.n[some]})
+
+
 def top_k(pairs: DataFrame, k: int, query: str = "rid", base: str = "sid", score: str = "score", first: int = 0) -> DataFrame:
     """The best ``k`` of every query with their rank, counted from ``first``."""
     x = pairs.withColumn("rank", F.row_number().over(best_first(query, score, [base])))
     return x.filter(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1 + first).cast("long"))
 
 
+def _pair_columns(id_: str, other: str) -> dict:
+    return {"id": (F.col(id_), F.col(other)), "v": (F.col("v"), F.col("v"))}
+
+
 def exact(queries: DataFrame, base: DataFrame, k: int, block: str = "block") -> DataFrame:
-    """(rid, sid, score, rank) by a join on the block and dot products of unit vectors ``v``, all in the JVM."""
-    b = base.select(F.col(block), "sid", F.col("v").alias("bv"))
-    x = queries.select(block, "rid", "v").join(b, block).filter("rid != sid")
-    return top_k(x.select("rid", "sid", dot(F.col("v"), F.col("bv")).alias("score")), k)
+    """(rid, sid, score, rank) by scores of all pairs of a block: matrix products tell the best from the rest, and those are summed in order.
+
+    Queries are dealt over tasks and base rows streamed past them; of equal vectors only as many rows as a query can want travel.
+    """
+    w = Window.partitionBy(block, "v").orderBy("sid")
+    b = base.withColumns({"nth": F.dense_rank().over(w), "same": F.row_number().over(w) - F.rank().over(w)}).filter((F.col("nth") <= k + 1) & (F.col("same") < k))
+    schema = f"rid {queries.schema['rid'].dataType.simpleString()}, sid {base.schema['sid'].dataType.simpleString()}, score double"
+    return top_k(scan(queries, b, F.col(block), _pair_columns("rid", "sid"), lambda t: _Best(t, k), schema), k)
+
+
+def at_least(queries: DataFrame, base: DataFrame, levels: list[float], block: str = "block") -> DataFrame:
+    """(rid, c0, c1, ...): how many rows of its block a query scores each level or more with."""
+    schema = f"rid {queries.schema['rid'].dataType.simpleString()}, " + ", ".join(f"c{i} long" for i in range(len(levels)))
+    x = scan(queries, base, F.col(block), _pair_columns("rid", "sid"), lambda t: _AtLeast(t, levels), schema)
+    return x.groupBy("rid").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(levels))])
+
+
+def binned(queries: DataFrame, base: DataFrame, low: float, high: float, bins: int, block: str = "block") -> DataFrame:
+    """(block, bin, n): how many pairs of each block score in each bin."""
+    columns = _pair_columns("rid", "sid") | {"block": (F.col(block), F.col(block))}
+    schema = f"block {queries.schema[block].dataType.simpleString()}, bin long, n long"
+    x = scan(queries, base, F.col(block), columns, lambda t: _Bins(t, low, high, bins), schema)
+    return x.groupBy(F.col("block").alias(block), "bin").agg(F.sum("n").alias("n"))
 
 
 def blocked(queries: DataFrame, base: DataFrame, k: int, block: str = "block", chunk: int = 2048) -> DataFrame:
@@ -190,8 +356,10 @@ def sparse_scores(queries: DataFrame, base: DataFrame, query: str, other: str, b
     return queries.select(block, "term", query, "w").join(b, [block, "term"]).groupBy(query, other).agg(F.sum(F.col("w") * F.col("w2")).alias("score"))
 
 
-def mutual_best(scores: DataFrame, left: str = "rid", right: str = "sid", score: str = "score") -> DataFrame:
-    """Every left row's best and second score, and whether it is the best of its best."""
-    lw, rw = best_first(left, score, [right]), best_first(right, score, [left])
-    x = scores.withColumns({"rn": F.row_number().over(lw), "rr": F.row_number().over(rw), "second": F.lead(score).over(lw)})
-    return x.filter("rn = 1").select(left, right, F.col(score).alias("best"), F.coalesce("second", F.lit(0.0)).alias("second"), (F.col("rr") == 1).alias("mutual"))
+def mutual_best(queries: DataFrame, base: DataFrame, block: str = "block") -> DataFrame:
+    """(rid, sid, best, second, mutual): every query's best base row, its score and the next one's, and whether the query is that row's best."""
+    two = exact(queries, base, 2, block)
+    back = exact(base.withColumnRenamed("sid", "rid"), queries.withColumnRenamed("rid", "sid"), 1, block).select(F.col("rid").alias("sid"), F.col("sid").alias("back"))
+    first = Window.partitionBy("rid").orderBy("rank")
+    x = two.withColumn("second", F.lead("score").over(first)).filter("rank = 0").join(back, "sid")
+    return x.select("rid", "sid", F.col("score").alias("best"), F.coalesce("second", F.lit(0.0)).alias("second"), (F.col("back") == F.col("rid")).alias("mutual"))

@@ -21,15 +21,16 @@ SPREAD = 4
 
 
 def scan(queries: DataFrame, base: DataFrame, part: Column, columns: dict[str, tuple[Column, Column]], fold: Callable, schema: str, held: int = HELD) -> DataFrame:
-    """Rows of ``fold``'s results. ``columns``: name to expressions on a query and on a base row; rows without a part meet nothing.
+    """Rows of ``fold``'s results. ``columns``: name to expressions on a query and on a base row; the first is the id; rows without a part or id meet
+    nothing.
 
     ``fold(queries)`` gets an Arrow table of at most about ``held`` queries of one part and returns an object with ``add(base)``, called with
     every base row of the part in tables of bounded size, and ``rows()``, which gives record batches of ``schema``.
     """
     names = list(columns)
     key = F.to_json(F.struct(part.alias("p")), {"ignoreNullFields": "false"})
-    q = queries.filter(part.isNotNull()).select(key.alias("part"), *[columns[n][0].alias(n) for n in names])
-    b = base.filter(part.isNotNull()).select(key.alias("part"), *[columns[n][1].alias(n) for n in names])
+    q = queries.filter(part.isNotNull() & columns[names[0]][0].isNotNull()).select(key.alias("part"), *[columns[n][0].alias(n) for n in names])
+    b = base.filter(part.isNotNull() & columns[names[0]][1].isNotNull()).select(key.alias("part"), *[columns[n][1].alias(n) for n in names])
     chunks = q.groupBy("part").agg(F.ceil(F.count("*") / held).cast("int").alias("chunks"))
     deal = F.pmod(F.xxhash64(names[0]), F.col("chunks")).cast("int")
     q = q.join(chunks, "part").select("part", deal.alias("chunk"), F.lit(0).alias("side"), *names)
