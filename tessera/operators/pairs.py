@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,15 +36,62 @@ def pseudo_labels(c: DataFrame, high: float, low: float, top: int = 5, rid: str
     return x.filter((F.col("rank") < top) & (sure | (F.col("best") <= low))).select(rid, sid, y.alias("y")).distinct()
 
 
+# The factors and the modulus of the order of negatives.
+FACTOR, OTHER_FACTOR, MODULUS = 7919, 104729, 10007
+# End of fixed values.
+
+
 def negatives(p: DataFrame, k: int, id_: str = "id", block: str = "block", name: str = "name") -> DataFrame:
-    """(id, other): ``k`` rows of the same block with another name, chosen by a hash of both ids.
+    """(id, other): ``k`` rows of the same block with another name, in order of (7919 id + 104729 other) modulo 10007, then of other.
 
-    The join stays inside blocks and the best ``k`` are kept before the shuffle of the window.
+    The order starts at a residue that the row gives and goes on through those of the others, so no pairs are made: of each
+    residue the few rows that can be wanted are kept, and one pass over a block's residues finds what each start meets first. Blocks with
+    negative ids, whose remainders may be negative, are joined.
     """
-    a, b = p.alias("a"), p.select(F.col(id_).alias("other"), F.col(block).alias("ob"), F.col(name).alias("on")).alias("b")
-    x = a.join(b, (F.col(block) == F.col("ob")) & (F.col(name) != F.col("on")))
-    order = Window.partitionBy(id_).orderBy((F.col(id_) * 7919 + F.col("other") * 104729) % 10007, "other")
-    return x.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(id_, "other")
+    p = p.select(F.col(id_).alias("id"), F.col(block).alias("block"), F.col(name).alias("name")).filter("id IS NOT NULL AND block IS NOT NULL AND name IS NOT NULL")
+    below = p.filter("id < 0").select("block").distinct()
+    rest, p = p.join(below, "block", "left_semi"), p.join(below, "block", "left_anti")
+    # the residue of a row as an other, and the one its own order starts at
+    p = p.withColumns({"at": (F.col("id") % MODULUS * OTHER_FACTOR % MODULUS).cast("int"), "from": F.pmod(-(F.col("id") % MODULUS) * FACTOR, F.lit(MODULUS)).cast("int")})
+    same = p.withColumn("rn", F.row_number().over(Window.partitionBy("block", "at", "name").orderBy("id"))).filter(F.col("rn") <= k)
+    some = same.withColumn("rn", F.row_number().over(Window.partitionBy("block", "at").orderBy("id"))).filter(F.col("rn") <= 2 * k)
+    starts = p.select("block", F.col("from").alias("at")).distinct().select("block", "at", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("name"))
+    rows = some.select("block", "at", F.col("id").cast("long").alias("id"), "name").unionByName(starts)
+    kind = p.schema["block"].dataType.simpleString()
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What each start of a block meets first: at most ``k`` rows of a name and 2 ``k`` in all, so any one name may be left out."""
+        others: dict[int, list] = {}
+        asked = set()
+        for at, i, n in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["name"].tolist(), strict=True):
+            if n is None:
+                asked.add(at)
+            else:
+                others.setdefault(at, []).append((int(i), n))
+        met, out = [], []
+        for around in range(2):
+            for at in sorted(asked | set(others), reverse=True):
+                if at in others:
+                    count: dict[str, int] = {}
+                    fresh = []
+                    # a second time round, rows met further on are the same ones again, behind their first place
+                    new = sorted(others[at])
+                    for o in [*new, *[o for o in met if o not in new]] if around else [*new, *met]:
+                        if count.get(o[1], 0) < k and len(fresh) < 2 * k:
+                            count[o[1]] = count.get(o[1], 0) + 1
+                            fresh.append(o)
+                    met = fresh
+                if around and at in asked:
+                    out += [(pdf["block"].iloc[0], at, place, *o) for place, o in enumerate(met)]
+        return pd.DataFrame(out, columns=["block", "at", "place", "other", "oname"])
+
+    lists = rows.groupBy("block").applyInPandas(first, f"block {kind}, at int, place int, other long, oname string")
+    x = p.select("id", "name", "block", F.col("from").alias("at")).join(lists, ["block", "at"]).filter("name != oname")
+    order = Window.partitionBy("id").orderBy((F.col("id") % MODULUS * FACTOR + F.col("other") % MODULUS * OTHER_FACTOR) % MODULUS, "other")
+    a, b = rest.select("id", "block", "name"), rest.select(F.col("id").alias("other"), F.col("block").alias("ob"), F.col("name").alias("oname"))
+    y = a.join(b, (F.col("block") == F.col("ob")) & (F.col("name") != F.col("oname")))
+    x, y = (t.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).select(F.col("id").alias(id_), "other") for t in (x, y))
+    return x.unionByName(y)
 
 
 def stratified(d: DataFrame, flag: Column, n: int, share: float, key: str) -> DataFrame:

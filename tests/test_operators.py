@@ -284,3 +284,14 @@ def test_random_negatives_of_a_large_block(spark):
     out = pairs.random_negatives(p, 2, buckets=1)
     assert {(r.id, r.other) for r in out.collect()} == least(ids, 2, "|3")
     assert "MapInArrow" in plan(out)
+
+
+def test_negatives_in_order_of_residues(spark):
+    r = random.Random(1)
+    ids = [*r.sample(range(200), 60), *r.sample(range(10**9), 60)]
+    rows = [(i, "x" if i % 2 else "y", r.choice("aaab")) for i in ids] + [(-5, "z", "a"), (7 * 10**12 + 1, "z", "b"), (-9, "z", "b"), (5, "z", None)]
+    key = lambda a, c: int(math.fmod(a * 7919 + c * 104729, 10007))
+    want = {(a, o[1]) for a, b, n in rows for o in sorted((key(a, c), c) for c, b2, m in rows if b2 == b and n and m and m != n)[:2]}
+    out = pairs.negatives(spark.createDataFrame(rows, "id long, block string, name string"), 2)
+    assert {tuple(t) for t in out.collect()} == want
+    assert "FlatMapGroupsInPandas" in plan(out)
