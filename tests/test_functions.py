@@ -131,3 +131,12 @@ def test_word_helpers(spark):
     assert one(spark, M.token_levenshtein_ok(F.lit("acme"), F.array(F.lit("acne"), F.lit("x"))))[0]
     house = one(spark, X.domain_body(F.lit("www.my-shop.co.in")), X.norm_indic(F.lit("Café, दिल्ली!")))
     assert house == ("myshop", "cafe दिल्ली")
+
+
+def test_pair_metrics_counts_edits_in_bytes(spark, tmp_path):
+    from tessera.plans import texts
+
+    rows = [(1, "alpha beta", "en", "src0", 0), (2, "alpha бета", "en", "src12", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    [r] = texts.pair_metrics(spark, str(tmp_path)).collect()
+    assert (r.rid, r.sid, r.lev) == (2, 1, 8)  # four letters of one byte against four of two
