@@ -295,3 +295,18 @@ def test_negatives_in_order_of_residues(spark):
     out = pairs.negatives(spark.createDataFrame(rows, "id long, block string, name string"), 2)
     assert {tuple(t) for t in out.collect()} == want
     assert "FlatMapGroupsInPandas" in plan(out)
+
+
+def test_similar_words_at_the_limit(spark):
+    words = [f"w{i:02d}" for i in range(20)]
+    a = spark.createDataFrame([(1, "x", words)], "sid long, block string, w array<string>")
+    rows = [(2, "x", words[9:])] + [(10 + i, "x", words[9:]) for i in range(3)]
+    got = blocking.similar_words(a, spark.createDataFrame(rows, "rid long, block string, w array<string>"), "w", "block", 0.55)
+    assert {r.rid for r in got.collect()} == {2, 10, 11, 12}
+    r = random.Random(4)
+    sets = [(i, "x", r.sample(words, r.randrange(1, 12))) for i in range(80)]
+    left, right = sets[:40], sets[40:]
+    for least_ in (0.3, 0.5, 0.8):
+        want = {(i, j) for i, _, u in left for j, _, v in right if len({*u} & {*v}) / len({*u} | {*v}) >= least_}
+        x = blocking.similar_words(spark.createDataFrame(left, "sid long, block string, w array<string>"), spark.createDataFrame(right, "rid long, block string, w array<string>"), "w", "block", least_)
+        assert {(t.sid, t.rid) for t in x.collect()} == want
