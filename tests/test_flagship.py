@@ -24,3 +24,11 @@ def test_resolve_of_copies(spark, folder, compared):
     got = {(r.rid, r.sid, r.p) for r in flagship.flagship_resolve(spark, folder).collect()}
     assert got == {(i, 1, 1.0) for i in [*range(0, 40, 2), 90]}
     assert compared == [(1, 1)]
+
+
+def test_f05_of_copies(spark, folder, compared):
+    r = flagship.flagship_f05(spark, folder).first()
+    # of 20 entities the first has 21 links, 20 of them true; the others have none and want none
+    p, t = 20 / 21, 1.0
+    assert (r.n, r.macro_f) == (20, pytest.approx((19 + 1.25 * p * t / (0.25 * p + t)) / 20, abs=2e-6))
+    assert compared == [(1, 1)]
