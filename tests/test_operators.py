@@ -310,3 +310,16 @@ def test_similar_words_at_the_limit(spark):
         want = {(i, j) for i, _, u in left for j, _, v in right if len({*u} & {*v}) / len({*u} | {*v}) >= least_}
         x = blocking.similar_words(spark.createDataFrame(left, "sid long, block string, w array<string>"), spark.createDataFrame(right, "rid long, block string, w array<string>"), "w", "block", least_)
         assert {(t.sid, t.rid) for t in x.collect()} == want
+
+
+def test_resolve_compares_alike_names_once(spark, monkeypatch):
+    from tessera.plans import resolve as plan_
+
+    sizes, real = [], blocking.shared_words
+    monkeypatch.setattr(plan_.blocking, "shared_words", lambda a, b, *x, **y: sizes.append((a.count(), b.count())) or real(a, b, *x, **y))
+    s1 = spark.createDataFrame([(i, "x", ["blue", "ring"] if i % 2 else ["ring"]) for i in range(30)], "sid long, block string, w array<string>")
+    rec = spark.createDataFrame([(100 + i, "x", ["ring", "blue"]) for i in range(20)], "rid long, block string, w array<string>")
+    got = {(r.rid, r["rank"]): (r.sid, r.score) for r in plan_.candidates(s1, rec, "w", Config(block="block", top=18)).collect()}
+    want = [*[(i, 1.0) for i in range(1, 30, 2)], (0, 0.5), (2, 0.5), (4, 0.5)]
+    assert got == {(100 + i, n): x for i in range(20) for n, x in enumerate(want)}
+    assert sizes == [(2, 1)]
