@@ -23,15 +23,17 @@ CHUNK = 512
 #: Rounding that a matrix product may differ by from a sum in order, of vectors of length one; results that so much could change are summed in order.
 NEAR = 1e-11
 #: Scores that a task looks at at once.
-AT_ONCE = 1 << 21
-#: Stands for a null score: below all others, above the row itself.
-NULL = -1e300
+AT_ONCE = 1 << 20
+#: Stands for a null score: below all others, above the row itself. In single precision ``LOW`` does.
+NULL, LOW = -1e300, -1e30
+#: Lengths of vectors whose products single precision can tell apart; others are multiplied in double precision.
+FINE = 1e-12, 1e12
 
 
 def unit(v: Column) -> Column:
     """A vector of length one, in double precision; zero stays zero."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    # the norm is bound to a name of its own: inside the inner function it would be summed again for every element
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))[0]
 
 
 class _Held:
@@ -39,19 +41,32 @@ class _Held:
 
     def __init__(self, queries: pa.Table):
         self.ids, self.v, self.known = _vectors(queries)
+        with np.errstate(over="ignore"):
+            self.longest, self.single = _longest(self.v), self.v.astype(np.float32)
 
-    def scores(self, base: pa.Table):
-        """(slice of queries, base ids, scores, whether they exist, exact(rows, columns)) in pieces; the row itself never exists."""
+    def scores(self, base: pa.Table, single: bool = True):
+        """(slice of queries, base ids, scores, how far they may be from sums in order, exact(rows, columns)) in pieces.
+
+        The row itself scores -inf, and a null vector ``NULL``, or ``LOW`` in single precision.
+        """
         ids, v, known = _vectors(base)
+        n = min(self.v.shape[1], v.shape[1]) if len(v) and len(self.v) else 0
+        longest = _longest(v)
+        single = single and all(x == 0 or FINE[0] <= x <= FINE[1] for x in (self.longest, longest))
+        # a sum of n rounded products of rounded factors, in any order
+        near = 1.1 * (n + 4) * 2.0 ** (-24 if single else -53) * self.longest * longest
+        null, x, y = (LOW, self.single, v.astype(np.float32)) if single else (NULL, self.v, v)
+        order = np.argsort(ids, kind="stable")
+        first, last = (np.searchsorted(ids[order], self.ids, side) for side in ("left", "right"))
         step = max(AT_ONCE // max(len(ids), 1), 1)
         for lo in range(0, len(self.ids), step):
-            own, some = self.ids[lo : lo + step], self.v[lo : lo + step]
-            n = min(some.shape[1], v.shape[1]) if len(v) and len(some) else 0
-            s = some[:, :n] @ v[:, :n].T
-            if not self.known[lo : lo + step].all() or not known.all():
-                s[~self.known[lo : lo + step]] = NULL
-                s[:, ~known] = NULL
-            s[own[:, None] == ids[None, :]] = -np.inf
+            some, mine = self.v[lo : lo + step], self.known[lo : lo + step]
+            s = x[lo : lo + step, :n] @ y[:, :n].T
+            if not mine.all() or not known.all():
+                s[~mine] = null
+                s[:, ~known] = null
+            for i in np.flatnonzero(last[lo : lo + step] > first[lo : lo + step]):
+                s[i, order[first[lo + i] : last[lo + i]]] = -np.inf
 
             def exact(rows, columns, some=some):
                 out = np.zeros(len(rows))
@@ -61,7 +76,13 @@ class _Held:
                         out[i : i + (1 << 15)] += x[:, d] * y[:, d]
                 return out
 
-            yield lo, ids, s, exact
+            yield lo, ids, s, near, exact
+
+
+def _longest(v: np.ndarray) -> float:
+    """The greatest finite length of a row."""
+    sizes = np.sqrt(np.einsum("ij,ij->i", v, v))
+    return float(sizes.max(initial=0.0, where=np.isfinite(sizes)))
 
 
 def _vectors(t: pa.Table):
@@ -94,15 +115,12 @@ class _Best:
 
     def add(self, base: pa.Table) -> None:
         k, found = self.k, []
-        for lo, ids, s, exact in self.held.scores(base):
-            last = self.last[lo : lo + len(s)]
-            hit = (s >= (last - NEAR)[:, None]) & (s > -np.inf)
-            if s.shape[1] > k and np.count_nonzero(hit) > 4 * k * len(s):
-                last = np.maximum(last, np.partition(s, -k, axis=1)[:, -k])
-                hit &= s >= (last - NEAR)[:, None]
-            i, j = np.nonzero(hit)
-            score = s[i, j]
-            real = score > NULL
+        for lo, ids, s, near, exact in self.held.scores(base):
+            null = LOW if s.dtype == np.float32 else NULL
+            i, j = _at_least_best(s, np.maximum(self.last[lo : lo + len(s)] - near, null), k, near)
+            score = s[i, j].astype(np.float64)
+            real = score > null
+            score[~real] = NULL
             score[real] = exact(i[real], j[real])
             found.append((i + lo, ids[j], score))
         row, sid, score = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -122,6 +140,31 @@ class _Best:
             yield pa.RecordBatch.from_pydict({"rid": self.held.ids[self.row[cut]], "sid": self.sid[cut], "score": pa.array(score, mask=score <= NULL)})
 
 
+def _at_least_best(s: np.ndarray, least: np.ndarray, k: int, near: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that are ``least`` of their row or more, and can be among its best ``k``.
+
+    Columns are looked at in groups. The k-th of the groups' greatest scores is no more than the k-th score, which differs from the exact
+    one by ``near``, as every other does.
+    """
+    groups = max(64, 8 * k)
+    deep = s.shape[1] // groups
+    head, tail = s[:, : deep * groups].reshape(len(s), deep, groups), s[:, deep * groups :]
+    top = head.max(axis=1, initial=-np.inf)
+    if deep < 2 or np.isnan(top).any():
+        return np.nonzero(s >= _down(least, s.dtype)[:, None])
+    least = np.maximum(least, np.partition(top, groups - k, axis=1)[:, groups - k] - 2 * near)
+    least = _down(least, s.dtype)
+    row, group = np.nonzero(top >= least[:, None])
+    at, deep_at = np.nonzero(head[row, :, group] >= least[row, None])
+    i, j = np.nonzero(tail >= least[:, None])
+    return np.concatenate([row[at], i]), np.concatenate([deep_at * groups + group[at], j + deep * groups])
+
+
+def _down(x: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """In that precision, never above."""
+    return np.nextafter(x.astype(kind), kind.type(-np.inf))
+
+
 class _AtLeast:
     """How many base rows each held query scores ``levels`` or more with, and each level's exact count."""
 
@@ -130,11 +173,15 @@ class _AtLeast:
         self.n = np.zeros((len(self.held.ids), len(levels)), np.int64)
 
     def add(self, base: pa.Table) -> None:
-        for lo, _, s, exact in self.held.scores(base):
+        for lo, _, s, near, exact in self.held.scores(base):
             for c, level in enumerate(self.levels):
-                self.n[lo : lo + len(s), c] += (s >= level + NEAR).sum(axis=1)
-                i, j = np.nonzero(np.abs(s - level) < NEAR)
+                low, high = _down(np.array([level - near]), s.dtype)[0], -_down(np.array([-level - near]), s.dtype)[0]
+                sure, some = (np.array([np.count_nonzero(x) for x in s >= y]) for y in (high, low))
+                self.n[lo : lo + len(s), c] += sure
+                at = np.flatnonzero(some > sure)
+                i, j = np.nonzero((s[at] >= low) & (s[at] < high))
                 if len(i):
+                    i = at[i]
                     np.add.at(self.n, (i[exact(i, j) >= level] + lo, c), 1)
 
     def rows(self):
@@ -154,7 +201,7 @@ class _Bins:
         self.n += np.bincount(at, minlength=self.bins)
 
     def add(self, base: pa.Table) -> None:
-        for _, _, s, exact in self.held.scores(base):
+        for _, _, s, _, exact in self.held.scores(base, single=False):
             s[s == -np.inf] = NULL
             place = (s - self.low) * (self.bins / (self.high - self.low))
             edge = np.abs(place - np.rint(place)) < 2 * NEAR * self.bins / (self.high - self.low)
