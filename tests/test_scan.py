@@ -78,3 +78,13 @@ def test_unit_sums_a_norm_once(spark):
     assert [r.u for r in df.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_counts_for_shift_table(sides):
+    q, b = sides
+    want = totals(q, b)
+    levels = [0.1, 0.3, float(want[70, 1000]), float(want[71, 1001])]  # the last two are reached by no more than a rounding
+    x = knn._AtLeast(q, levels)
+    x.add(b)
+    assert (x.n == np.stack([(want >= t).sum(axis=1) for t in levels], axis=1)).all()
+    assert [s.dtype for _, _, s, _, _ in x.held.scores(b)] == [np.float32]
