@@ -100,3 +100,8 @@ def test_best_of_both_sides_for_mutual_best(sides, monkeypatch):
 def test_best_twenty_for_recall_at_k(sides, monkeypatch):
     best_of(*sides, 20)
     assert looked_at(monkeypatch, *(t.slice(0, n) for t, n in zip(sides, (60, 900), strict=True)), 20) < 0.06
+
+
+def test_best_ten_for_vector_shortlist(sides, monkeypatch):
+    best_of(*sides, 10)
+    assert looked_at(monkeypatch, *(t.slice(0, n) for t, n in zip(sides, (60, 900), strict=True)), 10) < 0.03
