@@ -105,3 +105,13 @@ def test_best_twenty_for_recall_at_k(sides, monkeypatch):
 def test_best_ten_for_vector_shortlist(sides, monkeypatch):
     best_of(*sides, 10)
     assert looked_at(monkeypatch, *(t.slice(0, n) for t, n in zip(sides, (60, 900), strict=True)), 10) < 0.03
+
+
+def test_best_two_of_many_batches_for_true_vs_best_other(sides):
+    q, b = sides
+    x, ids, s = knn._Best(q, 2), b["id"].to_numpy(), totals(q, b)
+    for lo in range(0, b.num_rows, 7):
+        x.add(b.slice(lo, 7))
+    assert x.held.single.dtype == np.float32
+    for i in range(q.num_rows):
+        assert x.sid[x.row == i].tolist() == ids[np.lexsort((ids, -s[i]))[:2]].tolist()
