@@ -115,3 +115,11 @@ def test_best_two_of_many_batches_for_true_vs_best_other(sides):
     assert x.held.single.dtype == np.float32
     for i in range(q.num_rows):
         assert x.sid[x.row == i].tolist() == ids[np.lexsort((ids, -s[i]))[:2]].tolist()
+
+
+def test_best_score_for_score_quantiles(sides):
+    q, b = sides
+    x = knn._Best(q, 1)
+    x.add(b)
+    assert x.score.dtype == np.float64 and x.held.single.dtype == np.float32
+    assert (x.score == totals(q, b).max(axis=1)).all()
