@@ -123,3 +123,8 @@ def test_best_score_for_score_quantiles(sides):
     x.add(b)
     assert x.score.dtype == np.float64 and x.held.single.dtype == np.float32
     assert (x.score == totals(q, b).max(axis=1)).all()
+
+
+def test_best_row_for_imitated_entity(sides, monkeypatch):
+    best_of(*sides, 1)
+    assert looked_at(monkeypatch, *(t.slice(0, n) for t, n in zip(sides, (60, 900), strict=True)), 1) < 0.005
