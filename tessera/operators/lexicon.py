@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import written
 from .components import components
 
 # Thresholds of the lexicon.
@@ -16,7 +23,13 @@ MIN_N, MIN_CONF, MIN_RATE, LEGAL_SHARE, LEGAL_DROP, FAMILY_SHARE = 30, 0.8, 0.2,
 def drop_counters(p: DataFrame, a: str, b: str, group: str = "country") -> DataFrame:
     """(country, w, has, dropped, has_b, added): pairs whose first side has a word and those where the second lacks it, and
     the reverse."""
-    rows = F.explode(F.transform(F.array_union(a, b), lambda t: F.struct(t.alias("w"), F.array_contains(a, t).alias("x"), F.array_contains(b, t).alias("y")))).alias("r")
+    # sets are met by hashing, for long names have thousands of words
+
+    def found(words, x: bool, y: bool):
+        return F.transform(words, lambda t: F.struct(t.alias("w"), F.lit(x).alias("x"), F.lit(y).alias("y")))
+
+    sides = found(F.array_intersect(a, b), True, True), found(F.array_except(a, b), True, False), found(F.array_except(b, a), False, True)
+    rows = F.explode(F.concat(*sides)).alias("r")
     x, y = F.col("r.x"), F.col("r.y")
     return p.select(group, rows).groupBy(group, F.col("r.w").alias("w")).agg(F.count_if(x).alias("has"), F.count_if(x & ~y).alias("dropped"), F.count_if(y).alias("has_b"), F.count_if(y & ~x).alias("added"))
 
@@ -24,14 +37,21 @@ def drop_counters(p: DataFrame, a: str, b: str, group: str = "country") -> DataF
 def abbreviations(p: DataFrame, a: str, b: str, group: str = "country", least: int = MIN_N) -> DataFrame:
     """(country, token, expansion): short words whose counterpart on the other side is a longer word with the same letters in
     order, or a run of words they are the initials of; only the dominant, well-attested expansion of each."""
-    both = p.select(group, F.col(a).alias("x"), F.col(b).alias("y")).union(p.select(group, F.col(b).alias("x"), F.col(a).alias("y")))
-    both = both.select(group, F.array_distinct(F.array_except("x", "y")).alias("short"), F.col("y"), F.array_except("y", "x").alias("free"))
-    s = both.select(group, F.explode("short").alias("t"), "y", "free").filter(F.col("t").rlike("^[a-z]+$") & (F.length("t") <= 4))
-    t = F.col("t")
-    unmatched = s.groupBy(group, "t").agg(F.count("*").alias("unm"))
-    one = F.filter("free", lambda w: (F.length(w) > F.length(t)) & (F.substring(w, 1, 1) == F.substring(t, 1, 1)) & X.is_subsequence(t, w))
-    runs = F.when(F.length(t).between(2, 3), F.filter(X.spans_with_initials(F.col("y"), t), lambda e: F.size(F.array_except(F.split(e, " "), F.col("free"))) == 0)).otherwise(F.array().cast("array<string>"))
-    c = s.select(group, "t", F.explode(F.array_union(one, runs)).alias("e")).groupBy(group, "t", "e").agg(F.count("*").alias("n"))
+    kind = p.schema[group].dataType.simpleString()
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for g, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if x is not None and y is not None:
+                    for k in (*expansions(x, y), *expansions(y, x)):
+                        n[g, *k] += 1
+            g, t, e, m = zip(*((*k, v) for k, v in n.items()), strict=True) if n else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(g, batch.schema.field(0).type), pa.array(t, pa.string()), pa.array(e, pa.string()), pa.array(m, pa.int64())], [group, "t", "e", "n"])
+
+    both = p.select(group, F.col(a), F.col(b)).mapInArrow(count, f"{group} {kind}, t string, e string, n long").groupBy(group, "t", "e").agg(F.sum("n").alias("n"))
+    unmatched = both.filter("e IS NULL").select(group, "t", F.col("n").alias("unm"))
+    c = both.filter("e IS NOT NULL")
     best = Window.partitionBy(group, "t").orderBy(F.desc("n"), "e")
     c = c.withColumns({"rn": F.row_number().over(best), "total": F.sum("n").over(Window.partitionBy(group, "t"))}).filter("rn = 1").join(unmatched, [group, "t"])
     shorter = (F.length("t") <= 2) | (F.length(F.replace("e", F.lit(" "), F.lit(""))) - F.length("t") >= 2)
@@ -40,6 +60,37 @@ def abbreviations(p: DataFrame, a: str, b: str, group: str = "country", least: i
     return c.filter(ok).select(group, F.col("t").alias("token"), F.col("e").alias("expansion"))
 
 
+def expansions(x: list[str], y: list[str]) -> Iterator[tuple[str, str | None]]:
+    """(t, None) for each short word of ``x`` that ``y`` lacks, and (t, e) for each expansion that ``y`` has for it, each once."""
+    own, other = set(x), set(y)
+    short = [t for t in own - other if t is not None and len(t) <= 4 and re.fullmatch("[a-z]+", t)]
+    if not short:
+        return
+    free, by_letter = other - own - {None}, defaultdict(list)
+    for w in free:
+        by_letter[w[:1]].append(w)
+    words = [w for w in y if w is not None]
+    first = "".join(w[:1] or "\0" for w in words)
+    for t in short:
+        yield t, None
+        found = {w for w in by_letter[t[0]] if len(w) > len(t) and is_subsequence(t, w)}
+        if 2 <= len(t) <= 3:
+            at = first.find(t)
+            while at >= 0:
+                run = words[at : at + len(t)]
+                if free.issuperset(run):
+                    found.add(" ".join(run))
+                at = first.find(t, at + 1)
+        for e in found:
+            yield t, e
+
+
+@lru_cache(1 << 16)
+def is_subsequence(short: str, long: str) -> bool:
+    letters = iter(long)
+    return all(c in letters for c in short)
+
+
 def legal_words(counters: DataFrame, s1: DataFrame, words: str, group: str = "country", least: int = MIN_N) -> DataFrame:
     """(country, w): words at the end of names that pairs drop more often than the median such word, words always followed by
     one, and the records' spellings of these."""
@@ -55,8 +106,13 @@ def legal_words(counters: DataFrame, s1: DataFrame, words: str, group: str = "co
     lead = lead.filter(F.col("first").rlike("^[a-z]+$") & (F.col("v") / F.col("n1") >= LEGAL_SHARE) & (F.col("v") / F.col("m") >= 0.8))
     legal = legal.union(lead.select(group, F.col("first").alias("w"))).distinct()
     extra = counters.filter((F.col("has_b") >= least) & F.col("w").rlike("^[a-z]+$") & (F.col("added") / F.col("has_b") >= 0.5)).select(group, F.col("w").alias("u"))
-    # few words of either kind pass the thresholds above, whatever the number of pairs
-    near = extra.join(legal, group).filter(X.related(F.col("u"), F.col("w"))).select(group, F.col("u").alias("w"))
+    legal = written(legal, "legal")
+    # as ``text.related``, with what belongs to one word found before words meet; related words begin alike
+    marks = lambda c, n: {"l": F.substring(c, 1, 1), f"skel_{n}": X.skeleton_word(F.col(c)), f"len_{n}": F.length(c), f"like_{n}": F.array_join(F.filter(F.split(c, ""), lambda x: x != ""), ".*")}
+    extra = extra.join(legal.withColumnRenamed("w", "u"), [group, "u"], "left_anti").withColumns(marks("u", 1))
+    same = (F.col("skel_1") == F.col("skel_2")) & (F.length("skel_1") >= 2)
+    short = (F.col("len_2") - F.col("len_1") >= 2) & F.rlike(F.col("w"), F.col("like_1")) | (F.col("len_1") - F.col("len_2") >= 2) & F.rlike(F.col("u"), F.col("like_2"))
+    near = extra.join(legal.withColumns(marks("w", 2)), [group, "l"]).filter(same | short).select(group, F.col("u").alias("w"))
     return legal.union(near).distinct()
 
 
@@ -86,6 +142,6 @@ def learn(p: DataFrame, s1: DataFrame, a: str, b: str, words: str, group: str =
     counters = drop_counters(p, a, b, group)
     counts = s1.select(group, F.explode(F.array_distinct(words)).alias("w")).groupBy(group, "w").agg(F.count("*").alias("n"))
     abbr = abbreviations(p, a, b, group, least).select(group, F.lit("abbreviation").alias("kind"), "token", F.col("expansion").alias("value"))
-    legal = legal_words(counters, s1, words, group, least)
+    legal = written(legal_words(counters, s1, words, group, least), "legal")
     fam = families(p, legal, counts, a, b, group, least).select(group, F.lit("family").alias("kind"), "token", F.col("canonical").alias("value"))
     return abbr.union(legal.select(group, F.lit("legal").alias("kind"), F.col("w").alias("token"), F.lit("").alias("value"))).union(fam)
