@@ -1,6 +1,9 @@
 """The flagship on copies: each record gets the smallest id, and a name is compared once."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import blocking
 from tessera.plans import flagship
@@ -32,3 +35,25 @@ def test_f05_of_copies(spark, folder, compared):
     p, t = 20 / 21, 1.0
     assert (r.n, r.macro_f) == (20, pytest.approx((19 + 1.25 * p * t / (0.25 * p + t)) / 20, abs=2e-6))
     assert compared == [(1, 1)]
+
+
+def test_f05_reads_the_texts_once(spark, folder):
+    text = flagship.flagship_f05(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "tessera-flagship" in text and "documents.parquet" not in text
+
+
+def test_signatures_drop_only_pairs_that_differ_too_much(spark):
+    r = random.Random(2)
+    often, rare = [f"o{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    sets = [r.sample(often, 12) + r.sample(rare, 14) for _ in range(60)]
+    sets += [x[: -r.randrange(1, 9)] + r.sample(rare[:20], 2) for x in sets[:20]]
+    sets = [[*dict.fromkeys(x)] for x in sets]
+    df = blocking.signed(spark.createDataFrame([*enumerate(sets)], "id long, w array<string>"), "w", "bits").select("id", "bits")
+    x = df.crossJoin(df.toDF("other", "its")).select("id", "other", blocking.at_least_apart(F.col("bits"), F.col("its")).alias("n"))
+    kept, like = 0, 0
+    for t in x.filter("id < other").collect():
+        u, v = {*sets[t.id]}, {*sets[t.other]}
+        assert t.n <= len(u ^ v)
+        kept += t.n <= (len(u) + len(v)) / 3
+        like += len(u & v) >= len(u | v) / 2
+    assert 20 <= like <= kept <= 2 * like  # of 3160 pairs, most of which share words
