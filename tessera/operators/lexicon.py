@@ -87,8 +87,12 @@ def expansions(x: list[str], y: list[str]) -> Iterator[tuple[str, str | None]]:
 
 @lru_cache(1 << 16)
 def is_subsequence(short: str, long: str) -> bool:
-    letters = iter(long)
-    return all(c in letters for c in short)
+    at = 0
+    for c in short:
+        at = long.find(c, at) + 1
+        if not at:
+            return False
+    return True
 
 
 def legal_words(counters: DataFrame, s1: DataFrame, words: str, group: str = "country", least: int = MIN_N) -> DataFrame:
@@ -116,18 +120,74 @@ def legal_words(counters: DataFrame, s1: DataFrame, words: str, group: str = "co
     return legal.union(near).distinct()
 
 
+def swaps(p: DataFrame, legal: DataFrame, a: str, b: str, group: str = "country") -> DataFrame:
+    """(country, u, t, v): how often legal words replace one another, of related words; with no ``t``, how often ``u`` replaces any or is replaced.
+
+    A word that one side has alone replaces the related ones that the other has alone, or each of these if none is. Unrelated replacements
+    are only counted, for a pair of long names has as many as the product of its words.
+    """
+    kind = p.schema[group].dataType.simpleString()
+
+    def alone(x: str, y: str, added: bool):
+        return F.transform(F.array_except(x, y), lambda t: F.struct(t.alias("w"), F.lit(added).alias("added")))
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter = Counter()
+            for g, gone, added in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for u, t, v in replacements(gone, added):
+                    n[g, u, t] += v
+            g, u, t, v = zip(*((*k, v) for k, v in n.items()), strict=True) if n else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(g, batch.schema.field(0).type), pa.array(u, pa.string()), pa.array(t, pa.string()), pa.array(v, pa.int64())], [group, "u", "t", "v"])
+
+    x = p.select(F.monotonically_increasing_id().alias("i"), group, F.concat(alone(a, b, False), alone(b, a, True)).alias("rs"))
+    x = x.select("i", group, F.explode("rs").alias("r")).select("i", group, F.col("r.w").alias("w"), F.col("r.added").alias("added")).join(legal, [group, "w"], "left_semi")
+    side = {k: F.collect_list(F.when(F.col("added") == v, F.col("w"))).alias(k) for k, v in (("gone", False), ("new", True))}
+    x = x.groupBy("i", group).agg(*side.values()).filter((F.size("gone") > 0) & (F.size("new") > 0)).select(group, "gone", "new")
+    return x.mapInArrow(count, f"{group} {kind}, u string, t string, v long").groupBy(group, "u", "t").agg(F.sum("v").alias("v"))
+
+
+def replacements(gone: list[str], added: list[str]) -> Iterator[tuple[str, str | None, int]]:
+    """(u, t, 1) and (t, u, 1) for each added word and the gone ones related to it, and (w, None, n) for each word's number of replacements."""
+    by_letter, to_any, total = defaultdict(list), 0, Counter()
+    for t in gone:
+        by_letter[t[:1]].append(t)
+    for u in added:
+        near = [t for t in by_letter.get(u[:1], ()) if related(u, t)]
+        for t in near:
+            yield u, t, 1
+            yield t, u, 1
+            total[t] += 1
+        to_any += not near
+        total[u] += len(near) or len(gone)
+    for t in gone:
+        total[t] += to_any
+    for w, n in total.items():
+        if n:
+            yield w, None, n
+
+
+@lru_cache(1 << 18)
+def related(u: str, t: str) -> bool:
+    """As ``text.related``, of words that begin alike."""
+    if len(u) > len(t):
+        u, t = t, u
+    return len(t) - len(u) >= 2 and is_subsequence(u, t) or len(skeleton(u)) >= 2 and skeleton(u) == skeleton(t)
+
+
+@lru_cache(1 << 16)
+def skeleton(w: str) -> str:
+    return w[:1] + re.sub("[aeiouhy]", "", w[1:])
+
+
 def families(p: DataFrame, legal: DataFrame, counts: DataFrame, a: str, b: str, group: str = "country", least: int = MIN_N) -> DataFrame:
     """(country, token, canonical): legal words that replace one another, with the most frequent of each family."""
-    lists = legal.groupBy(group).agg(F.collect_set("w").alias("legal"))
-    x = p.join(lists, group).select(group, F.array_intersect(a, "legal").alias("x"), F.array_intersect(b, "legal").alias("y"))
-    s = x.select(group, F.explode(F.array_except("y", "x")).alias("u"), F.array_except("x", "y").alias("gone"))
-    alike = F.filter("gone", lambda t: X.related(F.col("u"), t))
-    s = s.select(group, "u", F.explode(F.when(F.size(alike) > 0, alike).otherwise(F.col("gone"))).alias("t"))
-    both = s.union(s.select(group, F.col("t").alias("u"), F.col("u").alias("t"))).groupBy(group, "u", "t").agg(F.count("*").alias("v"))
-    both = both.withColumn("tot", F.sum("v").over(Window.partitionBy(group, "u")))
+    both = swaps(p, legal, a, b, group)
+    tot = both.filter("t IS NULL").select(group, "u", F.col("v").alias("tot"))
+    both = both.filter(F.col("t").isNotNull() & (F.col("v") >= least)).join(tot, [group, "u"])
     n = counts.select(group, "w", "n")
     e = both.join(n.withColumnsRenamed({"w": "u", "n": "nu"}), [group, "u"], "left").join(n.withColumnsRenamed({"w": "t", "n": "nt"}), [group, "t"], "left").na.fill(0, ["nu", "nt"])
-    e = e.filter((F.col("v") >= least) & (F.col("v") / F.col("tot") >= FAMILY_SHARE) & (F.col("nu") <= F.col("nt")) & X.related(F.col("u"), F.col("t")))
+    e = e.filter((F.col("v") >= least) & (F.col("v") / F.col("tot") >= FAMILY_SHARE) & (F.col("nu") <= F.col("nt")))
     where = F.hex(F.encode(group, "UTF-8"))  # holds no mark that could part it wrongly
     name = F.concat_ws("|", where, "u"), F.concat_ws("|", where, "t")
     found = components(e.select(name[0].alias("a"), name[1].alias("b")))
